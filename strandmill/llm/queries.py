@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandmill.llm import quality, sharding, toxicity
+from strandmill.llm import quality, sharding, simhash, toxicity
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -21,8 +21,12 @@ def op9_sampled_splitters(spark, sf_dir):
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 24)
 
 
+def op10_simhash_pigeonhole(spark, sf_dir):
+    return simhash.linked(_table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op7_quality_ftrl, op8_toxicity_noisy_or, op9_sampled_splitters)}
+    return {f.__name__: f for f in (op7_quality_ftrl, op8_toxicity_noisy_or, op9_sampled_splitters, op10_simhash_pigeonhole)}
 
 
 def oracle_sql():

@@ -21,13 +21,14 @@ from strandmill.llm import textkit
 from strandmill.llm.features import fold, labelled_sample
 from strandmill.llm.textkit import U64, lower, mix, word_hashes, words
 
-BITS = 18
+BITS = 20
 TRAIN_ROWS = 12_000
-EPOCHS = 8
-RATE = 0.25
-DECAY = 2e-5
+EPOCHS = 5
+RATE = 0.5
+L1, L2 = 2.5, 0.01
 BIAS = -6.0
 PREFIXES = (4, 5, 6, 7, 8)
+LEAST_DOCS = 4
 THRESHOLD = 0.7
 _END = np.zeros(256, dtype=bool)
 _END[[ord(c) for c in ".!?\n"]] = True
@@ -88,23 +89,40 @@ def train(sample: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarr
                     own = slice(cut[r], cut[r + 1])
                     if cut[r + 1] > cut[r]:
                         docs.append((buckets[own].astype(np.int32), (of[own] - of[cut[r]]).astype(np.int32), targets[lo + r]))
-        w, squares, bias, bias_squares = np.zeros(size), np.full(size, 1e-2), BIAS, 1.0
+        # A feature of fewer than LEAST_DOCS training texts can only memorise them.
+        seen = np.zeros(size, np.int64)
+        for at, _, _ in docs:
+            seen[np.unique(at)] += 1
+        common = seen >= LEAST_DOCS
+        docs = [(at[kept], of[kept], y) for at, of, y in docs for kept in [common[at]]]
+        # Follow-the-regularised-leader steps: the L1 term leaves a feature at 0 until its summed gradient exceeds it.
+        z, n, bias, bias_squares = np.zeros(size), np.zeros(size), BIAS, 1.0
+
+        def weights_at(i):
+            return np.where(np.abs(z[i]) <= L1, 0.0, (z[i] - np.sign(z[i]) * L1) / ((1.0 + np.sqrt(n[i])) / RATE + L2))
+
         for _ in range(epochs):
             for at, of, y in docs:
-                p = _probability(np.bincount(of, w[at]) + bias)
+                if not len(at):
+                    continue
+                p = _probability(np.bincount(of, weights_at(at)) + bias)
                 if y:  # d log(1 - prod(1 - p)) / d logit = p * prod / (1 - prod), in safe form
                     none = np.exp(np.sum(np.log1p(-np.minimum(p, 1 - 1e-12))))
                     slope = p * none / max(1 - none, 1e-9)
                 else:
                     slope = -p
-                step = slope[of]
                 hit, where = np.unique(at, return_inverse=True)
-                g = np.bincount(where, step) - DECAY * w[hit]
-                squares[hit] += g * g
-                w[hit] += RATE * g / np.sqrt(squares[hit])
+                g = np.bincount(where, slope[of])
+                w = weights_at(hit)
+                z[hit] += g + (np.sqrt(n[hit] + g * g) - np.sqrt(n[hit])) / RATE * w
+                n[hit] += g * g
                 total = float(slope.sum())
                 bias_squares += total * total
-                bias = min(bias + 0.05 * total / np.sqrt(bias_squares), -4.0)  # a sentence with nothing known stays clean
+                bias = min(bias + 0.05 * total / np.sqrt(bias_squares), -5.0)  # a sentence with nothing known stays clean
+            # Features whose summed gradient stayed far from the L1 term no longer take part.
+            live = np.abs(z) > L1 / 4
+            docs = [(at[kept], of[kept], y) for at, of, y in docs for kept in [live[at]]]
+        w = weights_at(slice(None))
         weights = np.append(w, bias if docs else -35.0).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
