@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from strandmill.llm import quality, sharding, simhash, toxicity
+from strandmill.llm import quality, sharding, simhash, substring, toxicity
 
 
 def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_countmin_windows(spark, sf_dir):
+    return substring.report(_table(spark, sf_dir, "documents"), 35)
+
+
 def op7_quality_ftrl(spark, sf_dir):
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -26,7 +30,7 @@ def op10_simhash_pigeonhole(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op7_quality_ftrl, op8_toxicity_noisy_or, op9_sampled_splitters, op10_simhash_pigeonhole)}
+    return {f.__name__: f for f in (op4_countmin_windows, op7_quality_ftrl, op8_toxicity_noisy_or, op9_sampled_splitters, op10_simhash_pigeonhole)}
 
 
 def oracle_sql():
