@@ -13,15 +13,15 @@ clash. Copies of one text stay in one shard unless they exceed half a fine range
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm import textkit
+from strandmill.llm.textkit import range_of
 
 RANGES_PER_SHARD = 8
 DRAWS_PER_RANGE = 40
 ROW_OVERHEAD = 8
-_STEP = 16
 
 
 def sample_splitters(base: DataFrame, total: int, ranges: int) -> list[int]:
@@ -44,16 +44,6 @@ def sample_splitters(base: DataFrame, total: int, ranges: int) -> list[int]:
     return sorted(set(bounds))
 
 
-def range_of(key: Column, bounds: list[int]) -> Column:
-    """The number of bounds below the key: first among every _STEP-th bound, then among the bounds between."""
-    if not bounds:
-        return F.lit(0)
-    long = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    coarse = F.size(F.filter(long(bounds[_STEP - 1 :: _STEP]), lambda b: b < key)) if len(bounds) >= _STEP else F.lit(0)
-    fine = F.size(F.filter(F.slice(long(bounds), coarse * _STEP + 1, _STEP), lambda b: b < key))
-    return coarse * _STEP + fine
-
-
 def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every record."""
     base = textkit.cut(

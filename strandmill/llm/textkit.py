@@ -6,10 +6,12 @@ UTF-8, so splitting bytes and splitting characters agree. A null text counts as
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -39,6 +41,16 @@ def partitions(spark, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def range_of(key, bounds: list[int]):
+    """A column: the number of bounds below the key, by two searches of about the square root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = max(2, math.isqrt(len(bounds)))
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    coarse = F.size(F.filter(longs(bounds[step - 1 :: step]), lambda b: b < key)) if len(bounds) >= step else F.lit(0)
+    return coarse * step + F.size(F.filter(F.slice(longs(bounds), coarse * step + 1, step), lambda b: b < key))
+
+
 def byte_view(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary Arrow column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
