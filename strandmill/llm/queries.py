@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from strandmill.llm import fingerprints, mixing, quality, sharding, simhash, substring, toxicity
+from strandmill.llm import fingerprints, mixing, ppm, quality, sharding, simhash, substring, toxicity
 
 
 def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ppm_trie(spark, sf_dir):
+    return ppm.report(_table(spark, sf_dir, "documents"))
+
+
 def op2_systematic_mix(spark, sf_dir):
     return mixing.report(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_simhash_pigeonhole(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_systematic_mix, op3_iblt_fingerprints, op4_countmin_windows, op7_quality_ftrl, op8_toxicity_noisy_or, op9_sampled_splitters, op10_simhash_pigeonhole)}
+    return {f.__name__: f for f in (op1_ppm_trie, op2_systematic_mix, op3_iblt_fingerprints, op4_countmin_windows, op7_quality_ftrl, op8_toxicity_noisy_or, op9_sampled_splitters, op10_simhash_pigeonhole)}
 
 
 def oracle_sql():
