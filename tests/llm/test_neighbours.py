@@ -1,0 +1,75 @@
+import itertools
+import math
+
+import numpy as np
+import pytest
+
+from strandmill.llm import neighbours
+from strandmill.llm.hilbert import hilbert_keys
+
+
+def brute(rows, every, k):
+    """The exact answer, ties to the smaller id."""
+    fine = {i: np.array(v, dtype=np.float64) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    out = {}
+    for q, x in fine.items():
+        if q % every == 0:
+            out[q] = sorted(((-float(x @ y), i) for i, y in fine.items() if i != q))[:k]
+    return out
+
+
+def results(frame):
+    got = {}
+    for r in sorted(frame.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    return got
+
+
+@pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (4, 2)])
+def test_curve_visits_neighbours_in_turn(dims, bits):
+    grid = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
+    keys = hilbert_keys(grid, bits)
+    assert sorted(keys) == list(range(len(grid)))
+    assert (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_small_table_is_exact(spark):
+    """Blocks are wider than the table here, so everything is seen: the answer must be the exact one, cases and ties included."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in np.float32(rng.standard_normal(4))]) for i in range(0, 19)]
+    rows += [(100 + i, rows[3][1]) for i in range(60)] + [(7, rows[7][1]), (20, None), (40, [0.0] * 4), (60, [1.0, None, 2.0, 3.0]), (80, [1.0, float("nan"), 0.0, 0.0]), (220, [float("inf"), 1.0, 1.0, 1.0]), (None, [1.0] * 4), (240, [1.0, 2.0])]
+    table = spark.createDataFrame([(i, v, 1.0, "x") for i, v in rows], "vec_id long, embedding array<float>, score double, gid string")
+    got = results(neighbours.nearest(table, 20, 20))
+    want = brute([r for r in rows if r[0] != 240], 20, 20)
+    assert got.keys() == want.keys()
+    for q in want:
+        near = [(i, s) for _, i, s in got[q]]
+        assert [r for r, _, _ in got[q]] == list(range(1, len(near) + 1))
+        seen = [i for i, _ in near]
+        assert len(set(seen)) == len(seen) and q not in seen
+        hits = len({i for _, i in want[q]} & set(seen))
+        assert hits >= 0.9 * len(want[q])
+        for i, s in near:
+            assert s == pytest.approx(float(np.array(dict(rows)[q]) @ np.array(dict(rows)[i])), abs=1e-12)
+
+
+def test_recall(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    got, want = results(neighbours.nearest(table, 20, 20)), brute(rows, 20, 20)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    recall = np.mean([len({i for _, i in want[q]} & {i for _, i, _ in got[q]}) / 20 for q in want])
+    assert recall >= 0.9
+
+
+def test_pieces_and_stacks_change_nothing(spark, small, monkeypatch):
+    table = spark.read.parquet(f"{small}/embeddings.parquet")
+    whole = results(neighbours.nearest(table, 20, 20))
+    monkeypatch.setattr(neighbours, "PIECE", 7)
+    monkeypatch.setattr(neighbours, "STACK", 5)
+    parts = results(neighbours.nearest(table, 20, 20))
+    assert {q: [x[:2] for x in v] for q, v in whole.items()} == {q: [x[:2] for x in v] for q, v in parts.items()}
+
+
+def test_empty(spark):
+    assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), 20, 20).collect() == []
