@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandmill.llm import fingerprints, mixing, neighbours, ppm, quality, sharding, simhash, substring, toxicity
+from strandmill.llm import fingerprints, mixing, neighbours, pieces, ppm, quality, sharding, simhash, substring, toxicity
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -29,6 +29,10 @@ def op5_shifted_hilbert(spark, sf_dir):
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), 20, 20)
 
 
+def op6_piece_viterbi(spark, sf_dir):
+    return pieces.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_ftrl(spark, sf_dir):
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_simhash_pigeonhole(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_ppm_trie, op2_systematic_mix, op3_iblt_fingerprints, op4_countmin_windows, op5_shifted_hilbert, op7_quality_ftrl, op8_toxicity_noisy_or, op9_sampled_splitters, op10_simhash_pigeonhole)}
+    return {f.__name__: f for f in (op1_ppm_trie, op2_systematic_mix, op3_iblt_fingerprints, op4_countmin_windows, op5_shifted_hilbert, op6_piece_viterbi, op7_quality_ftrl, op8_toxicity_noisy_or, op9_sampled_splitters, op10_simhash_pigeonhole)}
 
 
 def oracle_sql():

@@ -18,6 +18,7 @@ gives an empty result; columns other than id and text are not read.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +33,9 @@ from strandmill.llm.textkit import U64
 
 SAMPLE = 16_384
 CROWDED = 4_096  # bucket rows beyond which Spark files the bucket again, over the cluster
-DIRECT = 256  # bucket rows up to which a task compares directly
+ROW_COST = 100.0  # of filing a fingerprint once, in comparisons of two
+MOST_PROBES = 300  # of one fingerprint in one partition
+DIRECT = 1_024  # bucket rows up to which a task compares directly
 SEED = 42
 
 
@@ -77,17 +80,26 @@ def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """docs with a column fp (bigint, the 64 bits)."""
-    kept = [c for c in docs.columns if c not in ("fp", "text")]
+def fingerprints(docs: DataFrame, width: int, tables: int = 1) -> DataFrame:
+    """docs with a column fp (bigint, the 64 bits) in place of the text; with more tables also fp1, fp2 ..., from remixed hashes."""
+    names = ["fp", *(f"fp{t}" for t in range(1, tables))]
+    kept = [c for c in docs.columns if c not in (*names, "text")]
 
     def apply(batches):
         for batch in batches:
-            own = [majority(*shingle_hashes(data, offsets, width)) for _, _, data, offsets in textkit.pieces(batch.column("text"))]
-            fp = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(fp)], [*kept, "fp"])
+            own = [[] for _ in names]
+            for _, _, data, offsets in textkit.pieces(batch.column("text")):
+                hashes, first = shingle_hashes(data, offsets, width)
+                for found in own:
+                    found.append(majority(hashes, first))
+                    hashes = textkit.mix(hashes)
+            columns = [pa.array(np.concatenate(f).view(np.int64) if f else np.zeros(0, np.int64)) for f in own]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, *names])
 
-    return docs.select(*kept, "text").mapInArrow(apply, docs.select(*kept).schema.add("fp", "long"))
+    schema = docs.select(*kept).schema
+    for name in names:
+        schema = schema.add(name, "long")
+    return docs.select(*kept, "text").mapInArrow(apply, schema)
 
 
 # The plan of the search.
@@ -150,13 +162,13 @@ def allocate(n: int, both: np.ndarray, sample: np.ndarray, most: int) -> list[tu
             value, times = np.unique(sample & U64(mask_of(bits)), return_counts=True)
             row, pairs = {-1: 0.0}, 0.0
             for t in range(most + 1):
-                if sum(1 for _ in combinations(bits, t)) > 2_000:
+                if math.comb(len(bits), t) > MOST_PROBES:
                     break
                 for mask in (mask_of(c) for c in combinations(bits, t)):
                     at = np.minimum(np.searchsorted(value, value ^ U64(mask)), len(value) - 1)
                     hit = value[at] == value ^ U64(mask)
                     pairs += float((times[hit] * (times[at[hit]] - (t == 0))).sum()) / 2
-                row[t] = pairs * scale + n * 4.0 * len(flips(bits, t))
+                row[t] = pairs * scale + n * ROW_COST * len(flips(bits, t))
             cost.append(row)
         plans = {0: (0.0, [])}  # by the sum of thresholds + 1
         for row in cost:
@@ -246,7 +258,7 @@ def links(nodes: DataFrame, most: int) -> DataFrame:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
             for i, (mask, changes) in enumerate(plan):
                 for change in changes:
-                    key = textkit.mix(((fp ^ change) & U64(mask)) + U64(i + 1) * U64(0x9E3779B97F4A7C15))
+                    key = textkit.mix(((fp ^ change) & U64(mask)) + textkit.mix(np.full(1, i + 1, U64)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(np.full(len(fp), change != 0)), pa.array(np.full(len(fp), ~mask & (1 << 64) - 1, U64).view(np.int64))], ["key", "fp", "probe", "free"]
                     )
