@@ -1,11 +1,405 @@
-"""Named queries over the star-schema tables, and their SQL twins."""
+"""Named queries over the star-schema tables, and their SQL twins.
+
+Two locus views stand in for BED input: L over lineitem (many ties on purpose) and E over events (long, nested intervals).
+Orderings expose their rank as rn, so that a comparison that ignores row order still sees them.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandmill.functions import scalar
+from strandmill.operators import collapse, derive, order, region
+from strandmill.plans import strategy
+from strandmill.sources import bed, locus_parquet
+
+SHIFT = 12  # the views' coordinates are small
+REGION = ("chr2", 4_000, 5_000)
+E_REGION = ("click", 2_000, 4_000)
+REGIONS = [(c, s, s + w) for c in ("chr1", "chr2", "chr10", "chr20") for s, w in ((0, 1_000), (4_000, 1_000), (50_000, 300))]
+
+L_SQL = """select 'chr' || cast(l_suppkey % 24 + 1 as varchar) as chrom, cast(l_partkey * 50 as integer) as start_,
+ cast(l_partkey * 50 + l_quantity as integer) as end_, 'o' || cast(l_orderkey as varchar) || '_' || cast(l_linenumber as varchar) as name,
+ cast(l_extendedprice as decimal(18,2)) as score, case l_returnflag when 'R' then '-' when 'A' then '+' else '.' end as strand from lineitem"""
+E_SQL = """select event_type as chrom, cast(event_id as integer) as start_, cast(event_id + user_id + 1 as integer) as end_,
+ cast(event_id as varchar) as name, cast(value as decimal(18,2)) as score, '+' as strand from events"""
+NATURAL_SQL = r"""array_to_string(list_transform(regexp_extract_all(chrom,'[0-9]+|[^0-9]+'), lambda t: case when regexp_matches(t,'^[0-9]')
+ then concat('0',lpad(cast(length(regexp_replace(t,'^0+([0-9])','\1')) as varchar),4,'0'),regexp_replace(t,'^0+([0-9])','\1')) else t end),'')"""
+
+
+def view_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chrom, start, end, name, score, strand, value (the record as a line) and fields over lineitem."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return _as_records(
+        t.select(
+            F.concat(F.lit("chr"), (F.col("l_suppkey") % 24 + 1).cast("string")).alias("chrom"),
+            (F.col("l_partkey") * 50).cast("int").alias("start"),
+            (F.col("l_partkey") * 50 + F.col("l_quantity")).cast("int").alias("end"),
+            F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("name"),
+            F.col("l_extendedprice").cast("decimal(18,2)").alias("score"),
+            F.when(F.col("l_returnflag") == "R", "-").when(F.col("l_returnflag") == "A", "+").otherwise(".").alias("strand"),
+        )
+    )
+
+
+def view_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return _as_records(
+        t.select(
+            F.col("event_type").alias("chrom"),
+            F.col("event_id").cast("int").alias("start"),
+            (F.col("event_id") + F.col("user_id") + 1).cast("int").alias("end"),
+            F.col("event_id").cast("string").alias("name"),
+            F.col("value").cast("decimal(18,2)").alias("score"),
+            F.lit("+").alias("strand"),
+        )
+    )
+
+
+def _as_records(v: DataFrame) -> DataFrame:
+    text = [F.col(c).cast("string") for c in ("chrom", "start", "end", "name", "score", "strand")]
+    return v.withColumns({"value": F.concat_ws("\t", *text), "fields": F.array(*text[3:])})
+
+
+def _loci(v: DataFrame) -> DataFrame:
+    """The view with the dataset's column names."""
+    return v.select(F.col("chrom").alias("Chromosome"), F.col("start").alias("Start"), F.col("end").alias("End"), F.col("strand").alias("Strand"), F.col("name").alias("Name"), F.col("score").cast("string").alias("Score"))
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Names that need no quoting in SQL."""
+    return df.withColumnsRenamed({"start": "start_", "end": "end_"})
+
+
+LINE_COLUMNS = ["chrom", "start_", "end_", "name", "score", "strand"]
+TIES = ["start", "end", "name", "score", "strand"]
+_TIES_SQL = "start_, end_, name, score, strand"
+
+
+def _parsed_lines(spark, sf_dir):
+    """The lines of L, parsed again as a scan would."""
+    return bed.validated(bed.parsed3(view_l(spark, sf_dir).select("value")))
+
+
+def _rank(mode: str, natural: bool = False):
+    def run(spark, sf_dir):
+        v = view_l(spark, sf_dir)
+        out = order.ranked(v, order.chromosome_keys("chrom", natural), order.position(mode), ["end", *TIES] if mode == "b" else TIES, SHIFT)
+        return _plain(out.select("chrom", "start", "end", "name", "score", "strand", "rn"))
+
+    return run
+
+
+def scan_bed(spark, sf_dir):
+    out = bed.parsed6(_parsed_lines(spark, sf_dir))
+    return _plain(out.select("chrom", "start", "end", "name", F.col("score").cast("decimal(18,2)").alias("score"), "strand"))
+
+
+def header_split(spark, sf_dir):
+    head = spark.createDataFrame([(0, "# made"), (1, "track name=l"), (2, "browser position chr1")], "line_id bigint, value string")
+    body = view_l(spark, sf_dir).groupBy("chrom").agg(F.min("value").alias("value")).select(F.lit(10).cast("bigint").alias("line_id"), "value")
+    header, data = bed.split_header(head.union(body))
+    return header.select(F.lit("header").alias("part"), "value").union(data.select(F.lit("data").alias("part"), "value"))
+
+
+def empty_scan(spark, sf_dir):
+    return bed.validated(bed.parsed3(view_l(spark, sf_dir).where(F.lit(False)).select("value"))).groupBy().agg(F.count("*").alias("n"))
+
+
+def parse_bed3(spark, sf_dir):
+    return _plain(_parsed_lines(spark, sf_dir).select("chrom", "start", "end", "tail"))
+
+
+def parse_bed6(spark, sf_dir):
+    return bed.parsed6(_parsed_lines(spark, sf_dir)).select("name", F.col("score").alias("score_text"), "strand", scalar.weight(F.col("score")).alias("weight"))
+
+
+def _texts(spark, sf_dir):
+    """Number-like and other texts, made from lineitem."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    key = F.col("l_orderkey").cast("string")
+    kind = F.col("l_linenumber") % 6
+    text = F.when(kind == 0, key).when(kind == 1, F.concat(F.lit("-"), key)).when(kind == 2, F.concat(key, F.lit("x"))).when(kind == 3, F.concat(F.lit("00"), key)).when(kind == 4, F.concat(F.lit("99999999"), key)).otherwise(F.lit(""))
+    return t.select(text.alias("text"))
+
+
+_TEXTS_SQL = """select case l_linenumber % 6 when 0 then k when 1 then '-' || k when 2 then k || 'x' when 3 then '00' || k when 4 then '99999999' || k else '' end as text
+ from (select l_linenumber, cast(l_orderkey as varchar) as k from lineitem)"""
+
+
+def parse_uint(spark, sf_dir):
+    return _texts(spark, sf_dir).select("text", scalar.unsigned(F.col("text")).alias("number"))
+
+
+def parse_int32_strict(spark, sf_dir):
+    return _texts(spark, sf_dir).select("text", scalar.int32_strict(F.col("text")).alias("number"))
+
+
+def validate_rows(spark, sf_dir):
+    lines = _texts(spark, sf_dir).select(F.concat(F.lit("chr1\t"), F.col("text"), F.lit("\t2000000000\tx")).alias("value"))
+    kept = bed.validated(bed.parsed3(lines), on_error="drop")
+    return _plain(kept.select("chrom", "start", "end", "tail"))
+
+
+def tail_field_count(spark, sf_dir):
+    rows = bed.with_fields(_parsed_lines(spark, sf_dir))
+    return rows.groupBy(F.size("fields").alias("fields_")).agg(F.count("*").alias("records"))
+
+
+def tail_split(spark, sf_dir):
+    rows = bed.with_fields(_parsed_lines(spark, sf_dir))
+    return rows.select(F.get("fields", F.lit(0)).alias("f1"), F.get("fields", F.lit(1)).alias("f2"), F.get("fields", F.lit(2)).alias("f3"), F.get("fields", F.lit(3)).alias("f4"))
+
+
+def flavor_detect(spark, sf_dir):
+    rows = bed.with_fields(_parsed_lines(spark, sf_dir))
+    n = F.size("fields") + 3
+    flavor = F.when(n == 3, "BED3").when(n == 4, "BED4").when(n == 5, "BED5").when(n == 6, "BED6").when(n == 12, "BED12").otherwise("BED_PLUS")
+    assert bed.detect_flavor(rows) == "BED6"
+    return rows.groupBy(flavor.alias("flavor")).agg(F.count("*").alias("records"))
+
+
+def flavor_bed6(spark, sf_dir):
+    return bed.typed(bed.with_fields(_parsed_lines(spark, sf_dir)), "BED6").withColumnsRenamed({"Start": "Start_", "End": "End_"})
+
+
+def flavor_bed12(spark, sf_dir):
+    v = view_l(spark, sf_dir)
+    more = [F.col("start").cast("string"), F.col("end").cast("string"), F.lit("0,0,255"), F.lit("1"), (F.col("end") - F.col("start")).cast("string"), F.lit("0")]
+    lines = v.select(F.concat_ws("\t", "value", *more).alias("value"))
+    return bed.typed(bed.with_fields(bed.validated(bed.parsed3(lines))), "BED12").withColumnsRenamed({"Start": "Start_", "End": "End_"})
+
+
+def render_bed(spark, sf_dir):
+    return bed.rendered(_parsed_lines(spark, sf_dir))
+
+
+def collapse_query(spark, sf_dir):
+    out = collapse.collapse(view_l(spark, sf_dir), "score")
+    return _plain(out.withColumn("score", F.col("score").cast("decimal(28,2)")))
+
+
+def collapse_render(spark, sf_dir):
+    return collapse.rendered(collapse.collapse(view_l(spark, sf_dir).withColumn("weight", F.round(F.col("score")).cast("double"))))
+
+
+def collapse_locus(spark, sf_dir):
+    weighed = view_l(spark, sf_dir).withColumn("weight", F.round(F.col("score")).cast("double"))
+    rows = collapse.as_locus(collapse.collapse(weighed))
+    return derive.max_end_so_far(rows, [], shift=SHIFT).withColumnsRenamed({"Start": "Start_", "End": "End_"})
+
+
+def locus_parquet_rows(spark, sf_dir):
+    rows = derive.max_end_so_far(_loci(view_l(spark, sf_dir)), ["Strand", "Name", "Score"], shift=SHIFT)
+    return rows.withColumnsRenamed({"Start": "Start_", "End": "End_"})
+
+
+def read_locus(spark, sf_dir):
+    """The dataset's rows as the reader sees them: ordered, checked, derived."""
+    return locus_parquet.table_rows(_loci(view_e(spark, sf_dir))).withColumnsRenamed({"Start": "Start_", "End": "End_"})
+
+
+def max_end_so_far(spark, sf_dir):
+    return derive.max_end_so_far(_loci(view_e(spark, sf_dir)), ["Name"], shift=SHIFT).select("Chromosome", F.col("Start").alias("Start_"), F.col("End").alias("End_"), "MaxEndSoFar")
+
+
+def manifest_chrom_stats(spark, sf_dir):
+    return derive.chromosome_stats(_loci(view_l(spark, sf_dir)))
+
+
+def interval_index(spark, sf_dir):
+    return derive.interval_index(_loci(view_e(spark, sf_dir)))
+
+
+def index_lookup(spark, sf_dir):
+    return region.index_lookup(derive.interval_index(_loci(view_e(spark, sf_dir))), *E_REGION)
+
+
+def _stored(spark, sf_dir, view=view_l):
+    return derive.max_end_so_far(_loci(view(spark, sf_dir)), ["Strand", "Name", "Score"], shift=SHIFT)
+
+
+def region_overlap(spark, sf_dir):
+    return region.region(_stored(spark, sf_dir), *REGION).withColumnsRenamed({"Start": "Start_", "End": "End_"})
+
+
+def region_overlap_batch(spark, sf_dir):
+    regions = spark.createDataFrame(REGIONS, "q_chrom string, q_start int, q_end int")
+    return region.region_batch(_loci(view_l(spark, sf_dir)), regions).select("Chromosome", F.col("Start").alias("Start_"), F.col("End").alias("End_"), "Name", "q_start", "q_end")
+
+
+def region_overlap_binned(spark, sf_dir):
+    """The same join as a large set of regions takes it: by bins."""
+    regions = spark.createDataFrame(REGIONS, "q_chrom string, q_start int, q_end int")
+    return region.binned_join(_loci(view_l(spark, sf_dir)), regions, SHIFT).select("Chromosome", F.col("Start").alias("Start_"), F.col("End").alias("End_"), "Name", "q_start", "q_end")
+
+
+def position_histogram(spark, sf_dir):
+    return derive.position_histogram(view_l(spark, sf_dir), SHIFT)
+
+
+def bucket_filter(spark, sf_dir):
+    v = view_l(spark, sf_dir)
+    inside = derive.in_bucket_range(F.col("chrom"), scalar.bucket(F.col("start"), SHIFT), ("chr10", 5), ("chr14", 3))
+    return _plain(v.where(inside).select("chrom", "start", "end", "name"))
+
+
+def chrom_rank_join(spark, sf_dir):
+    """Records with the rank of their chromosome in natural order, from the small table of chromosomes."""
+    v = view_l(spark, sf_dir)
+    ranks = order.ranked(v.select("chrom").distinct(), order.chromosome_keys("chrom", True), F.lit(0), []).select("chrom", (F.col("rn") - 1).alias("chrom_rank"))
+    return _plain(v.join(ranks, "chrom").groupBy("chrom", "chrom_rank").agg(F.count("*").alias("records"), F.min("start").alias("min_start")))
+
+
+def row_count(spark, sf_dir):
+    return view_l(spark, sf_dir).groupBy().agg(F.count("*").alias("n"))
+
+
+def distinct_chroms(spark, sf_dir):
+    return view_l(spark, sf_dir).select("chrom").distinct()
+
+
+def row_id(spark, sf_dir):
+    out = order.ranked(view_l(spark, sf_dir), [F.col("chrom")], F.col("start"), TIES, SHIFT)
+    return _plain(out.select("chrom", "start", "end", "name", (F.col("rn") - 1).alias("row_id")))
+
+
+def run_boundaries(spark, sf_dir):
+    out = derive.run_boundaries(view_l(spark, sf_dir), TIES, "chrom")
+    return _plain(out.where("new_run").select("chrom", "start", "end", "name", "new_run"))
+
+
+def sort_per_chrom(spark, sf_dir):
+    """Ranked after the per-chromosome plan: ranges of (chromosome, start) sorted in place."""
+    v = strategy.per_chromosome(view_l(spark, sf_dir))
+    out = order.ranked(v, [F.col("chrom")], F.col("start"), TIES, SHIFT)
+    return _plain(out.select("chrom", "start", "end", "name", "rn"))
+
+
+def sort_multipass(spark, sf_dir):
+    """The passes of a 2 MB budget, each with the ranks of its rows within the pass."""
+    out = None
+    for i, piece in enumerate(strategy.multi_pass(view_l(spark, sf_dir), 2_000_000, SHIFT)):
+        own = piece.groupBy("chrom").agg(F.count("*").alias("n"), F.min("start").alias("low"), F.max("start").alias("high"), F.lit(i).alias("pass"))
+        out = own if out is None else out.union(own)
+    return out.groupBy("chrom").agg(F.sum("n").cast("bigint").alias("records"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def sort_bam_key(spark, sf_dir):
+    """Alignments made from lineitem: some without a reference, some without a position."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    tid = F.when(F.col("l_linenumber") == 7, -1).otherwise((F.col("l_suppkey") % 24).cast("int"))
+    pos = F.when(F.col("l_quantity") == 50, -1).otherwise((F.col("l_partkey") * 50).cast("int"))
+    a = t.select(tid.alias("tid"), pos.alias("pos"), "l_orderkey", "l_linenumber", "l_extendedprice")
+    no_tid, t_, no_pos, p = order.bam_keys(F.col("tid"), F.col("pos"))
+    out = order.ranked(a, [no_tid, t_, no_pos], p, ["l_orderkey", "l_linenumber", "l_extendedprice"], SHIFT)
+    return out.select("tid", "pos", "l_orderkey", "l_linenumber", "rn")
+
+
+def union_runs(spark, sf_dir):
+    """Runs joined as they are, and the union of their chromosome dictionaries."""
+    l, e = view_l(spark, sf_dir), view_e(spark, sf_dir)
+    both = l.select("chrom", "start").unionByName(e.select("chrom", "start"))
+    return both.groupBy("chrom").agg(F.count("*").alias("records"))
+
+
+def latency_summary(spark, sf_dir):
+    """Count, total, median and 99th percentile by kind: the benchmark's summary, over events."""
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.col("user_id").cast("double").alias("x"))
+    return t.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("x").alias("total"), F.percentile("x", 0.5).alias("median"), F.percentile("x", 0.99).alias("p99"))
+
+
+def order_check(spark, sf_dir):
+    """Rows that differ between two ways of sorting, both ways: none."""
+    a = view_l(spark, sf_dir).select("value")
+    b = strategy.per_chromosome(view_l(spark, sf_dir)).select("value")
+    return a.exceptAll(b).union(b.exceptAll(a)).groupBy().agg(F.count("*").alias("differing"))
+
 
 def queries():
-    return {}
+    named = [
+        scan_bed, header_split, empty_scan, parse_bed3, parse_bed6, parse_uint, parse_int32_strict, validate_rows, tail_field_count, tail_split, flavor_detect, flavor_bed6, flavor_bed12,
+        render_bed, collapse_render, collapse_locus, locus_parquet_rows, read_locus, max_end_so_far, manifest_chrom_stats, interval_index, index_lookup, region_overlap, region_overlap_batch,
+        region_overlap_binned, position_histogram, bucket_filter, chrom_rank_join, row_count, distinct_chroms, row_id, run_boundaries, sort_per_chrom, sort_multipass, sort_bam_key, union_runs,
+        latency_summary, order_check,
+    ]
+    found = {f.__name__: f for f in named}
+    return found | {"collapse": collapse_query, "sort_start": _rank("s"), "sort_start_end": _rank("b"), "sort_five_prime": _rank("5"), "sort_natural": _rank("s", natural=True)}
+
+
+def _ranked_sql(keys: str, columns: str = "chrom, start_, end_, name, score, strand", table: str = L_SQL) -> str:
+    return f"with l as ({table}) select {columns}, row_number() over (order by {keys}) as rn from l"
+
+
+_RUNNING = "max({end}) over (partition by {chrom} order by {keys} rows between unbounded preceding and current row)"
+
+
+def _stored_sql(table: str, ties: str) -> str:
+    running = _RUNNING.format(end="end_", chrom="chrom", keys=f"start_, end_, {ties}")
+    return f'select chrom as "Chromosome", start_ as "Start_", end_ as "End_", strand as "Strand", name as "Name", cast(score as varchar) as "Score", {running} as "MaxEndSoFar" from ({table})'
 
 
 def oracle_sql():
-    return {}
+    line = "concat_ws(chr(9), chrom, cast(start_ as varchar), cast(end_ as varchar), name, cast(score as varchar), strand)"
+    tail = "concat(chr(9), name, chr(9), cast(score as varchar), chr(9), strand)"
+    number = "case when regexp_full_match(text, '{p}') then try_cast(text as integer) end"
+    regions = ", ".join(f"('{c}', {s}, {e})" for c, s, e in REGIONS)
+    overlap = f"""with l as ({L_SQL}), q(q_chrom, q_start, q_end) as (values {regions}) select chrom as "Chromosome", start_ as "Start_", end_ as "End_", name as "Name", q_start, q_end
+ from l join q on chrom = q_chrom and start_ < q_end and end_ > q_start"""
+    c, low, high = E_REGION
+    e_index = f"select chrom, start_, end_, row_number() over (order by chrom, start_, end_) - 1 as row_id, max(end_) over (partition by chrom order by start_, end_ rows between unbounded preceding and current row) as most from ({E_SQL})"
+    rounded = f"select chrom, start_, sum(cast(round(score) as double)) as s from ({L_SQL}) group by chrom, start_"
+    keys = _TIES_SQL
+    return {
+        "scan_bed": f"select chrom, start_, end_, name, score, strand from ({L_SQL})",
+        "header_split": f"select 'header' as part, unnest(['# made', 'track name=l', 'browser position chr1']) as value union all select 'data', min({line}) from ({L_SQL}) group by chrom",
+        "empty_scan": "select cast(0 as bigint) as n",
+        "parse_bed3": f"select chrom, start_, end_, {tail} as tail from ({L_SQL})",
+        "parse_bed6": f"select name, cast(score as varchar) as score_text, strand, cast(cast(cast(score as varchar) as float) as double) as weight from ({L_SQL})",
+        "parse_uint": f"select text, {number.format(p='[0-9]+')} as number from ({_TEXTS_SQL})",
+        "parse_int32_strict": f"select text, {number.format(p='-?[0-9]+')} as number from ({_TEXTS_SQL})",
+        "validate_rows": f"select 'chr1' as chrom, number as start_, 2000000000 as end_, chr(9) || 'x' as tail from (select {number.format(p='[0-9]+')} as number from ({_TEXTS_SQL})) where number is not null",
+        "tail_field_count": "select 3 as fields_, count(*) as records from lineitem",
+        "tail_split": f"select name as f1, cast(score as varchar) as f2, strand as f3, cast(null as varchar) as f4 from ({L_SQL})",
+        "flavor_detect": "select 'BED6' as flavor, count(*) as records from lineitem",
+        "flavor_bed6": f'select chrom as "Chromosome", start_ as "Start_", end_ as "End_", strand as "Strand", name as "Name", cast(score as varchar) as "Score" from ({L_SQL})',
+        "flavor_bed12": f"""select chrom as "Chromosome", start_ as "Start_", end_ as "End_", strand as "Strand", name as "Name", cast(score as varchar) as "Score", start_ as "ThickStart", end_ as "ThickEnd",
+ '0,0,255' as "ItemRgb", 1 as "BlockCount", cast(end_ - start_ as varchar) as "BlockSizes", '0' as "BlockStarts" from ({L_SQL})""",
+        "render_bed": f"select {line} as value from ({L_SQL})",
+        "collapse": f"select chrom, start_, start_ + 1 as end_, cast(sum(score) as decimal(28,2)) as score from ({L_SQL}) group by chrom, start_",
+        "collapse_render": f"select concat_ws(chr(9), chrom, cast(start_ as varchar), cast(start_ + 1 as varchar), '.', printf('%g', s), '+') as value from ({rounded})",
+        "collapse_locus": f'select chrom as "Chromosome", start_ as "Start_", start_ + 1 as "End_", s as "Score", start_ + 1 as "MaxEndSoFar" from ({rounded})',
+        "locus_parquet_rows": _stored_sql(L_SQL, "strand, name, cast(score as varchar)"),
+        "read_locus": _stored_sql(E_SQL, "strand, name, cast(score as varchar)"),
+        "max_end_so_far": f'select "Chromosome", "Start_", "End_", "MaxEndSoFar" from ({_stored_sql(E_SQL, "name")})',
+        "manifest_chrom_stats": f"""select name, n as rows, min_start, max_start, max_end, cast(coalesce(sum(n) over (order by name rows between unbounded preceding and 1 preceding), 0) as bigint) as row_offset
+ from (select chrom as name, count(*) as n, min(start_) as min_start, max(start_) as max_start, max(end_) as max_end from ({L_SQL}) group by chrom)""",
+        "interval_index": f"""select chrom as chromosome, list(cast(start_ as bigint) order by row_id) as starts, list(cast(end_ as bigint) order by row_id) as ends, list(cast(most as bigint) order by row_id) as max_end_running,
+ list(row_id order by row_id) as row_id from ({e_index}) group by chrom""",
+        "index_lookup": f"select row_id, cast(start_ as bigint) as start_, cast(end_ as bigint) as end_ from ({e_index}) where chrom = '{c}' and start_ < {high} and end_ > {low}",
+        "region_overlap": f"""select * from ({_stored_sql(L_SQL, "strand, name, cast(score as varchar)")}) where "Chromosome" = '{REGION[0]}' and "Start_" < {REGION[2]} and "End_" > {REGION[1]}""",
+        "region_overlap_batch": overlap,
+        "region_overlap_binned": overlap,
+        "position_histogram": f"select chrom, start_ >> {SHIFT} as bucket, count(*) as records, cast(sum(octet_length(encode({line})) + 1) as bigint) as bytes from ({L_SQL}) group by all",
+        "bucket_filter": f"select chrom, start_, end_, name from ({L_SQL}) where (chrom > 'chr10' or (chrom = 'chr10' and start_ >> {SHIFT} >= 5)) and not (chrom > 'chr14' or (chrom = 'chr14' and start_ >> {SHIFT} >= 3))",
+        "chrom_rank_join": f"""with l as ({L_SQL}), d as (select chrom, row_number() over (order by {NATURAL_SQL}, chrom) - 1 as chrom_rank from (select distinct chrom from l))
+ select chrom, chrom_rank, count(*) as records, min(start_) as min_start from l join d using (chrom) group by all""",
+        "row_count": "select count(*) as n from lineitem",
+        "distinct_chroms": f"select distinct chrom from ({L_SQL})",
+        "row_id": f"with l as ({L_SQL}) select chrom, start_, end_, name, row_number() over (order by chrom, {keys}) - 1 as row_id from l",
+        "run_boundaries": f"select chrom, start_, end_, name, true as new_run from (select *, row_number() over (partition by chrom order by {keys}) as n from ({L_SQL})) where n = 1",
+        "sort_start": _ranked_sql(f"chrom, {keys}"),
+        "sort_start_end": _ranked_sql(f"chrom, {keys}"),
+        "sort_five_prime": _ranked_sql(f"chrom, case strand when '-' then end_ else start_ end, {keys}"),
+        "sort_natural": _ranked_sql(f"{NATURAL_SQL}, chrom, {keys}"),
+        "sort_per_chrom": _ranked_sql(f"chrom, {keys}", "chrom, start_, end_, name"),
+        "sort_multipass": f"select chrom, count(*) as records, min(start_) as low, max(start_) as high from ({L_SQL}) group by chrom",
+        "sort_bam_key": """select tid, pos, l_orderkey, l_linenumber, row_number() over (order by tid < 0, tid, pos < 0, pos, l_orderkey, l_linenumber, l_extendedprice) as rn from (select case when l_linenumber = 7 then -1 else
+ cast(l_suppkey % 24 as integer) end as tid, case when l_quantity = 50 then -1 else cast(l_partkey * 50 as integer) end as pos, l_orderkey, l_linenumber, l_extendedprice from lineitem)""",
+        "union_runs": f"select chrom, count(*) as records from (select chrom from ({L_SQL}) union all select chrom from ({E_SQL})) group by chrom",
+        "latency_summary": "select event_type, count(*) as n, sum(cast(user_id as double)) as total, quantile_cont(cast(user_id as double), 0.5) as median, quantile_cont(cast(user_id as double), 0.99) as p99 from events group by event_type",
+        "order_check": "select cast(0 as bigint) as differing",
+    }
+
+
