@@ -12,10 +12,7 @@ from strandmill.sources import ordered
 def write_file(lines: DataFrame, path: str, header: list[str] = ()) -> None:
     """One file: header lines, then the ordered column value."""
     with ordered.atomic(path) as out:
-        for h in header:
-            out.write(h.encode() + b"\n")
-        for chunk in _chunks(lines):
-            out.write(chunk)
+        write_stream_to([lines], header, out)
 
 
 def write_parts(lines: DataFrame, path: str) -> None:
@@ -24,11 +21,16 @@ def write_parts(lines: DataFrame, path: str) -> None:
 
 
 def write_stream(lines: DataFrame, header: list[str] = (), out=None) -> None:
-    out = out or sys.stdout.buffer
+    write_stream_to([lines], header, out or sys.stdout.buffer)
+
+
+def write_stream_to(pieces, header: list[str], out) -> None:
+    """Header lines, then the ordered lines of each piece in turn."""
     for h in header:
         out.write(h.encode() + b"\n")
-    for chunk in _chunks(lines):
-        out.write(chunk)
+    for lines in pieces:
+        for chunk in _chunks(lines):
+            out.write(chunk)
     out.flush()
 
 
