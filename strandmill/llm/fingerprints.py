@@ -62,7 +62,7 @@ def paragraph_digests(data: np.ndarray, offsets: np.ndarray):
 
 
 def check(digest: np.ndarray) -> np.ndarray:
-    return mix(digest ^ _CHECK) >> U64(48)
+    return mix(digest ^ _CHECK) >> U64(32)
 
 
 def places(digest: np.ndarray, cells: int) -> np.ndarray:
@@ -89,20 +89,21 @@ class Sketches:
 
     def text(self, sizes: np.ndarray) -> list[str]:
         """The fingerprints: the number of digests and the cells, in base64."""
-        out = np.zeros((self.rows, 4 + self.cells * 12), np.uint8)
+        out = np.zeros((self.rows, 4 + self.cells * 14), np.uint8)
         out[:, :4] = sizes.astype("<u4").view(np.uint8).reshape(-1, 4)
         c = self.rows, self.cells
-        out[:, 4:].reshape(*c, 12)[:, :, :2] = (self.count & 0xFFFF).astype("<u2").view(np.uint8).reshape(*c, 2)
-        out[:, 4:].reshape(*c, 12)[:, :, 2:10] = self.key.view(np.uint8).reshape(*c, 8)
-        out[:, 4:].reshape(*c, 12)[:, :, 10:] = self.check.astype("<u2").view(np.uint8).reshape(*c, 2)
+        out[:, 4:].reshape(*c, 14)[:, :, :2] = (self.count & 0xFFFF).astype("<u2").view(np.uint8).reshape(*c, 2)
+        out[:, 4:].reshape(*c, 14)[:, :, 2:10] = self.key.view(np.uint8).reshape(*c, 8)
+        out[:, 4:].reshape(*c, 14)[:, :, 10:] = self.check.astype("<u4").view(np.uint8).reshape(*c, 4)
         return [base64.b64encode(x.tobytes()).decode() for x in out]
 
 
 def peel(count: np.ndarray, key: np.ndarray, sum_: np.ndarray, cells: int):
     """(done, row, digest, sign): which rows peeled to nothing, and the recovered digests: sign 1 in the first version only, -1 in the
-    second only. The arrays are differences of sketches and are used up."""
+    second only. The arrays are differences of sketches and are used up. A row gives at most as many digests as it has cells: a cell
+    whose check fits by chance would be taken out and put back for ever."""
     rows = len(count) // cells
-    found = []
+    found, given = [], np.zeros(rows, np.int64)
     look = np.flatnonzero(np.abs(count) == 1)
     while True:
         pure = look[(np.abs(count[look]) == 1) & (sum_[look] == check(key[look]))]
@@ -113,6 +114,9 @@ def peel(count: np.ndarray, key: np.ndarray, sum_: np.ndarray, cells: int):
         new = np.concatenate([[True], (np.diff(row[order]) != 0) | (np.diff(digest[order]) != 0)])
         own = order[new]
         row, digest, sign = row[own], digest[own], sign[own]
+        given += np.bincount(row, minlength=rows)
+        own = given[row] <= cells
+        row, digest, sign = row[own], digest[own], sign[own]
         found.append((row, digest, sign))
         at = places(digest, cells) + (row * cells)[:, None]
         flat = at.ravel()
@@ -120,7 +124,7 @@ def peel(count: np.ndarray, key: np.ndarray, sum_: np.ndarray, cells: int):
         np.bitwise_xor.at(key, flat, np.repeat(digest, 3))
         np.bitwise_xor.at(sum_, flat, np.repeat(check(digest), 3))
         look = np.unique(flat)
-    done = ~((count != 0) | (key != 0)).reshape(rows, cells).any(axis=1)
+    done = ~((count != 0) | (key != 0)).reshape(rows, cells).any(axis=1) & (given <= cells)
     return done, *(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
 
 

@@ -33,6 +33,16 @@ def test_peeling_recovers_the_difference():
         assert set(digest[(row == r) & (sign < 0)].tolist()) == shifted[r] - sets[r]
 
 
+def test_a_false_check_ends():
+    """A digest in one of its three cells only: taking it out leaves it in the two others, again and again."""
+    digest = np.array([12345], dtype=np.uint64)
+    count, key, sum_ = np.zeros(60, np.int64), np.zeros(60, np.uint64), np.zeros(60, np.uint64)
+    at = fingerprints.places(digest, 30)[0, 0]
+    count[at], key[at], sum_[at] = 1, digest[0], fingerprints.check(digest)[0]
+    done, *_ = fingerprints.peel(count, key, sum_, 30)
+    assert done.tolist() == [False, True]
+
+
 def brute(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     out = {}
