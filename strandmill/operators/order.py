@@ -33,15 +33,16 @@ def sort_records(records: DataFrame, mode: str = "s", natural: bool = False, tie
     return records.orderBy(*keys(mode, natural, ties, **columns))
 
 
-def ranked(records: DataFrame, chrom_keys: list[Column], at: Column, ties: list, shift: int = scalar.BUCKET_SHIFT) -> DataFrame:
-    """records with rn, the row's place in the order (chrom_keys, at, ties), from 1.
+def ranked(records: DataFrame, groups: list[Column], at: Column, ties: list, shift: int = scalar.BUCKET_SHIFT, natural: bool = False) -> DataFrame:
+    """records with rn, the row's place in the order (groups, at, ties), from 1; natural: the one group is a chromosome, in natural order.
 
-    A place is the count of all rows in earlier (chromosome, position bucket) cells plus the place within the cell. The cells are
-    a small table: a genome has a few thousand of them. No task holds more than a cell.
+    A place is the count of all rows in earlier (group, position bucket) cells plus the place within the cell. The cells are a small
+    table, a few thousand rows for a genome, and only there is the order of groups worked out. No task holds more than a cell.
     """
-    names = [f"__k{i}" for i in range(len(chrom_keys))]
-    celled = records.withColumns({**dict(zip(names, chrom_keys, strict=True)), "__at": at}).withColumn("__cell", scalar.bucket(F.col("__at"), shift))
-    before = Window.orderBy(*names, "__cell").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"__k{i}" for i in range(len(groups))]
+    celled = records.withColumns({**dict(zip(names, groups, strict=True)), "__at": at}).withColumn("__cell", scalar.bucket(F.col("__at"), shift))
+    by = chromosome_keys(names[0], True) if natural else [F.col(n) for n in names]
+    before = Window.orderBy(*by, "__cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = celled.groupBy(*names, "__cell").agg(F.count("*").alias("__n")).select(*names, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     within = F.row_number().over(Window.partitionBy(*names, "__cell").orderBy("__at", *ties))
     placed = celled.withColumn("__within", within).join(cells, [*names, "__cell"])

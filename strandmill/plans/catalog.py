@@ -85,7 +85,7 @@ def _parsed_lines(spark, sf_dir):
 def _rank(mode: str, natural: bool = False):
     def run(spark, sf_dir):
         v = view_l(spark, sf_dir)
-        out = order.ranked(v, order.chromosome_keys("chrom", natural), order.position(mode), ["end", *TIES] if mode == "b" else TIES, SHIFT)
+        out = order.ranked(v, [F.col("chrom")], order.position(mode), TIES, SHIFT, natural)
         return _plain(out.select("chrom", "start", "end", "name", "score", "strand", "rn"))
 
     return run
@@ -248,7 +248,7 @@ def bucket_filter(spark, sf_dir):
 def chrom_rank_join(spark, sf_dir):
     """Records with the rank of their chromosome in natural order, from the small table of chromosomes."""
     v = view_l(spark, sf_dir)
-    ranks = order.ranked(v.select("chrom").distinct(), order.chromosome_keys("chrom", True), F.lit(0), []).select("chrom", (F.col("rn") - 1).alias("chrom_rank"))
+    ranks = order.ranked(v.select("chrom").distinct(), [F.col("chrom")], F.lit(0), [], natural=True).select("chrom", (F.col("rn") - 1).alias("chrom_rank"))
     return _plain(v.join(ranks, "chrom").groupBy("chrom", "chrom_rank").agg(F.count("*").alias("records"), F.min("start").alias("min_start")))
 
 

@@ -14,8 +14,6 @@ from strandmill import schema
 from strandmill.functions import scalar
 from strandmill.schema import BedError
 
-# The digits are possessive: a line of two columns must not give digits of its start back to make an end.
-LINE = r"(?s)^([^\t \r]+)[\t ]([0-9]++)[\t ]([0-9]++)(.*)$"
 MOST_SCORE_BYTES = 255
 
 
@@ -49,9 +47,18 @@ def split_header(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parsed3(data: DataFrame) -> DataFrame:
-    """data with chrom, start, end, tail (with its leading separator); null positions where the line is malformed."""
-    part = lambda i: F.regexp_extract("value", LINE, i)
-    return data.withColumns({"chrom": part(1), "start": scalar.unsigned(part(2)), "end": scalar.unsigned(part(3)), "tail": part(4)})
+    """data with chrom, start, end, tail (with its leading separator); null positions where the line is malformed.
+
+    A name without white space, a separator (one tab or space), digits, a separator, digits; the tail is all that follows. One split by a
+    single character and one pattern over what follows the start, instead of a pattern over the line for each part.
+    """
+    parts = F.split(F.translate("value", " ", "\t"), "\t", 3)
+    split = data.withColumn("__parts", parts)
+    chrom, start, rest = (F.coalesce(F.get("__parts", F.lit(i)), F.lit("")) for i in range(3))
+    named = split.withColumns({"chrom": chrom, "__start": start, "__end": F.regexp_extract(rest, "^[0-9]+", 0)})
+    fine = (F.col("chrom") != "") & ~F.contains("chrom", F.lit("\r"))
+    used = F.length("chrom") + F.length("__start") + F.length("__end") + 3
+    return named.withColumns({"start": F.when(fine, scalar.unsigned(F.col("__start"))), "end": F.col("__end").try_cast("int"), "tail": F.substring("value", used, F.lit(1 << 30))}).drop("__parts", "__start", "__end")
 
 
 def is_well_formed() -> Column:
