@@ -248,7 +248,10 @@ def refile(keys: np.ndarray, free: np.ndarray, fp: np.ndarray, most: int):
 
 
 def links(nodes: DataFrame, most: int) -> DataFrame:
-    """u, v: links that join exactly the components of fingerprints within `most` bits. nodes: distinct fp."""
+    """u, v: links that join exactly the components of fingerprints within `most` bits. nodes: distinct fp; with a column `tables`, of
+    which only fingerprints of one table are compared (its fps must not occur in another)."""
+    if "tables" not in nodes.columns:
+        nodes = nodes.withColumn("tables", F.lit(0))
     n, both = bit_counts(nodes)
     sample = np.array([r["fp"] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(U64)
     plan = [(mask_of(bits), flips(bits, t)) for bits, t in allocate(n, both, sample, most)] if len(sample) else []
@@ -256,15 +259,16 @@ def links(nodes: DataFrame, most: int) -> DataFrame:
     def file(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+            table = textkit.mix(batch.column("tables").to_numpy(zero_copy_only=False).astype(U64))
             for i, (mask, changes) in enumerate(plan):
                 for change in changes:
-                    key = textkit.mix(((fp ^ change) & U64(mask)) + textkit.mix(np.full(1, i + 1, U64)))
+                    key = textkit.mix((((fp ^ change) & U64(mask)) ^ table) + textkit.mix(np.full(1, i + 1, U64)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(np.full(len(fp), change != 0)), pa.array(np.full(len(fp), ~mask & (1 << 64) - 1, U64).view(np.int64))], ["key", "fp", "probe", "free"]
                     )
 
     schema = "key long, fp long, probe boolean, free long"
-    filed = nodes.select("fp").mapInArrow(file, schema)
+    filed = nodes.select("fp", "tables").mapInArrow(file, schema)
 
     def file_again(batches):
         for batch in batches:
@@ -273,9 +277,11 @@ def links(nodes: DataFrame, most: int) -> DataFrame:
             keys, left = refile(key, free, fp, most)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.tile(fp, most + 1).view(np.int64)), pa.array(np.tile(probe, most + 1)), pa.array(left.view(np.int64))], ["key", "fp", "probe", "free"])
 
-    crowded = filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("key", F.lit(True).alias("crowded"))
-    marked = filed.join(textkit.cut(crowded), "key", "left")
-    rows = marked.where("crowded is null").select("key", "fp", "probe", "free").union(marked.where("crowded").select("key", "fp", "probe", "free").mapInArrow(file_again, schema))
+    crowded = textkit.cut(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("key", F.lit(True).alias("crowded")))
+    rows = filed
+    if not crowded.isEmpty():
+        marked = textkit.cut(filed.join(crowded, "key", "left"))
+        rows = marked.where("crowded is null").drop("crowded").union(marked.where("crowded").drop("crowded").mapInArrow(file_again, schema))
 
     def verify(batches):
         got = [pa.Table.from_batches([b]) for b in batches]

@@ -50,6 +50,14 @@ def test_near_duplicates_keep_one_of_each_family(spark):
     assert all(i in kept for i in text if family[i] >= 100)
 
 
+def test_large_groups_settle_in_rounds(spark, monkeypatch):
+    rows = families(9, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    want = sorted(r["doc_id"] for r in neardedup.dedupe(docs).collect())
+    monkeypatch.setattr(neardedup, "TASK_GROUP", 2)
+    assert sorted(r["doc_id"] for r in neardedup.dedupe(docs).collect()) == want
+
+
 def test_near_duplicates_cases(spark):
     rows = [(5, "One two three four five six"), (3, "one  TWO three four five\tsix"), (7, None), (6, ""), (None, "one two three four five six"), (9, "other words"), (9, "other words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
