@@ -35,7 +35,8 @@ SPACE = "▁"
 _B = U64(0x9E3779B97F4A7C15)
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 BATCH_WORDS = 20_000
-MEMO_WORDS = 1_500_000  # distinct words whose ids a worker keeps
+CHUNK_BYTES = 2_000_000  # of text that a worker encodes at once
+MEMO_WORDS = 500_000  # distinct words whose ids a worker keeps
 NEVER = np.int64(1 << 60)
 
 
@@ -345,7 +346,7 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", ids_col:
     def apply(batches):
         model = shared.value
         for batch in batches:
-            for a, b, data, offsets in textkit.pieces(batch.column(text_col), 8_000_000):
+            for a, b, data, offsets in textkit.pieces(batch.column(text_col), CHUNK_BYTES):
                 ids, first = model.encode(data, offsets)
                 column = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in kept), column], [*kept, ids_col])
@@ -381,7 +382,7 @@ def report(docs: DataFrame, path: str = MODEL) -> DataFrame:
         model = shared.value
         for batch in batches:
             texts = batch.column("text")
-            for a, b, data, offsets in textkit.pieces(texts, 8_000_000):
+            for a, b, data, offsets in textkit.pieces(texts, CHUNK_BYTES):
                 ids, first = model.encode(data, offsets)
                 back = model.decode(ids, first)
                 raw, own = ids.astype("<i4").tobytes(), [data[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
