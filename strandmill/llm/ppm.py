@@ -1,4 +1,4 @@
-"""Prediction by partial matching over bytes: a pretrained context trie scores every text.
+"""Prediction by partial matching over bytes: a context trie, partitioned over the cluster, scores every text.
 
 Symbols are the bytes of the lower-cased (A-Z) UTF-8 text and one end symbol. The trie holds the counts of all strings of
 up to ORDER + 1 symbols in the training texts; a context is such a string and its children are the symbols seen after it.
@@ -7,10 +7,12 @@ symbols of the contexts escaped from are excluded there; below the empty context
 escape mass is estimated by absolute discounting: each child gives up DISCOUNT of its count, and what pruned children
 counted goes to the escape whole, so the probabilities of all symbols sum to one in every context.
 
-Training counts every byte of every training text. Tasks count strings of ORDER + 1 symbols and ship them once each,
-dealt by their last three symbols; shorter strings are suffixes of these and are summed there. A string stays in the trie
-if it occurs LEAST times and makes up at least a share of 1 / RESOLUTION of the training symbols, so at most RESOLUTION strings of each length
-can stay, however large the corpus: that is the bound of what is collected and broadcast (NODE_BYTES each).
+Training counts every byte of every training text, and a string stays in the trie if it occurs LEAST times, whatever the size of
+the corpus. A symbol's score depends on the ORDER + 1 symbols that end in it. Texts are dealt into blocks of about BLOCK bytes; a
+block ships its distinct strings of that length, with their training counts, by the last HEAD context symbols. A part so has
+every longer context with its children and suffixes: it builds its share of the trie, scores its strings and sends the scores
+back to the blocks, which add them up by text. Strings of up to HEAD symbols are in every part: they are counted beforehand,
+collected and broadcast, at most 2^24 and as many as there are different runs of three bytes, which a larger corpus hardly adds to.
 
 Exclusion costs no sets: the symbols seen after a context are a subset of those after its suffix, so the excluded count
 of a suffix is a sum stored with the longer context, and scoring takes a few lookups a symbol.
@@ -34,8 +36,10 @@ from strandmill.llm.features import fold
 from strandmill.llm.textkit import U64
 
 ORDER = 6
-RESOLUTION = 1 << 22
-NODE_BYTES = 28
+HEAD = 3
+BLOCK = 5_000_000
+PART = 16_000_000  # bytes of text for each part of the trie
+LEAST_PARTS = 54
 LEAST = 3
 DISCOUNT = 0.6
 FLUSH = 24_000_000
@@ -83,25 +87,30 @@ def tally(keys: np.ndarray, counts=None):
 class Trie:
     """Sorted tables for each string length m: its count, and as a context its children and escape sums."""
 
-    def __init__(self, order: int, nodes: list[tuple[np.ndarray, np.ndarray]]):
-        """nodes[m]: (keys ascending, counts) of the strings of m symbols, m from 0; nodes[0] is the empty string's total."""
+    def __init__(self, order: int, nodes: list[tuple[np.ndarray, np.ndarray]], contexts=None):
+        """nodes[m]: (keys ascending, counts) of the strings of m symbols, m from 0; nodes[0] is the empty string's total.
+        contexts: the same for the strings that are contexts, where these are not the nodes (in a part of the trie)."""
         self.order = order
         self.total = int(nodes[0][1].sum())
-        self.keys = [nodes[m][0] for m in range(order + 2)]
+        contexts = nodes if contexts is None else contexts
+        self.keys = [contexts[m][0] for m in range(order + 1)]
         self.slots = [_Slots(k) for k in self.keys]
-        count = [nodes[m][1].astype(np.float64) for m in range(order + 2)]
+        strings_ = [nodes[m][0] for m in range(order + 2)]
+        self.string_slots = self.slots + [_Slots(strings_[-1])] if contexts is nodes else [_Slots(k) for k in strings_]
+        count = [contexts[m][1].astype(np.float64) for m in range(order + 1)]
+        times = [nodes[m][1].astype(np.float64) for m in range(order + 2)]
         kept, kinds, excluded = [], [], []
         for m in range(order + 1):
-            child, n = self.keys[m + 1], count[m + 1]
+            child, n = strings_[m + 1], times[m + 1]
             coded = (child & U64(255)) != U64(START)  # START after START is counted to total its context, never coded
             child, n = child[coded], n[coded]
             parent = np.searchsorted(self.keys[m], child >> U64(8))
             size = len(self.keys[m])
             kept.append(np.bincount(parent, n, minlength=size))
             kinds.append(np.bincount(parent, minlength=size))
-            below = count[m][np.searchsorted(self.keys[m], suffix(child, m))] if m else n * 0
+            below = times[m][np.searchsorted(strings_[m], suffix(child, m))] if m else n * 0
             excluded.append(np.bincount(parent, below, minlength=size))
-        self.count = [c.astype(np.float32) for c in count]
+        self.count = [c.astype(np.float32) for c in times]
         # room[m][c]: the mass shared in context c when nothing is excluded; room_under: in its suffix, after escaping from c.
         self.room, self.escape, self.room_under, self.escape_under = [], [], [], []
         for m in range(order + 1):
@@ -135,8 +144,11 @@ class Trie:
         """log10 of the probability of each coded symbol."""
         place = np.flatnonzero(coded)
         full = strings(symbols, self.order + 1)
-        target, context = full[place], full[place - 1]
-        n = len(place)
+        return self.of(full[place], full[place - 1])
+
+    def of(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """log10 of the probability of the last symbol of each target after its context, both as integers."""
+        n = len(target)
         # The longest context with children, and its index.
         top, top_at = np.zeros(n, np.int8), np.zeros(n, np.int64)
         left = np.arange(n)
@@ -151,7 +163,7 @@ class Trie:
         left = np.arange(n)
         for m in range(self.order, -1, -1):
             mine = left[top[left] >= m]
-            at = self.slots[m + 1].find(suffix(target[mine], m + 1))
+            at = self.string_slots[m + 1].find(suffix(target[mine], m + 1))
             known = at >= 0
             hit[mine[known]], hit_count[mine[known]] = m, self.count[m + 1][at[known]]
             left = left[hit[left] < 0]
@@ -238,12 +250,13 @@ def _batch(rows, names, kinds):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def train(texts: DataFrame, order: int = ORDER, resolution: int = RESOLUTION) -> Trie:
-    """The trie of a column `text`; every byte of every row is counted."""
+def train(texts: DataFrame, order: int = ORDER, resolution: int | None = None) -> Trie:
+    """The whole trie in one place, for texts whose trie fits there; `scored` is for any size. With a resolution, strings below that
+    share of the symbols go too."""
     spark = texts.sparkSession
     sums = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n")).first()
     total = sums["n"] or 0
-    least = max(LEAST, -(-total // resolution))
+    least = max(LEAST, -(-total // resolution)) if resolution else LEAST
     n = textkit.partitions(spark)
 
     def count(batches):
@@ -290,22 +303,112 @@ def train(texts: DataFrame, order: int = ORDER, resolution: int = RESOLUTION) ->
     return Trie(order, nodes)
 
 
-def score(docs: DataFrame, trie: Trie, score_col: str = "score") -> DataFrame:
-    """docs with score_col: log10 of the probability of the text and its end."""
-    shared = docs.sparkSession.sparkContext.broadcast(trie)
-    kept = [c for c in docs.columns if c not in (score_col, "text")]
+def _low_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(strings of HEAD symbols ascending, counts) over all texts."""
+    dealt = 8
+
+    def count(batches):
+        def ship(held):
+            counts = np.bincount(np.concatenate(held), minlength=1 << (8 * HEAD))
+            keys = np.flatnonzero(counts)
+            rows = [(p, _packed(k), c.tobytes()) for p, k, c in _parted((keys % dealt).astype(np.int32), keys.astype(U64), counts[keys].astype(np.int64))]
+            return _batch(rows, ["part", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()])
 
-    def apply(batches):
-        model = shared.value
+        held, size = [], 0
         for batch in batches:
-            out = []
-            for _, _, data, offsets in textkit.pieces(batch.column("text"), 1_000_000):
-                values = np.concatenate([[0.0], np.cumsum(model.scores(*padded(data, offsets, model.order)))])
-                ends = np.cumsum(np.diff(offsets) + 1)
-                out.append(np.diff(values[np.concatenate([[0], ends])]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.concatenate(out) if out else np.zeros(0))], [*kept, score_col])
+            for _, _, data, offsets in textkit.pieces(batch.column("text")):
+                symbols, coded = padded(data, offsets, HEAD)
+                held.append(strings(symbols, HEAD)[coded].astype(np.int32))
+                size += len(held[-1])
+                if size >= FLUSH // 6:
+                    yield ship(held)
+                    held, size = [], 0
+        if held:
+            yield ship(held)
+
+    def add_up(table):
+        keys, counts = tally(*(np.concatenate(x) for x in zip(*((_unpacked(k), np.frombuffer(c, np.int64)) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True)), strict=True)))
+        return pa.Table.from_batches([_batch([(_packed(keys), counts.tobytes())], ["keys", "counts"], [pa.binary(), pa.binary()])])
+
+    rows = texts.select("text").mapInArrow(count, "part int, keys binary, counts binary").groupBy("part").applyInArrow(add_up, "keys binary, counts binary").collect()
+    return tally(np.concatenate([np.zeros(0, U64), *(_unpacked(r["keys"]) for r in rows)]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in rows)]))
 
-    return docs.select(*kept, "text").mapInArrow(apply, docs.select(*kept).schema.add(score_col, "double"))
+
+def _often(keys: np.ndarray, counts: np.ndarray):
+    return keys[counts >= LEAST], counts[counts >= LEAST]
+
+
+def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """docs (row_key, learn, text and others) with score, log10 of the probability of the text and its end, in place of learn and text.
+    The model learns from the rows with learn."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(textkit.partitions(spark), size // BLOCK)
+    parts = max(LEAST_PARTS, size // PART)
+    low, times = _low_counts(docs.where("learn"))
+    total = int(times.sum())
+    empty = (np.zeros(1, U64), np.array([total]))
+    head = spark.sparkContext.broadcast(
+        (
+            [empty, *(_often(*tally(suffix(low, m), times)) for m in range(1, HEAD + 1))],
+            [empty, *(_often(*tally(suffix(low >> U64(8), m), times)) for m in range(1, HEAD))],
+        )
+    )
+    part_of = lambda keys: (textkit.mix(suffix(keys >> U64(8), HEAD)) % U64(parts)).astype(np.int32)
+
+    def found(table):
+        """(rows, row of each symbol, string of each symbol) for stretches of a block."""
+        for a, b, data, offsets in textkit.pieces(table.column("text")):
+            symbols, coded = padded(data, offsets, order)
+            yield np.repeat(np.arange(a, b, dtype=np.int32), np.diff(offsets) + 1), strings(symbols, order + 1)[coded]
+
+    def ship(table):
+        """A block's distinct strings for each part, with their training counts."""
+        learn = table.column("learn").to_numpy()
+        every, own = [], []
+        for rows, keys in found(table):
+            every.append(keys)
+            own.append(keys[learn[rows]])
+        keys, _ = tally(np.concatenate(every))
+        some, n = tally(np.concatenate(own))
+        counts = np.zeros(len(keys), np.int32)
+        counts[np.searchsorted(keys, some)] = n
+        block = table.column("block")[0].as_py()
+        rows = [(block, p, _packed(k), zlib.compress(c.tobytes(), 1)) for p, k, c in _parted(part_of(keys), keys, counts)]
+        return pa.Table.from_batches([_batch(rows, ["block", "part", "keys", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])])
+
+    def judge(table):
+        """The scores of a part's strings, for each block in the order of its strings."""
+        nodes, contexts = head.value
+        own = [_unpacked(k) for k in table.column("keys").to_pylist()]
+        counts = [np.frombuffer(zlib.decompress(c), np.int32) for c in table.column("counts").to_pylist()]
+        keys, counts = tally(np.concatenate(own), np.concatenate(counts).astype(np.int64))
+        seen = counts > 0
+        learnt, n = keys[seen], counts[seen]
+        nodes = [*nodes, *(_often(*tally(suffix(learnt, m), n)) for m in range(HEAD + 1, order + 2))]
+        contexts = [*contexts, *(_often(*tally(suffix(learnt >> U64(8), m), n)) for m in range(HEAD, order + 1))]
+        trie = Trie(order, nodes, contexts)
+        scores = np.concatenate([trie.of(k, k >> U64(8)).astype(np.float32) for k in np.array_split(keys, -(-len(keys) // 1_000_000))])
+        blobs = [scores[np.searchsorted(keys, k)].tobytes() for k in own]
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "scores": pa.array(blobs, pa.binary())})
+
+    kept = [c for c in docs.columns if c not in ("learn", "text")]
+
+    def add_up(table, judged):
+        stretches = list(found(table))
+        keys, _ = tally(np.concatenate([k for _, k in stretches]))
+        blobs = dict(zip(judged.column("part").to_pylist(), judged.column("scores").to_pylist(), strict=True))
+        scores = np.zeros(len(keys))
+        for p, at in _parted(part_of(keys), np.arange(len(keys))):
+            scores[at] = np.frombuffer(blobs[p], np.float32)
+        slots, out = _Slots(keys), np.zeros(table.num_rows)
+        for rows, k in stretches:
+            out += np.bincount(rows, scores[slots.find(k)], minlength=len(out))
+        return table.select(kept).append_column("score", pa.array(out))
+
+    dealt = docs.withColumn("block", F.pmod(F.hash("row_key"), F.lit(blocks)).cast("int")).select(*kept, "learn", "text", "block")
+    judged = dealt.groupBy("block").applyInArrow(ship, "block int, part int, keys binary, counts binary").groupBy("part").applyInArrow(judge, "block int, part int, scores binary")
+    return dealt.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(add_up, docs.select(*kept).schema.add("score", "double"))
 
 
 # The word baseline.
@@ -452,6 +555,6 @@ def report(docs: DataFrame) -> DataFrame:
     held_out = fold("doc_id", 5) == 1
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), held_out.alias("held_out"), "text")
     training = docs.where(~held_out).select("text")
-    scored = textkit.cut(score(keyed, train(training)))
+    judged = textkit.cut(scored(keyed.withColumn("learn", ~F.col("held_out"))))
     n, base = word_baseline(keyed, training)
-    return scored.join(base, "row_key").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return judged.join(base, "row_key").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

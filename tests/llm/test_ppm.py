@@ -107,3 +107,14 @@ def test_slots_find_all_and_nothing_else():
     slots = ppm._Slots(keys)
     assert (slots.find(keys) == np.arange(len(keys))).all()
     assert (slots.find(textkit.mix(keys)) == -1).all()
+
+
+def test_three_occurrences_keep_a_string_in_a_large_corpus(spark):
+    """13.6 MB of one common word, in which a rare word occurs three times: it stays, as in a small corpus."""
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = next(i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = [(i, "ab " * 200_000) for i in ids[:23]] + [(i, "qxwvkz") for i in ids[23:26]] + [(held, "qxwvkz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = next(r["score"] for r in ppm.report(docs).collect() if r["doc_id"] == held)
+    assert got > -8  # each symbol after the first follows its context in all of three cases
+    assert got == pytest.approx(brute_scores(["ab " * 200] + ["qxwvkz"] * 3, ["qxwvkz"], ppm.ORDER)[0], abs=1.0)
