@@ -50,6 +50,23 @@ def test_near_duplicates_keep_one_of_each_family(spark):
     assert all(i in kept for i in text if family[i] >= 100)
 
 
+def test_no_pair_of_080_to_085_stays(spark):
+    """Lone pairs just above the limit, against brute force."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(3000)]
+    pairs = []
+    while len(pairs) < 60:
+        base = rng.choices(vocabulary, k=300)
+        own = list(base)
+        for _ in range(rng.randint(5, 7)):
+            own[rng.randrange(300)] = rng.choice(vocabulary)
+        a, b = shingles(" ".join(base)), shingles(" ".join(own))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            pairs.append((" ".join(base), " ".join(own)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(t for p in pairs for t in p)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in neardedup.dedupe(docs).collect()) == list(range(0, 120, 2))
+
+
 def test_large_groups_settle_in_rounds(spark, monkeypatch):
     rows = families(9, 5)
     docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
