@@ -67,6 +67,19 @@ def test_no_pair_of_080_to_085_stays(spark):
     assert sorted(r["doc_id"] for r in neardedup.dedupe(docs).collect()) == list(range(0, 120, 2))
 
 
+def test_repeats_within_a_text_do_not_hide_its_set(spark):
+    """Nearly equal sets of shingles, of which one text repeats twenty 30 times: judged and found by set."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(3000)]
+    texts = []
+    for _ in range(10):
+        line, rest = rng.choices(vocabulary, k=24), rng.choices(vocabulary, k=400)
+        texts += [" ".join(line + rest), " ".join(line * 30 + rest)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(alike(a, b) for a, b in zip(texts[::2], texts[1::2], strict=True))
+    assert sorted(r["doc_id"] for r in neardedup.dedupe(docs).collect()) == list(range(0, 20, 2))
+
+
 def test_large_groups_settle_in_rounds(spark, monkeypatch):
     rows = families(9, 5)
     docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
