@@ -511,7 +511,7 @@ def word_baseline(docs: DataFrame, texts: DataFrame):
                     r, w = r[order], w[order]
                     head = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])]))
                     own, of = np.unique(r[head], return_inverse=True)
-                    rows.append((None, None, None, None, None, p, w[head].tobytes(), keys[own].tobytes(), np.diff(of, prepend=0).astype(np.int16).tobytes(), np.diff(np.append(head, len(w))).astype(np.int16).tobytes()))
+                    rows.append((None, None, None, None, None, p, w[head].tobytes(), keys[own].tobytes(), np.diff(of, prepend=0).astype(np.int16).tobytes(), np.diff(np.append(head, len(w))).astype(np.int32).tobytes()))
                 if rows:
                     yield _batch(rows, names, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), *[pa.binary()] * 4])
 
@@ -519,7 +519,7 @@ def word_baseline(docs: DataFrame, texts: DataFrame):
         words, counts = (_unpacked(table.column("words")[0].as_py()), np.frombuffer(table.column("counts")[0].as_py(), np.int64)) if table.num_rows else (np.zeros(0, U64), np.zeros(0, np.int64))
         sums = []
         for w, keys, of, times in zip(*(met.column(c).to_pylist() for c in ("words", "keys", "of", "times")), strict=True):
-            w, keys, of, times = np.frombuffer(w, U64), np.frombuffer(keys, np.int64), np.cumsum(np.frombuffer(of, np.int16), dtype=np.int64), np.frombuffer(times, np.int16).astype(np.int64)
+            w, keys, of, times = np.frombuffer(w, U64), np.frombuffer(keys, np.int64), np.cumsum(np.frombuffer(of, np.int16), dtype=np.int64), np.frombuffer(times, np.int32).astype(np.int64)
             at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
             c = np.where(words[at] == w, counts[at], 0) if len(words) else np.zeros(len(w), np.int64)
             sums.append((keys, np.bincount(of, times * (c > 0)).astype(np.int64), np.bincount(of, times * np.log10((c + 0.5) / total))))

@@ -118,3 +118,13 @@ def test_three_occurrences_keep_a_string_in_a_large_corpus(spark):
     got = next(r["score"] for r in ppm.report(docs).collect() if r["doc_id"] == held)
     assert got > -8  # each symbol after the first follows its context in all of three cases
     assert got == pytest.approx(brute_scores(["ab " * 200] + ["qxwvkz"] * 3, ["qxwvkz"], ppm.ORDER)[0], abs=1.0)
+
+
+def test_one_unseen_word_repeated_40000_times(spark):
+    ids = {h: [i for i in range(60) if (zlib.crc32(str(i).encode()) % 5 == 1) == h] for h in (False, True)}
+    docs = spark.createDataFrame([(ids[False][0], "some words"), (ids[True][0], "junk " * 40_000)], "doc_id long, text string")
+    _, base = ppm.word_baseline(docs.selectExpr("doc_id as row_key", "text"), docs.where(docs["doc_id"] == ids[False][0]).select("text"))
+    got = next(r for r in base.collect() if r["row_key"] == ids[True][0])
+    n, v = 3, 3  # two words and the end
+    assert (got["n_tokens"], got["n_known"]) == (40_001, 1)
+    assert got["base_score"] == pytest.approx(40_000 * math.log10(0.5 / (n + 0.5 * (v + 1))) + math.log10(1.5 / (n + 0.5 * (v + 1))))
