@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import sys
 import time
 import warnings
@@ -23,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-s", "--sort", default="s", choices=order.MODES, help="s: start, b: start and end, 5: strand-aware five-prime end")
     p.add_argument("--collapse", action="store_true", help="sum the scores of records that share chromosome and start")
     p.add_argument("--low-mem-ssd", action="store_true", help="sort chromosomes in parallel")
-    p.add_argument("--external-merge", action="store_true", help="bounded memory: sorted runs spill and merge")
+    p.add_argument("--external-merge", action="store_true", help="bounded memory: ranges of at most --max-mem, which spill and merge where a task has less")
     p.add_argument("--multi-pass", action="store_true", help="several passes over the input, each sorting what fits --max-mem")
     p.add_argument("--merge-codec", default="zstd", help="codec of spilled blocks: raw, lz4, zstd")
     p.add_argument("--tmpdir", help="folder for spilled blocks")
@@ -34,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--bgzip", action="store_true", help="blocked gzip output; needs -o")
     p.add_argument("--tabix", action="store_true", help="a .tbi index beside the output; implies --bgzip")
     p.add_argument("--locus-output", help="write a sorted locus dataset (Parquet) instead of text")
+    p.add_argument("--locus-parts", help="write the dataset as a folder of ordered parts, by all tasks at once")
     p.add_argument("--locus-index", action="store_true", help="with --locus-output: embed the interval index")
     p.add_argument("--coord-dtype", default="int32", choices=["int32", "int64"])
     p.add_argument("--key-prefix", default=locus_parquet.KEY_PREFIX, help="prefix of the dataset's footer keys")
@@ -52,7 +54,8 @@ def check_options(o: argparse.Namespace) -> None:
     rules = [
         (o.tabix or o.bgzip, not o.output, "--bgzip needs -o"),
         (o.tabix or o.bgzip, bool(o.locus_output), "--bgzip and --locus-output exclude each other"),
-        (o.locus_output, o.sort != "s", "--locus-output sorts by start only"),
+        (o.locus_output or o.locus_parts, o.sort != "s", "--locus-output sorts by start only"),
+        (o.locus_parts, bool(o.locus_output or o.output or o.bgzip or o.tabix or o.multi_pass), "--locus-parts is an output of its own"),
         (o.locus_output, bool(o.output), "--locus-output and -o exclude each other"),
         (o.collapse, o.sort != "s", "--collapse groups by start and needs --sort=s"),
         (is_bam(o.input), o.sort != "s" or o.collapse or o.low_mem_ssd or o.natural_sort, "BAM input has the coordinate order only"),
@@ -84,25 +87,36 @@ def run(o: argparse.Namespace, spark=None) -> None:
     if is_bam(o.input):
         bam.write_bam(bam.sort_bam(bam.read_bam(spark, o.input)), o.input, o.output)
         return
-    header, records = bed.read_bed(spark, bed.spool_stdin() if o.input == "-" else o.input)
-    if o.verbose:
-        seen = records.agg(F.count("*").alias("n"), F.countDistinct("chrom").alias("c")).first()
-        say(f"{seen['n']} records on {seen['c']} chromosomes, read in {time.time() - began:.2f} s")
-    if o.locus_output:
+    with bed.spooled_stdin(spark) if o.input == "-" else contextlib.nullcontext(o.input) as path:
+        _sort(spark, path, o, say, began)
+
+
+def _sort(spark, path: str, o: argparse.Namespace, say, began: float) -> None:
+    header, records = bed.read_bed(spark, path)
+    if o.verbose:  # phases: a scan of its own, then the sort with its output
+        seen = records.agg(F.count("*").alias("n"), F.countDistinct("chrom").alias("c"), F.sum(F.octet_length("value") + 1).alias("bytes")).first()
+        say(f"scan: {seen['n']} records on {seen['c']} chromosomes, {seen['bytes'] or 0} bytes, {len(header)} header lines, {time.time() - began:.2f} s")
+    scanned = time.time()
+    if o.locus_output or o.locus_parts:
         if o.collapse:
             rows = collapse.as_locus(collapse.collapse(collapse.with_weight(records)))
         else:
             rows = bed.typed(records, bed.detect_flavor(records))
-        locus_parquet.write_locus(rows, o.locus_output, o.natural_sort, o.locus_index, o.coord_dtype, header, o.key_prefix)
+        if o.locus_parts:
+            locus_parquet.write_locus_parts(rows, o.locus_parts, o.natural_sort, o.coord_dtype, header)
+        else:
+            locus_parquet.write_locus(rows, o.locus_output, o.natural_sort, o.locus_index, o.coord_dtype, header, o.key_prefix)
     elif o.multi_pass:
         pieces = list(strategy.multi_pass(records, scalar.memory_size(o.max_mem) or strategy.DEFAULT_BUDGET))
         _write_pieces(pieces, header, o)
     else:
         if o.collapse:
             lines = collapse.rendered(collapse.collapse(collapse.with_weight(records)))
-            out = bed.parsed3(lines).orderBy(*order.chromosome_keys("chrom", o.natural_sort), "start")
+            out = order.sort_records(bed.parsed3(lines), "s", o.natural_sort, ())
         elif o.low_mem_ssd:
             out = strategy.per_chromosome(records, o.sort, o.natural_sort)
+        elif o.external_merge:
+            out = strategy.external(records, scalar.memory_size(o.max_mem) or strategy.DEFAULT_BUDGET, o.sort, o.natural_sort)
         else:
             out = order.sort_records(records, o.sort, o.natural_sort)
         if o.bgzip or o.tabix:
@@ -111,6 +125,7 @@ def run(o: argparse.Namespace, spark=None) -> None:
             text.write_file(out, o.output, header)
         else:
             text.write_stream(out, header)
+    say(f"sort and output: {time.time() - scanned:.2f} s")
     say(f"done in {time.time() - began:.2f} s")
 
 

@@ -1,12 +1,12 @@
-"""Columns and tables derived from sorted loci: running maxima, row ids, runs, statistics, histograms, the interval index.
+"""Columns and tables derived from loci: running maxima, runs, statistics, histograms, the interval index.
 
-Windows run per (chromosome, position bucket) and small per-bucket tables carry totals across, so the task size is bounded
-by a bucket, not by a chromosome.
+Small tables of totals carry results across tasks: a task's size is bounded by positions or by ranges of the data, not by a
+chromosome or by how many records begin at one place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import scalar
@@ -15,14 +15,19 @@ from strandmill.schema import BedError
 RECORD_OVERHEAD = 20  # bytes a record adds to a pass's budget besides its line
 
 
-def max_end_so_far(loci: DataFrame, ties: list, chrom="Chromosome", start="Start", end="End", shift: int = scalar.BUCKET_SHIFT, out: str = "MaxEndSoFar") -> DataFrame:
-    """loci with the running maximum of end within its chromosome, in order of (start, end, ties)."""
-    celled = loci.withColumn("__cell", scalar.bucket(F.col(start), shift))
-    earlier = Window.partitionBy(chrom).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = celled.groupBy(chrom, "__cell").agg(F.max(end).alias("__most")).select(chrom, "__cell", F.max("__most").over(earlier).alias("__before"))
-    own = F.max(end).over(Window.partitionBy(chrom, "__cell").orderBy(start, end, *ties).rowsBetween(Window.unboundedPreceding, 0))
-    joined = celled.withColumn("__own", own).join(cells, [chrom, "__cell"])
-    return joined.withColumn(out, F.greatest("__own", "__before")).drop("__own", "__before", "__cell")
+def max_end_so_far(loci: DataFrame, chrom="Chromosome", start="Start", end="End", shift: int = scalar.BUCKET_SHIFT, out: str = "MaxEndSoFar") -> DataFrame:
+    """loci with the running maximum of end within its chromosome, in order of (start, end).
+
+    Among equal starts the ends ascend, so a row's maximum is its own end or the most of earlier starts. One row a start, combined before
+    the exchange, is all that the windows see: a bucket has at most 2**shift of them, however many records begin there.
+    """
+    starts = loci.groupBy(F.col(chrom).alias("__c"), F.col(start).alias("__s")).agg(F.max(end).alias("__most")).withColumn("__cell", scalar.bucket(F.col("__s"), shift))
+    earlier_cells = Window.partitionBy("__c").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = starts.groupBy("__c", "__cell").agg(F.max("__most").alias("__top")).select("__c", "__cell", F.max("__top").over(earlier_cells).alias("__before"))
+    earlier = Window.partitionBy("__c", "__cell").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    prior = starts.withColumn("__own", F.max("__most").over(earlier)).join(cells, ["__c", "__cell"]).select("__c", "__s", F.greatest("__own", "__before").alias("__prior"))
+    joined = loci.join(prior, (F.col(chrom) == F.col("__c")) & (F.col(start) == F.col("__s")))
+    return joined.withColumn(out, F.greatest(end, "__prior")).drop("__c", "__s", "__prior")
 
 
 def chromosome_stats(loci: DataFrame, chrom="Chromosome", start="Start", end="End", chrom_keys=None) -> DataFrame:
@@ -32,9 +37,10 @@ def chromosome_stats(loci: DataFrame, chrom="Chromosome", start="Start", end="En
     return stats.withColumn("row_offset", F.coalesce(F.sum("rows").over(before), F.lit(0)))
 
 
-def run_boundaries(loci: DataFrame, order: list, chrom="Chromosome") -> DataFrame:
-    """loci with new_run: whether the row is the first of its chromosome in the order."""
-    return loci.withColumn("new_run", F.row_number().over(Window.partitionBy(chrom).orderBy(*order)) == 1)
+def run_boundaries(placed: DataFrame, chrom="chrom") -> DataFrame:
+    """Rows with their place rn, with new_run: whether the row before is of another chromosome. Neighbours meet by place, so a run is no task."""
+    before = placed.select((F.col("rn") + 1).alias("rn"), F.col(chrom).alias("__before"))
+    return placed.join(before, "rn", "left").withColumn("new_run", F.col("__before").isNull() | (F.col("__before") != F.col(chrom))).drop("__before")
 
 
 def position_histogram(records: DataFrame, shift: int = scalar.BUCKET_SHIFT, chrom="chrom", start="start", line="value") -> DataFrame:
@@ -62,25 +68,32 @@ def in_bucket_range(chrom, bucket, low: tuple, high: tuple | None):
     return at_least(low) & (~at_least(high) if high is not None else F.lit(True))
 
 
-def interval_index(loci: DataFrame, chrom="Chromosome", start="Start", end="End") -> DataFrame:
+def interval_index(loci: DataFrame, chrom="Chromosome", start="Start", end="End", shift: int = scalar.BUCKET_SHIFT) -> DataFrame:
     """chromosome, starts, ends, max_end_running, row_id: a row a chromosome with lists in storage order.
 
-    The lists of a chromosome form one row by definition, so a chromosome must fit a task; the index is opt-in for that reason.
+    The lists of a chromosome form one row by definition, so a chromosome must fit a task; the index is opt-in for that reason. The running
+    maximum is worked out before the rows come together, which then are sorted once.
     """
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))))
-    lists = loci.groupBy(F.col(chrom).alias("chromosome")).agg(pairs.alias("rows"))
+    rows = max_end_so_far(loci.select(F.col(chrom).alias("chromosome"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")), "chromosome", "s", "e", shift, "m")
+    lists = rows.groupBy("chromosome").agg(F.array_sort(F.collect_list(F.struct("s", "e", "m"))).alias("rows"))
     before = Window.orderBy("chromosome").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.size("rows").cast("long")).over(before), F.lit(0))
-    running = F.aggregate(
-        "rows",
-        F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(None).cast("bigint").alias("most")),
-        lambda acc, r: F.struct(F.array_append(acc["out"], F.greatest(acc["most"], r["e"])).alias("out"), F.greatest(acc["most"], r["e"]).alias("most")),
-        lambda acc: acc["out"],
-    )
     return lists.withColumn("offset", offset).select(
         "chromosome",
-        F.transform("rows", lambda r: r["s"]).alias("starts"),
-        F.transform("rows", lambda r: r["e"]).alias("ends"),
-        running.alias("max_end_running"),
-        F.transform(F.sequence(F.lit(0), F.size("rows") - 1), lambda i: F.col("offset") + i).alias("row_id"),
+        F.col("rows.s").alias("starts"),
+        F.col("rows.e").alias("ends"),
+        F.col("rows.m").alias("max_end_running"),
+        F.sequence(F.col("offset"), F.col("offset") + F.size("rows") - 1).alias("row_id"),
     )
+
+
+def first_above(ascending: Column, bound) -> Column:
+    """The number of elements of an ascending array that are at most the bound, by halving: 40 looks at the array, whatever its length."""
+    look = lambda s, _: F.when(s["low"] >= s["high"], s).otherwise(halved(s))
+
+    def halved(s):
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        right = F.get(ascending, middle) <= F.lit(bound)
+        return F.struct(F.when(right, middle + 1).otherwise(s["low"]).alias("low"), F.when(right, s["high"]).otherwise(middle).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(F.lit(0).alias("low"), F.size(ascending).alias("high")), look, lambda s: s["low"])

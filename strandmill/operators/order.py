@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import scalar
+from strandmill.plans import storage
 from strandmill.schema import BedError
 
 MODES = ("s", "b", "5")
+RANK = "__rank"
 
 
 def chromosome_keys(chrom: str = "chrom", natural: bool = False) -> list[Column]:
@@ -16,37 +18,59 @@ def chromosome_keys(chrom: str = "chrom", natural: bool = False) -> list[Column]
     return [scalar.natural_key(F.col(chrom)), F.col(chrom)] if natural else [F.col(chrom)]
 
 
+def name_ranks(records: DataFrame, chrom: str = "chrom") -> DataFrame:
+    """chrom, rank: the distinct names with their place in natural order, from 0. Only here the natural key is worked out, once a name."""
+    names = records.select(chrom).distinct()
+    return names.withColumn("rank", F.row_number().over(Window.orderBy(*chromosome_keys(chrom, True))) - 1)
+
+
 def position(mode: str, start: str = "start", end: str = "end", strand: str = "strand") -> Column:
     if mode not in MODES:
         raise BedError(f"the sort key is one of {', '.join(MODES)}, not {mode}")
     return scalar.five_prime(F.col(start), F.col(end), F.col(strand)) if mode == "5" else F.col(start)
 
 
-def keys(mode: str, natural: bool = False, ties: tuple[str, ...] = ("value",), **columns: str) -> list[Column]:
-    """The sort columns of a mode: s by start, b by start and end, 5 by the strand's beginning."""
-    own = [*chromosome_keys(columns.get("chrom", "chrom"), natural), position(mode, **{k: v for k, v in columns.items() if k != "chrom"})]
-    return [*own, *([F.col(columns.get("end", "end"))] if mode == "b" else []), *[F.col(t) for t in ties]]
+def keyed(records: DataFrame, mode: str, natural: bool = False, ties: tuple[str, ...] = ("value",), **columns: str) -> tuple[DataFrame, list[Column]]:
+    """(records, sort columns) of a mode: s by start, b by start and end, 5 by the strand's beginning. For natural order the records carry
+    the rank of their name, to be dropped with RANK."""
+    chrom = columns.pop("chrom", "chrom")
+    first = F.col(chrom)
+    if natural:
+        ranks = storage.cut(name_ranks(records, chrom).withColumnRenamed("rank", RANK))
+        records, first = records.join(storage.small(ranks), chrom), F.col(RANK)
+    return records, [first, position(mode, **columns), *([F.col(columns.get("end", "end"))] if mode == "b" else []), *[F.col(t) for t in ties]]
 
 
 def sort_records(records: DataFrame, mode: str = "s", natural: bool = False, ties: tuple[str, ...] = ("value",), **columns: str) -> DataFrame:
     """Globally sorted: one range exchange on the whole key, so neither a long chromosome nor a crowded start makes a hot task."""
-    return records.orderBy(*keys(mode, natural, ties, **columns))
+    records, keys = keyed(records, mode, natural, ties, **columns)
+    return records.orderBy(*keys).drop(RANK)
 
 
-def ranked(records: DataFrame, groups: list[Column], at: Column, ties: list, shift: int = scalar.BUCKET_SHIFT, natural: bool = False) -> DataFrame:
-    """records with rn, the row's place in the order (groups, at, ties), from 1; natural: the one group is a chromosome, in natural order.
+def numbered(rows: DataFrame, out: str = "rn") -> DataFrame:
+    """rows with the place of each in the order in which they lie, from 1.
 
-    A place is the count of all rows in earlier (group, position bucket) cells plus the place within the cell. The cells are a small
-    table, a few thousand rows for a genome, and only there is the order of groups worked out. No task holds more than a cell.
+    The rows are written once with their partition and index; the partitions' counts, one row a partition, carry the places across.
     """
-    names = [f"__k{i}" for i in range(len(groups))]
-    celled = records.withColumns({**dict(zip(names, groups, strict=True)), "__at": at}).withColumn("__cell", scalar.bucket(F.col("__at"), shift))
-    by = chromosome_keys(names[0], True) if natural else [F.col(n) for n in names]
-    before = Window.orderBy(*by, "__cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = celled.groupBy(*names, "__cell").agg(F.count("*").alias("__n")).select(*names, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy(*names, "__cell").orderBy("__at", *ties))
-    placed = celled.withColumn("__within", within).join(cells, [*names, "__cell"])
-    return placed.withColumn("rn", (F.col("__before") + F.col("__within")).cast("long")).drop(*names, "__at", "__cell", "__within", "__before")
+    placed = storage.cut(rows.withColumn("__id", F.monotonically_increasing_id()))
+    part, index = F.shiftrightunsigned("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__part", before.alias("__before"))
+    return placed.withColumn("__part", part).join(F.broadcast(counts), "__part").withColumn(out, F.col("__before") + index + 1).drop("__part", "__before", "__id")
+
+
+def ranked(records: DataFrame, *by) -> DataFrame:
+    """records with rn, the row's place in the order of the columns, from 1: sorted by range, so a task's size depends on the data alone."""
+    return numbered(records.orderBy(*by))
+
+
+def inversions(placed: DataFrame, *by: str) -> DataFrame:
+    """inversions: the number of rows that come after a greater one, for rows with their place rn. Neighbours meet by place."""
+    now, then = F.struct(*by), F.struct(*[F.col(c) for c in by])
+    later = placed.select(F.col("rn").alias("at"), now.alias("now"))
+    earlier = placed.select((F.col("rn") + 1).alias("at"), then.alias("then"))
+    return later.join(earlier, "at").where("now < then").groupBy().agg(F.count("*").alias("inversions"))
 
 
 def bam_keys(tid: Column, pos: Column) -> list[Column]:

@@ -7,6 +7,8 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.operators import derive
+
 MOST_BROADCAST_REGIONS = 1_000_000  # of about 40 bytes; more regions meet the loci in bins
 
 
@@ -41,10 +43,13 @@ def binned_join(loci: DataFrame, regions: DataFrame, bin_shift: int) -> DataFram
 
 
 def index_lookup(index: DataFrame, chrom: str, low: int, high: int) -> DataFrame:
-    """row_id, start_, end_ of the rows of an interval index (see derive.interval_index) that overlap the region."""
-    rows = F.arrays_zip("row_id", "starts", "ends", "max_end_running")
-    hits = F.filter(rows, lambda r: (r["starts"] < high) & (r["max_end_running"] > low) & (r["ends"] > low))
-    return index.where(F.col("chromosome") == chrom).select(F.explode(hits).alias("r")).select(F.col("r.row_id").alias("row_id"), F.col("r.starts").alias("start_"), F.col("r.ends").alias("end_"))
+    """row_id, start_, end_ of the rows of an interval index (see derive.interval_index) that overlap the region: two binary searches and a
+    look at the rows between."""
+    begin, stop = derive.first_above(F.col("max_end_running"), low), derive.first_above(F.col("starts"), high - 1)
+    found = index.where(F.col("chromosome") == chrom).withColumns({"__begin": begin, "__n": F.greatest(stop - begin, F.lit(0))})
+    between = F.arrays_zip(*[F.slice(c, F.col("__begin") + 1, F.col("__n")).alias(c) for c in ("row_id", "starts", "ends")])
+    rows = found.where("__n > 0").select(F.explode(between).alias("r")).where(F.col("r.ends") > low)
+    return rows.select(F.col("r.row_id").alias("row_id"), F.col("r.starts").alias("start_"), F.col("r.ends").alias("end_"))
 
 
 def lookup(entry: dict, low: int, high: int) -> list[int]:

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import scalar
 from strandmill.operators import collapse, derive, order, region
-from strandmill.plans import strategy
-from strandmill.sources import bed, locus_parquet
+from strandmill.plans import storage, strategy
+from strandmill.sources import bed, locus_parquet, workload
 
 SHIFT = 12  # the views' coordinates are small
+PASS_BUDGET = 3_000_000
+WORKLOAD = ((100, 333), (1_000, 333), (10_000, 334))  # regions of sizes that fit the views
 REGION = ("chr2", 4_000, 5_000)
 E_REGION = ("click", 2_000, 4_000)
 REGIONS = [(c, s, s + w) for c in ("chr1", "chr2", "chr10", "chr20") for s, w in ((0, 1_000), (4_000, 1_000), (50_000, 300))]
@@ -72,9 +74,36 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({"start": "start_", "end": "end_"})
 
 
-LINE_COLUMNS = ["chrom", "start_", "end_", "name", "score", "strand"]
 TIES = ["start", "end", "name", "score", "strand"]
 _TIES_SQL = "start_, end_, name, score, strand"
+_kept: dict[tuple, str] = {}
+
+
+def _once(spark, sf_dir: str, name: str, write) -> str:
+    """The folder in which write(folder) left something made from sf_dir, once a session: queries over stored data start from there."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        folder = storage.new_folder(spark, name)
+        write(folder)
+        _kept[key] = folder
+    return _kept[key]
+
+
+def _dataset(spark, sf_dir, view=view_l):
+    """A stored dataset of the view, in ordered parts, as its reader sees it."""
+    folder = _once(spark, sf_dir, view.__name__, lambda f: locus_parquet.write_locus_parts(_loci(view(spark, sf_dir)), f))
+    return locus_parquet.read_locus(spark, folder)
+
+
+def _lines_file(spark, sf_dir) -> str:
+    """One text file with the lines of L below three header lines."""
+    head = ["# made", "track name=l", "browser position chr1"]
+
+    def write(folder):
+        lines = view_l(spark, sf_dir).select("value")
+        spark.createDataFrame([(h,) for h in head], "value string").coalesce(1).union(lines).coalesce(1).write.text(folder)
+
+    return _once(spark, sf_dir, "lines", write)
 
 
 def _parsed_lines(spark, sf_dir):
@@ -83,22 +112,23 @@ def _parsed_lines(spark, sf_dir):
 
 
 def _rank(mode: str, natural: bool = False):
+    """Records with the place at which the sort puts them."""
+
     def run(spark, sf_dir):
-        v = view_l(spark, sf_dir)
-        out = order.ranked(v, [F.col("chrom")], order.position(mode), TIES, SHIFT, natural)
+        out = order.numbered(order.sort_records(view_l(spark, sf_dir), mode, natural))
         return _plain(out.select("chrom", "start", "end", "name", "score", "strand", "rn"))
 
     return run
 
 
 def scan_bed(spark, sf_dir):
-    out = bed.parsed6(_parsed_lines(spark, sf_dir))
-    return _plain(out.select("chrom", "start", "end", "name", F.col("score").cast("decimal(18,2)").alias("score"), "strand"))
+    _, rows = bed.read_bed(spark, _lines_file(spark, sf_dir))
+    return _plain(rows.select("chrom", "start", "end", "name", F.col("score").cast("decimal(18,2)").alias("score"), "strand"))
 
 
 def header_split(spark, sf_dir):
     head = spark.createDataFrame([(0, "# made"), (1, "track name=l"), (2, "browser position chr1")], "line_id bigint, value string")
-    body = view_l(spark, sf_dir).groupBy("chrom").agg(F.min("value").alias("value")).select(F.lit(10).cast("bigint").alias("line_id"), "value")
+    body = view_l(spark, sf_dir).select((F.monotonically_increasing_id() + 10).alias("line_id"), "value")
     header, data = bed.split_header(head.union(body))
     return header.select(F.lit("header").alias("part"), "value").union(data.select(F.lit("data").alias("part"), "value"))
 
@@ -175,33 +205,35 @@ def render_bed(spark, sf_dir):
     return bed.rendered(_parsed_lines(spark, sf_dir))
 
 
+def _collapsed(spark, sf_dir):
+    return collapse.collapse(collapse.with_weight(bed.parsed6(_parsed_lines(spark, sf_dir))))
+
+
 def collapse_query(spark, sf_dir):
-    out = collapse.collapse(view_l(spark, sf_dir), "score")
-    return _plain(out.withColumn("score", F.col("score").cast("decimal(28,2)")))
+    return _plain(_collapsed(spark, sf_dir))
 
 
 def collapse_render(spark, sf_dir):
-    return collapse.rendered(collapse.collapse(view_l(spark, sf_dir).withColumn("weight", F.round(F.col("score")).cast("double"))))
+    return collapse.rendered(_collapsed(spark, sf_dir))
 
 
 def collapse_locus(spark, sf_dir):
-    weighed = view_l(spark, sf_dir).withColumn("weight", F.round(F.col("score")).cast("double"))
-    rows = collapse.as_locus(collapse.collapse(weighed))
-    return derive.max_end_so_far(rows, [], shift=SHIFT).withColumnsRenamed({"Start": "Start_", "End": "End_"})
+    return derive.max_end_so_far(collapse.as_locus(_collapsed(spark, sf_dir)), shift=SHIFT).withColumnsRenamed({"Start": "Start_", "End": "End_"})
 
 
 def locus_parquet_rows(spark, sf_dir):
-    rows = derive.max_end_so_far(_loci(view_l(spark, sf_dir)), ["Strand", "Name", "Score"], shift=SHIFT)
+    """The dataset's rows with the place at which the writer puts them."""
+    rows = order.numbered(locus_parquet.table_rows(_loci(view_l(spark, sf_dir))))
     return rows.withColumnsRenamed({"Start": "Start_", "End": "End_"})
 
 
 def read_locus(spark, sf_dir):
-    """The dataset's rows as the reader sees them: ordered, checked, derived."""
-    return locus_parquet.table_rows(_loci(view_e(spark, sf_dir))).withColumnsRenamed({"Start": "Start_", "End": "End_"})
+    """The rows of a stored dataset."""
+    return _dataset(spark, sf_dir, view_e).withColumnsRenamed({"Start": "Start_", "End": "End_"})
 
 
 def max_end_so_far(spark, sf_dir):
-    return derive.max_end_so_far(_loci(view_e(spark, sf_dir)), ["Name"], shift=SHIFT).select("Chromosome", F.col("Start").alias("Start_"), F.col("End").alias("End_"), "MaxEndSoFar")
+    return derive.max_end_so_far(_loci(view_e(spark, sf_dir)), shift=SHIFT).select("Chromosome", F.col("Start").alias("Start_"), F.col("End").alias("End_"), "MaxEndSoFar")
 
 
 def manifest_chrom_stats(spark, sf_dir):
@@ -209,30 +241,54 @@ def manifest_chrom_stats(spark, sf_dir):
 
 
 def interval_index(spark, sf_dir):
-    return derive.interval_index(_loci(view_e(spark, sf_dir)))
+    return derive.interval_index(_loci(view_e(spark, sf_dir)), shift=SHIFT)
 
 
 def index_lookup(spark, sf_dir):
-    return region.index_lookup(derive.interval_index(_loci(view_e(spark, sf_dir))), *E_REGION)
+    return region.index_lookup(derive.interval_index(_dataset(spark, sf_dir, view_e)), *E_REGION)
 
 
-def _stored(spark, sf_dir, view=view_l):
-    return derive.max_end_so_far(_loci(view(spark, sf_dir)), ["Strand", "Name", "Score"], shift=SHIFT)
+def region_overlap(spark, sf_dir):
+    """The stored records that overlap one region; all clauses reach the scan."""
+    return region.region(_dataset(spark, sf_dir), *REGION).withColumnsRenamed({"Start": "Start_", "End": "End_"})
 
 
-def region_overlap(spark, sf_dir):
-    return region.region(_stored(spark, sf_dir), *REGION).withColumnsRenamed({"Start": "Start_", "End": "End_"})
+def _overlaps(joined: DataFrame) -> DataFrame:
+    return joined.select("Chromosome", F.col("Start").alias("Start_"), F.col("End").alias("End_"), "Name", "q_start", "q_end")
 
 
 def region_overlap_batch(spark, sf_dir):
     regions = spark.createDataFrame(REGIONS, "q_chrom string, q_start int, q_end int")
-    return region.region_batch(_loci(view_l(spark, sf_dir)), regions).select("Chromosome", F.col("Start").alias("Start_"), F.col("End").alias("End_"), "Name", "q_start", "q_end")
+    return _overlaps(region.region_batch(_dataset(spark, sf_dir), regions))
 
 
 def region_overlap_binned(spark, sf_dir):
     """The same join as a large set of regions takes it: by bins."""
     regions = spark.createDataFrame(REGIONS, "q_chrom string, q_start int, q_end int")
-    return region.binned_join(_loci(view_l(spark, sf_dir)), regions, SHIFT).select("Chromosome", F.col("Start").alias("Start_"), F.col("End").alias("End_"), "Name", "q_start", "q_end")
+    return _overlaps(region.binned_join(_dataset(spark, sf_dir), regions, SHIFT))
+
+
+def _sizes(spark, sf_dir):
+    """Chromosomes and their lengths, as a manifest has them."""
+    return view_l(spark, sf_dir).groupBy(F.col("chrom").alias("name")).agg(F.max("end").cast("long").alias("length"))
+
+
+def workload_scan(spark, sf_dir):
+    """Regions read from lines, of which every seventh lacks a field."""
+    v = view_l(spark, sf_dir)
+    fields = F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"))
+    short = F.concat_ws("\t", "chrom", F.col("start").cast("string"))
+    return workload.parsed(v.select(F.when(F.col("start") % 7 == 0, short).otherwise(F.concat_ws("\t", fields, "name")).alias("value")))
+
+
+def workload_drawn(spark, sf_dir):
+    return workload.drawn(_sizes(spark, sf_dir), 42, WORKLOAD)
+
+
+def workload_buckets(spark, sf_dir):
+    """Regions and overlapping records by size of region, against a stored dataset."""
+    regions = workload.drawn(_sizes(spark, sf_dir), 42, WORKLOAD).select("q_chrom", "q_start", "q_end")
+    return workload.summary(regions, region.region_batch(_dataset(spark, sf_dir), regions))
 
 
 def position_histogram(spark, sf_dir):
@@ -248,7 +304,7 @@ def bucket_filter(spark, sf_dir):
 def chrom_rank_join(spark, sf_dir):
     """Records with the rank of their chromosome in natural order, from the small table of chromosomes."""
     v = view_l(spark, sf_dir)
-    ranks = order.ranked(v.select("chrom").distinct(), [F.col("chrom")], F.lit(0), [], natural=True).select("chrom", (F.col("rn") - 1).alias("chrom_rank"))
+    ranks = order.name_ranks(v).select("chrom", F.col("rank").cast("long").alias("chrom_rank"))
     return _plain(v.join(ranks, "chrom").groupBy("chrom", "chrom_rank").agg(F.count("*").alias("records"), F.min("start").alias("min_start")))
 
 
@@ -261,29 +317,37 @@ def distinct_chroms(spark, sf_dir):
 
 
 def row_id(spark, sf_dir):
-    out = order.ranked(view_l(spark, sf_dir), [F.col("chrom")], F.col("start"), TIES, SHIFT)
+    out = order.ranked(view_l(spark, sf_dir), "chrom", *TIES)
     return _plain(out.select("chrom", "start", "end", "name", (F.col("rn") - 1).alias("row_id")))
 
 
 def run_boundaries(spark, sf_dir):
-    out = derive.run_boundaries(view_l(spark, sf_dir), TIES, "chrom")
-    return _plain(out.where("new_run").select("chrom", "start", "end", "name", "new_run"))
+    """Where a run of one chromosome begins, in two orders: by chromosome, with a run each, and by start, with many."""
+    v = view_l(spark, sf_dir)
+    found = [derive.run_boundaries(order.ranked(v, *by)).where("new_run").select(F.lit(name).alias("stored"), "chrom", "start", "end", "name", "rn") for name, by in (("chrom", ("chrom", *TIES)), ("start", (*TIES, "chrom")))]
+    return _plain(found[0].unionByName(found[1]))
 
 
 def sort_per_chrom(spark, sf_dir):
-    """Ranked after the per-chromosome plan: ranges of (chromosome, start) sorted in place."""
-    v = strategy.per_chromosome(view_l(spark, sf_dir))
-    out = order.ranked(v, [F.col("chrom")], F.col("start"), TIES, SHIFT)
+    """The places that the per-chromosome plan gives, with natural order of names."""
+    out = order.numbered(strategy.per_chromosome(view_l(spark, sf_dir), natural=True))
+    return _plain(out.select("chrom", "start", "end", "name", "rn"))
+
+
+def sort_external(spark, sf_dir):
+    """The places that runs of at most 1 MB give, sorted by start and end."""
+    out = order.numbered(strategy.external(view_l(spark, sf_dir), 1_000_000, "b"))
     return _plain(out.select("chrom", "start", "end", "name", "rn"))
 
 
 def sort_multipass(spark, sf_dir):
-    """The passes of a 2 MB budget, each with the ranks of its rows within the pass."""
-    out = None
-    for i, piece in enumerate(strategy.multi_pass(view_l(spark, sf_dir), 2_000_000, SHIFT)):
-        own = piece.groupBy("chrom").agg(F.count("*").alias("n"), F.min("start").alias("low"), F.max("start").alias("high"), F.lit(i).alias("pass"))
-        out = own if out is None else out.union(own)
-    return out.groupBy("chrom").agg(F.sum("n").cast("bigint").alias("records"), F.min("low").alias("low"), F.max("high").alias("high"))
+    """The places that the passes of a budget give, one pass after the other."""
+    out, before = None, 0
+    for piece in strategy.multi_pass(view_l(spark, sf_dir), PASS_BUDGET, SHIFT):
+        own = order.numbered(piece).select("chrom", "start", "end", "name", (F.col("rn") + before).alias("rn"))
+        before += own.count()
+        out = own if out is None else out.unionByName(own)
+    return _plain(out)
 
 
 def sort_bam_key(spark, sf_dir):
@@ -293,7 +357,7 @@ def sort_bam_key(spark, sf_dir):
     pos = F.when(F.col("l_quantity") == 50, -1).otherwise((F.col("l_partkey") * 50).cast("int"))
     a = t.select(tid.alias("tid"), pos.alias("pos"), "l_orderkey", "l_linenumber", "l_extendedprice")
     no_tid, t_, no_pos, p = order.bam_keys(F.col("tid"), F.col("pos"))
-    out = order.ranked(a, [no_tid, t_, no_pos], p, ["l_orderkey", "l_linenumber", "l_extendedprice"], SHIFT)
+    out = order.ranked(a, no_tid, t_, no_pos, p, "l_orderkey", "l_linenumber", "l_extendedprice")
     return out.select("tid", "pos", "l_orderkey", "l_linenumber", "rn")
 
 
@@ -311,17 +375,21 @@ def latency_summary(spark, sf_dir):
 
 
 def order_check(spark, sf_dir):
-    """Rows that differ between two ways of sorting, both ways: none."""
-    a = view_l(spark, sf_dir).select("value")
-    b = strategy.per_chromosome(view_l(spark, sf_dir)).select("value")
-    return a.exceptAll(b).union(b.exceptAll(a)).groupBy().agg(F.count("*").alias("differing"))
+    """How often a record comes after a greater one: never in the plans' results, often in the order of names."""
+    v = view_l(spark, sf_dir)
+    plans = {"default": order.sort_records(v), "per_chromosome": strategy.per_chromosome(v), "external": strategy.external(v, 1_000_000), "by_name": v.orderBy("name", "value")}
+    out = None
+    for name, rows in plans.items():
+        own = order.inversions(order.numbered(rows), "chrom", "start", "value").select(F.lit(name).alias("plan"), "inversions")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def queries():
     named = [
         scan_bed, header_split, empty_scan, parse_bed3, parse_bed6, parse_uint, parse_int32_strict, validate_rows, tail_field_count, tail_split, flavor_detect, flavor_bed6, flavor_bed12,
         render_bed, collapse_render, collapse_locus, locus_parquet_rows, read_locus, max_end_so_far, manifest_chrom_stats, interval_index, index_lookup, region_overlap, region_overlap_batch,
-        region_overlap_binned, position_histogram, bucket_filter, chrom_rank_join, row_count, distinct_chroms, row_id, run_boundaries, sort_per_chrom, sort_multipass, sort_bam_key, union_runs,
+        region_overlap_binned, workload_scan, workload_drawn, workload_buckets, position_histogram, bucket_filter, chrom_rank_join, row_count, distinct_chroms, row_id, run_boundaries, sort_per_chrom, sort_external, sort_multipass, sort_bam_key, union_runs,
         latency_summary, order_check,
     ]
     found = {f.__name__: f for f in named}
@@ -333,15 +401,27 @@ def _ranked_sql(keys: str, columns: str = "chrom, start_, end_, name, score, str
 
 
 _RUNNING = "max({end}) over (partition by {chrom} order by {keys} rows between unbounded preceding and current row)"
+_LINE_SQL = "concat_ws(chr(9), chrom, cast(start_ as varchar), cast(end_ as varchar), name, cast(score as varchar), strand)"
 
 
-def _stored_sql(table: str, ties: str) -> str:
+def _stored_sql(table: str, ties: str, more: str = "") -> str:
     running = _RUNNING.format(end="end_", chrom="chrom", keys=f"start_, end_, {ties}")
-    return f'select chrom as "Chromosome", start_ as "Start_", end_ as "End_", strand as "Strand", name as "Name", cast(score as varchar) as "Score", {running} as "MaxEndSoFar" from ({table})'
+    return f'select chrom as "Chromosome", start_ as "Start_", end_ as "End_", strand as "Strand", name as "Name", cast(score as varchar) as "Score", {running} as "MaxEndSoFar"{more} from ({table})'
+
+
+def _luck_sql(salt: str) -> str:
+    return f"cast(concat('0x', substr(md5(concat('42 {salt} ', cast(q_id as varchar))), 1, 8)) as bigint)"
+
+
+def _drawn_sql() -> str:
+    kinds = ", ".join(f"({size}, {sum(n for _, n in WORKLOAD[:i])}, {n})" for i, (size, n) in enumerate(WORKLOAD))
+    return f"""select q_id, own, cast({_luck_sql("start")} % (own.length - size) as integer) as q_start, size from (select *, names[cast({_luck_sql("chromosome")} % len(names) as integer) + 1] as own from
+ (select size, unnest(range(first_, first_ + n)) as q_id from (values {kinds}) k(size, first_, n)) join (select size, list(struct_pack(name := name, length := length) order by name) as names from
+ (values {kinds}) k(size, first_, n) join (select chrom as name, max(end_) as length from ({L_SQL}) group by chrom) on length > size group by size) using (size))"""
 
 
 def oracle_sql():
-    line = "concat_ws(chr(9), chrom, cast(start_ as varchar), cast(end_ as varchar), name, cast(score as varchar), strand)"
+    line = _LINE_SQL
     tail = "concat(chr(9), name, chr(9), cast(score as varchar), chr(9), strand)"
     number = "case when regexp_full_match(text, '{p}') then try_cast(text as integer) end"
     regions = ", ".join(f"('{c}', {s}, {e})" for c, s, e in REGIONS)
@@ -349,11 +429,12 @@ def oracle_sql():
  from l join q on chrom = q_chrom and start_ < q_end and end_ > q_start"""
     c, low, high = E_REGION
     e_index = f"select chrom, start_, end_, row_number() over (order by chrom, start_, end_) - 1 as row_id, max(end_) over (partition by chrom order by start_, end_ rows between unbounded preceding and current row) as most from ({E_SQL})"
-    rounded = f"select chrom, start_, sum(cast(round(score) as double)) as s from ({L_SQL}) group by chrom, start_"
+    summed = f"select chrom, start_, sum(cast(cast(cast(score as varchar) as float) as double)) as s from ({L_SQL}) group by chrom, start_"
+    regions_drawn = f"select own.name as q_chrom, q_start, cast(q_start + size as integer) as q_end, size from ({_drawn_sql()})"
     keys = _TIES_SQL
     return {
         "scan_bed": f"select chrom, start_, end_, name, score, strand from ({L_SQL})",
-        "header_split": f"select 'header' as part, unnest(['# made', 'track name=l', 'browser position chr1']) as value union all select 'data', min({line}) from ({L_SQL}) group by chrom",
+        "header_split": f"select 'header' as part, unnest(['# made', 'track name=l', 'browser position chr1']) as value union all select 'data', {line} from ({L_SQL})",
         "empty_scan": "select cast(0 as bigint) as n",
         "parse_bed3": f"select chrom, start_, end_, {tail} as tail from ({L_SQL})",
         "parse_bed6": f"select name, cast(score as varchar) as score_text, strand, cast(cast(cast(score as varchar) as float) as double) as weight from ({L_SQL})",
@@ -367,10 +448,10 @@ def oracle_sql():
         "flavor_bed12": f"""select chrom as "Chromosome", start_ as "Start_", end_ as "End_", strand as "Strand", name as "Name", cast(score as varchar) as "Score", start_ as "ThickStart", end_ as "ThickEnd",
  '0,0,255' as "ItemRgb", 1 as "BlockCount", cast(end_ - start_ as varchar) as "BlockSizes", '0' as "BlockStarts" from ({L_SQL})""",
         "render_bed": f"select {line} as value from ({L_SQL})",
-        "collapse": f"select chrom, start_, start_ + 1 as end_, cast(sum(score) as decimal(28,2)) as score from ({L_SQL}) group by chrom, start_",
-        "collapse_render": f"select concat_ws(chr(9), chrom, cast(start_ as varchar), cast(start_ + 1 as varchar), '.', printf('%g', s), '+') as value from ({rounded})",
-        "collapse_locus": f'select chrom as "Chromosome", start_ as "Start_", start_ + 1 as "End_", s as "Score", start_ + 1 as "MaxEndSoFar" from ({rounded})',
-        "locus_parquet_rows": _stored_sql(L_SQL, "strand, name, cast(score as varchar)"),
+        "collapse": f"select chrom, start_, start_ + 1 as end_, s as score from ({summed})",
+        "collapse_render": f"select concat_ws(chr(9), chrom, cast(start_ as varchar), cast(start_ + 1 as varchar), '.', printf('%g', s), '+') as value from ({summed})",
+        "collapse_locus": f'select chrom as "Chromosome", start_ as "Start_", start_ + 1 as "End_", s as "Score", start_ + 1 as "MaxEndSoFar" from ({summed})',
+        "locus_parquet_rows": _stored_sql(L_SQL, "strand, name, cast(score as varchar)", ', row_number() over (order by chrom, start_, end_, strand, name, cast(score as varchar)) as rn'),
         "read_locus": _stored_sql(E_SQL, "strand, name, cast(score as varchar)"),
         "max_end_so_far": f'select "Chromosome", "Start_", "End_", "MaxEndSoFar" from ({_stored_sql(E_SQL, "name")})',
         "manifest_chrom_stats": f"""select name, n as rows, min_start, max_start, max_end, cast(coalesce(sum(n) over (order by name rows between unbounded preceding and 1 preceding), 0) as bigint) as row_offset
@@ -381,6 +462,9 @@ def oracle_sql():
         "region_overlap": f"""select * from ({_stored_sql(L_SQL, "strand, name, cast(score as varchar)")}) where "Chromosome" = '{REGION[0]}' and "Start_" < {REGION[2]} and "End_" > {REGION[1]}""",
         "region_overlap_batch": overlap,
         "region_overlap_binned": overlap,
+        "workload_scan": f"select chrom as q_chrom, start_ as q_start, end_ as q_end from ({L_SQL}) where start_ % 7 <> 0",
+        "workload_drawn": f"select q_id, own.name as q_chrom, q_start, cast(q_start + size as integer) as q_end, cast(size as bigint) as size from ({_drawn_sql()})",
+        "workload_buckets": f"""with q as ({regions_drawn}) select cast(size as bigint) as size, count(*) as regions, cast(sum((select count(*) from ({L_SQL}) l where l.chrom = q.q_chrom and l.start_ < q.q_end and l.end_ > q.q_start)) as bigint) as hits from q group by size""",
         "position_histogram": f"select chrom, start_ >> {SHIFT} as bucket, count(*) as records, cast(sum(octet_length(encode({line})) + 1) as bigint) as bytes from ({L_SQL}) group by all",
         "bucket_filter": f"select chrom, start_, end_, name from ({L_SQL}) where (chrom > 'chr10' or (chrom = 'chr10' and start_ >> {SHIFT} >= 5)) and not (chrom > 'chr14' or (chrom = 'chr14' and start_ >> {SHIFT} >= 3))",
         "chrom_rank_join": f"""with l as ({L_SQL}), d as (select chrom, row_number() over (order by {NATURAL_SQL}, chrom) - 1 as chrom_rank from (select distinct chrom from l))
@@ -388,18 +472,23 @@ def oracle_sql():
         "row_count": "select count(*) as n from lineitem",
         "distinct_chroms": f"select distinct chrom from ({L_SQL})",
         "row_id": f"with l as ({L_SQL}) select chrom, start_, end_, name, row_number() over (order by chrom, {keys}) - 1 as row_id from l",
-        "run_boundaries": f"select chrom, start_, end_, name, true as new_run from (select *, row_number() over (partition by chrom order by {keys}) as n from ({L_SQL})) where n = 1",
-        "sort_start": _ranked_sql(f"chrom, {keys}"),
-        "sort_start_end": _ranked_sql(f"chrom, {keys}"),
-        "sort_five_prime": _ranked_sql(f"chrom, case strand when '-' then end_ else start_ end, {keys}"),
-        "sort_natural": _ranked_sql(f"{NATURAL_SQL}, chrom, {keys}"),
-        "sort_per_chrom": _ranked_sql(f"chrom, {keys}", "chrom, start_, end_, name"),
-        "sort_multipass": f"select chrom, count(*) as records, min(start_) as low, max(start_) as high from ({L_SQL}) group by chrom",
+        "run_boundaries": " union all ".join(
+            f"select '{name}' as stored, chrom, start_, end_, name, rn from (select *, row_number() over (order by {by}) as rn, lag(chrom) over (order by {by}) as before from ({L_SQL})) where before is distinct from chrom"
+            for name, by in (("chrom", f"chrom, {keys}"), ("start", f"{keys}, chrom"))
+        ),
+        "sort_start": _ranked_sql(f"chrom, start_, {line}"),
+        "sort_start_end": _ranked_sql(f"chrom, start_, end_, {line}"),
+        "sort_five_prime": _ranked_sql(f"chrom, case strand when '-' then end_ else start_ end, {line}"),
+        "sort_natural": _ranked_sql(f"{NATURAL_SQL}, chrom, start_, {line}"),
+        "sort_per_chrom": _ranked_sql(f"{NATURAL_SQL}, chrom, start_, {line}", "chrom, start_, end_, name"),
+        "sort_external": _ranked_sql(f"chrom, start_, end_, {line}", "chrom, start_, end_, name"),
+        "sort_multipass": _ranked_sql(f"chrom, start_, {line}", "chrom, start_, end_, name"),
         "sort_bam_key": """select tid, pos, l_orderkey, l_linenumber, row_number() over (order by tid < 0, tid, pos < 0, pos, l_orderkey, l_linenumber, l_extendedprice) as rn from (select case when l_linenumber = 7 then -1 else
  cast(l_suppkey % 24 as integer) end as tid, case when l_quantity = 50 then -1 else cast(l_partkey * 50 as integer) end as pos, l_orderkey, l_linenumber, l_extendedprice from lineitem)""",
         "union_runs": f"select chrom, count(*) as records from (select chrom from ({L_SQL}) union all select chrom from ({E_SQL})) group by chrom",
         "latency_summary": "select event_type, count(*) as n, sum(cast(user_id as double)) as total, quantile_cont(cast(user_id as double), 0.5) as median, quantile_cont(cast(user_id as double), 0.99) as p99 from events group by event_type",
-        "order_check": "select cast(0 as bigint) as differing",
+        "order_check": f"""select unnest(['default', 'per_chromosome', 'external']) as plan, cast(0 as bigint) as inversions union all select 'by_name', count(*) from
+ (select row(chrom, start_, value) as now_, lag(row(chrom, start_, value)) over (order by name, value) as then_ from (select *, {line} as value from ({L_SQL}))) where now_ < then_""",
     }
 
 

@@ -30,20 +30,30 @@ def spill_settings(codec: str, tmpdir: str | None = None) -> dict[str, str]:
 
 def per_chromosome(records: DataFrame, mode: str = "s", natural: bool = False) -> DataFrame:
     """Chromosomes in parallel, each sorted in place: ranges of (chromosome, start), so that long chromosomes are divided too."""
+    return _in_ranges(records, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), mode, natural)
+
+
+def external(records: DataFrame, budget: int = DEFAULT_BUDGET, mode: str = "s", natural: bool = False) -> DataFrame:
+    """Sorted runs of at most about the budget each: as many ranges as the lines and their overheads need. A range that outgrows the memory
+    a task gets all the same spills under the codec of spill_settings and is merged from disk."""
     spark = records.sparkSession
-    own = order.keys(mode, natural)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return records.repartitionByRange(n, *own).sortWithinPartitions(*own)
+    size = records.agg(F.sum(F.octet_length("value") + 1 + derive.RECORD_OVERHEAD)).first()[0] or 0
+    return _in_ranges(records, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // budget)), mode, natural)
+
+
+def _in_ranges(records: DataFrame, n: int, mode: str, natural: bool) -> DataFrame:
+    records, keys = order.keyed(records, mode, natural)
+    return records.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(order.RANK)
 
 
 def multi_pass(records: DataFrame, budget: int = DEFAULT_BUDGET, shift: int = scalar.BUCKET_SHIFT) -> Iterator[DataFrame]:
     """Ordered pieces of the default order, one pass over the input each: a histogram plans stretches of buckets within the budget, and each
-    pass keeps its stretch and sorts it in one partition, without an exchange of the whole input."""
+    pass reads the input with all tasks, keeps its stretch and sorts it by range, so that no exchange holds more than a stretch."""
     histogram = [tuple(r) for r in derive.position_histogram(records, shift).orderBy("chrom", "bucket").collect()]
     for a, b in derive.plan_passes(histogram, budget):
         low, high = histogram[a][:2], histogram[b][:2] if b < len(histogram) else None
         inside = derive.in_bucket_range(F.col("chrom"), scalar.bucket(F.col("start"), shift), low, high)
-        yield records.where(inside).coalesce(1).sortWithinPartitions(*order.keys("s"))
+        yield order.sort_records(records.where(inside))
 
 
 def session(threads: int = 0, settings: dict[str, str] | None = None) -> SparkSession:

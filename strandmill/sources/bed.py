@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import sys
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandmill import schema
 from strandmill.functions import scalar
+from strandmill.plans import storage
 from strandmill.schema import BedError
 
 MOST_SCORE_BYTES = 255
@@ -27,12 +29,16 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(scalar.without_return(F.col("value")).alias("value"), F.monotonically_increasing_id().alias("line_id"))
 
 
-def spool_stdin() -> str:
-    """Standard input as a file in a folder of its own."""
-    path = os.path.join(tempfile.mkdtemp(prefix="spool"), "stdin.bed")
-    with open(path, "wb") as out:
-        shutil.copyfileobj(sys.stdin.buffer, out)
-    return path
+@contextlib.contextmanager
+def spooled_stdin(spark: SparkSession):
+    """Standard input as a file while the block runs. A pipe ends at the driver, so this is for local mode only."""
+    if not storage.is_local(spark):
+        raise BedError("standard input is read in local mode only; put the file where the cluster can read it")
+    with tempfile.TemporaryDirectory(prefix="spool") as folder:
+        path = os.path.join(folder, "stdin.bed")
+        with open(path, "wb") as out:
+            shutil.copyfileobj(sys.stdin.buffer, out)
+        yield path
 
 
 def split_header(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,8 +46,8 @@ def split_header(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A header line after a record stays with the data, where it is malformed.
     """
-    first = numbered.where((F.col("value") != "") & ~scalar.is_header(F.col("value"))).agg(F.min("line_id").alias("first"))
-    marked = numbered.withColumn("first", F.lit(first.first()["first"]).cast("long"))
+    first = numbered.where((F.col("value") != "") & ~scalar.is_header(F.col("value"))).select("line_id").first()
+    marked = numbered.withColumn("first", F.lit(first["line_id"] if first else None).cast("long"))
     leading = scalar.is_header(F.col("value")) & (F.col("first").isNull() | (F.col("line_id") < F.col("first")))
     return marked.where(leading).drop("first"), marked.where(~leading & (F.col("value") != "")).drop("first")
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import base64
+import io
 import json
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,10 +17,13 @@ from pyspark.sql import functions as F
 from strandmill import __version__, schema
 from strandmill.functions import scalar
 from strandmill.operators import derive, order
+from strandmill.plans import storage
 from strandmill.schema import BedError, Manifest
 from strandmill.sources import ordered
 
 KEY_PREFIX = "locus"  # of the footer keys; give another tool's prefix to write files for it
+ZSTD_MAGIC = bytes.fromhex("28b52ffd")  # fixed value of the format
+PART_BLOCK = 4 << 20  # bytes of a row group of a part, so that statistics prune within parts
 
 
 def table_rows(typed: DataFrame, natural: bool = False, coord_dtype: str = "int32") -> DataFrame:
@@ -25,9 +31,9 @@ def table_rows(typed: DataFrame, natural: bool = False, coord_dtype: str = "int3
     kind = schema.coordinate_type(coord_dtype)
     ok = F.when(F.col("End") > F.col("Start"), F.col("End")).otherwise(F.raise_error(F.concat(F.lit("End must be above Start: "), F.to_json(F.struct("Chromosome", "Start", "End")))).cast("int"))
     rows = typed.withColumns({"Start": F.col("Start").cast(kind), "End": ok.cast(kind)})
-    payload = [F.col(c) for c in typed.columns if c not in schema.LOCUS]
-    rows = derive.max_end_so_far(rows, payload)
-    return rows.select(*typed.columns, schema.DERIVED).orderBy(*order.chromosome_keys("Chromosome", natural), "Start", "End", *payload)
+    payload = tuple(c for c in typed.columns if c not in schema.LOCUS)
+    rows = derive.max_end_so_far(rows).select(*typed.columns, schema.DERIVED)
+    return order.sort_records(rows, "b", natural, payload, chrom="Chromosome", start="Start", end="End")
 
 
 def arrow_schema(columns: DataFrame) -> pa.Schema:
@@ -36,31 +42,48 @@ def arrow_schema(columns: DataFrame) -> pa.Schema:
     return pa.schema([pa.field(n, kinds.get(k) or pa.string(), nullable=False) for n, k in columns.dtypes])
 
 
-def index_blob(rows: DataFrame, natural: bool, prefix: str) -> bytes:
-    """The interval index: an Arrow stream, compressed, in base64 so that readers which want text keys can hold it."""
-    lists = [pa.field(n, pa.large_list(pa.int64())) for n in ("starts", "ends", "max_end_running", "row_id")]
-    layout = pa.schema([pa.field("chromosome", pa.string()), *lists], metadata={f"{prefix}_index_format_version": schema.INDEX_VERSION})
-    found = derive.interval_index(rows).orderBy(*order.chromosome_keys("chromosome", natural)).collect()
-    offset, entries = 0, []
-    for r in found:  # offsets follow the storage order
-        n = len(r["starts"])
-        entries.append({**r.asDict(), "row_id": list(range(offset, offset + n))})
-        offset += n
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, layout) as out:
-        out.write_table(pa.Table.from_pylist(entries, schema=layout))
-    return base64.b64encode(zstandard.compress(sink.getvalue().to_pybytes()))
-
-
-def write_locus(typed: DataFrame, path: str, natural: bool = False, index: bool = False, coord_dtype: str = "int32", headers: list[str] = (), key_prefix: str = KEY_PREFIX, **provenance) -> Manifest:
-    """Writes the dataset and returns its manifest. provenance: assembly, species, source_url, user_metadata."""
-    rows = table_rows(typed, natural, coord_dtype)
+def index_blob(rows: DataFrame, prefix: str) -> bytes:
+    """The interval index of ordered rows: an Arrow stream, compressed, in base64 so that readers which want text keys can hold it.
+
+    Rows come in order, a batch at a time, and a chromosome's lists are written as soon as it ends; the driver holds one chromosome's lists
+    as arrays, which make one row of the index by its format.
+    """
+    names = ("starts", "ends", "max_end_running", "row_id")
+    layout = pa.schema([pa.field("chromosome", pa.string()), *[pa.field(n, pa.large_list(pa.int64())) for n in names]], metadata={f"{prefix}_index_format_version": schema.INDEX_VERSION})
+    packed = io.BytesIO()
+    with zstandard.ZstdCompressor().stream_writer(packed, closefd=False) as out, pa.ipc.new_stream(out, layout) as stream:
+        held, name, offset = [], None, 0
+
+        def flush():
+            nonlocal held, offset
+            if held:
+                lists = [np.concatenate(c) for c in zip(*held, strict=True)]
+                n = len(lists[0])
+                lists.append(np.arange(offset, offset + n))
+                ends = pa.array([0, n], pa.int64())
+                stream.write_batch(pa.RecordBatch.from_arrays([pa.array([name]), *(pa.LargeListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in lists)], schema=layout))
+                held, offset = [], offset + n
+
+        for batch in ordered.arrow_batches(rows.select("Chromosome", "Start", "End", schema.DERIVED)):
+            runs = pc.run_end_encode(batch.column("Chromosome"))
+            begin = 0
+            for chrom, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if chrom != name:
+                    flush()
+                    name = chrom
+                held.append([batch.column(c).slice(begin, end - begin).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("Start", "End", schema.DERIVED)])
+                begin = end
+        flush()
+    return base64.b64encode(packed.getvalue())
+
+
+def _manifest(rows: DataFrame, layout: pa.Schema, natural: bool, coord_dtype: str, headers, provenance: dict) -> Manifest:
+    """The manifest of stored rows, from one aggregation over their coordinates."""
     stats = derive.chromosome_stats(rows, chrom_keys=order.chromosome_keys("name", natural)).orderBy("row_offset").collect()
-    layout = arrow_schema(rows)
     extra = {k: v for k, v in provenance.items() if v is not None}
     if headers:
         extra["user_metadata"] = {**extra.get("user_metadata", {}), "headers": list(headers)}
-    manifest = Manifest(
+    return Manifest(
         row_count=sum(r["rows"] for r in stats),
         chromosomes=[{k: r[k] for k in ("name", "rows", "row_offset", "min_start", "max_start", "max_end")} for r in stats],
         schema_columns=[{"name": f.name, "arrow_type": str(f.type), "compression": ["zstd", 3], "encoding": "native", "derived": f.name == schema.DERIVED} for f in layout],
@@ -69,7 +92,17 @@ def write_locus(typed: DataFrame, path: str, natural: bool = False, index: bool
         coord_dtype=coord_dtype,
         extra=extra,
     )
-    blob = index_blob(rows, natural, key_prefix) if index else None
+
+
+def write_locus(typed: DataFrame, path: str, natural: bool = False, index: bool = False, coord_dtype: str = "int32", headers: list[str] = (), key_prefix: str = KEY_PREFIX, **provenance) -> Manifest:
+    """Writes the dataset as one file and returns its manifest. provenance: assembly, species, source_url, user_metadata.
+
+    The rows are sorted and derived once and written to the shared folder; statistics, index and file read them from there.
+    """
+    rows = storage.cut(table_rows(typed, natural, coord_dtype))
+    layout = arrow_schema(rows)
+    manifest = _manifest(rows, layout, natural, coord_dtype, headers, provenance)
+    blob = index_blob(rows, key_prefix) if index else None
     sorting = [pq.SortingColumn(i) for i in range(3)]
     options = {"version": "2.6", "data_page_version": "2.0", "compression": "zstd", "compression_level": 3, "write_statistics": True, "write_page_index": True, "use_dictionary": True, "sorting_columns": sorting}
     with ordered.atomic(path) as out, pq.ParquetWriter(out, layout, **options) as writer:
@@ -88,6 +121,31 @@ def write_locus(typed: DataFrame, path: str, natural: bool = False, index: bool
     return manifest
 
 
+MANIFEST_FILE = "_manifest.json"
+
+
+def write_locus_parts(typed: DataFrame, folder: str, natural: bool = False, coord_dtype: str = "int32", headers: list[str] = (), **provenance) -> Manifest:
+    """Writes the dataset as a folder whose parts, in name order, hold the ordered rows: every task writes its own range. The folder takes its place
+    when all parts and the manifest beside them are there. Any path that Spark can write."""
+    spark = typed.sparkSession
+    fs, at = ordered.file_system(spark, folder)
+    parts = at.suffix(".tmp")
+    rows = table_rows(typed, natural, coord_dtype)
+    rows.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", PART_BLOCK).parquet(parts.toString())
+    stored = spark.read.parquet(parts.toString())
+    manifest = _manifest(stored, arrow_schema(stored), natural, coord_dtype, headers, provenance)
+    ordered.put_text(spark, f"{parts.toString()}/{MANIFEST_FILE}", json.dumps(manifest.as_json()))
+    fs.delete(at, True)
+    if not fs.rename(parts, at):
+        raise BedError(f"{folder} can't be published")
+    return manifest
+
+
+def read_parts_manifest(spark: SparkSession, folder: str) -> dict:
+    """The manifest of a dataset in parts."""
+    return json.loads("\n".join(r["value"] for r in spark.read.text(f"{folder}/{MANIFEST_FILE}").collect()))
+
+
 def read_locus(spark: SparkSession, path: str) -> DataFrame:
     """The rows; any file name extension."""
     return spark.read.format("parquet").load(path)
@@ -114,9 +172,10 @@ def read_index(path: str) -> dict[str, dict] | None:
     if found is None:
         return None
     try:
-        with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(base64.b64decode(found[1], validate=True))) as stream:
+        raw = found[1] if found[1][:4] == ZSTD_MAGIC else base64.b64decode(found[1], validate=True)  # version 1 came without base64
+        with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(raw)) as stream:
             version = {k.decode(): v.decode() for k, v in (stream.schema.metadata or {}).items()}
-            if schema.INDEX_VERSION not in version.values():
+            if not {"1", schema.INDEX_VERSION} & set(version.values()):
                 return None
             return {r["chromosome"]: r for r in stream.read_all().to_pylist()}
     except (ValueError, pa.ArrowInvalid, zstandard.ZstdError):

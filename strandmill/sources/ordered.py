@@ -11,7 +11,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def arrow_batches(ordered: DataFrame) -> Iterator[pa.RecordBatch]:
@@ -43,3 +43,19 @@ def atomic(path: str):
         with contextlib.suppress(FileNotFoundError):
             os.unlink(temporary)
         raise
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of a path that Spark can write, wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file at such a path."""
+    fs, at = file_system(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

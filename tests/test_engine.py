@@ -6,6 +6,7 @@ import json
 import random
 import struct
 import subprocess
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 from strandmill import cli, schema
 from strandmill.functions import scalar
 from strandmill.operators import collapse, derive, order, region
-from strandmill.plans import strategy
+from strandmill.plans import storage, strategy
 from strandmill.schema import BedError
-from strandmill.sources import bam, bed, bgzf, locus_parquet, text
+from strandmill.sources import bam, bed, bgzf, locus_parquet, text, workload
 
 
 def bed6(n=3000, seed=42, chroms=("chr1", "chr2", "chr10", "chrX"), most=5000):
@@ -255,9 +256,128 @@ def test_two_level_maximum_and_ranks(spark):
         most[c] = max(most.get(c, 0), e)
         want.append((c, s, e, most[c]))
     for shift in (0, 4, 20):
-        assert sorted(tuple(r) for r in derive.max_end_so_far(loci, [], shift=shift).collect()) == sorted(want)
-        ranked = order.ranked(loci, [F.col("Chromosome")], F.col("Start"), ["End"], shift).collect()
-        assert [(r["Chromosome"], r["Start"], r["End"]) for r in sorted(ranked, key=lambda r: r["rn"])] == sorted(rows) and sorted(r["rn"] for r in ranked) == list(range(1, 701))
+        assert sorted(tuple(r) for r in derive.max_end_so_far(loci, shift=shift).collect()) == sorted(want)
+    ranked = order.ranked(loci, "Chromosome", "Start", "End").collect()
+    assert [(r["Chromosome"], r["Start"], r["End"]) for r in sorted(ranked, key=lambda r: r["rn"])] == sorted(rows) and sorted(r["rn"] for r in ranked) == list(range(1, 701))
+
+
+def test_a_crowded_start_is_one_row_of_the_windows(spark):
+    rows = [("a", 5, 6 + i % 7) for i in range(2000)] + [("a", 4, 9), ("a", 6, 7)]
+    got = derive.max_end_so_far(spark.createDataFrame(rows, "Chromosome string, Start int, End int"))
+    assert sorted((r["Start"], r["End"], r["MaxEndSoFar"]) for r in got.collect()) == sorted((s, e, e if s == 4 else max(9, e) if s == 5 else 12) for _, s, e in rows)
+    plan = got._jdf.queryExecution().toString()
+    assert plan.index("Aggregate") < plan.index("Window") or "Aggregate" in plan.split("Window")[-1]
+
+
+def test_physical_places_and_inversions(spark):
+    rows = spark.createDataFrame([(i, (i * 7919) % 1000) for i in range(1000)], "i int, x int")
+    placed = order.numbered(rows.orderBy("x")).orderBy("rn").collect()
+    assert [r["rn"] for r in placed] == list(range(1, 1001)) and [r["x"] for r in placed] == sorted(r["x"] for r in placed)
+    assert order.inversions(order.numbered(rows.orderBy("x")), "x").first()[0] == 0
+    shuffled = [(i * 7919) % 1000 for i in range(1000)]
+    assert order.inversions(order.numbered(rows.orderBy("i")), "x").first()[0] == sum(a > b for a, b in zip(shuffled, shuffled[1:], strict=False))
+
+
+def test_external_runs_keep_the_budget(spark, tmp_path):
+    lines = bed6(3000)
+    records = bed.read_bed(spark, put(tmp_path / "a.bed", lines))[1]
+    few, many = strategy.external(records), strategy.external(records, 8_000)
+    assert few.rdd.getNumPartitions() < many.rdd.getNumPartitions()
+    largest = max(many.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("value") + 1 + derive.RECORD_OVERHEAD).alias("n")).collect(), key=lambda r: r["n"])
+    assert largest["n"] < 3 * 8_000
+    assert [r["value"] for r in many.select("value").collect()] == gnu(lines, "-k1,1", "-k2,2n")
+
+
+def test_dataset_in_parts(spark, tmp_path):
+    lines = bed6(900)
+    folder = str(tmp_path / "parts.locus")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cli.run(options(put(tmp_path / "in.bed", ["# kept", *lines]), "--locus-parts", folder), spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    one = pq.read_table(write(spark, tmp_path, lines)).to_pylist()
+    files = sorted((tmp_path / "parts.locus").glob("part-*"))
+    assert len(files) > 1 and [r for f in files for r in pq.read_table(f).to_pylist()] == one
+    manifest = locus_parquet.read_parts_manifest(spark, folder)
+    assert manifest["row_count"] == 900 and manifest["user_metadata"]["headers"] == ["# kept"] and [c["name"] for c in manifest["chromosomes"]] == ["chr1", "chr10", "chr2", "chrX"]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    found = region.region(locus_parquet.read_locus(spark, folder), "chr1", 1000, 1010)
+    plan = found._jdf.queryExecution().toString()
+    assert all(clause in plan for clause in ("EqualTo(Chromosome,chr1)", "LessThan(Start,1010)", "GreaterThan(End,1000)", "GreaterThan(MaxEndSoFar,1000)"))
+    assert found.count() == sum(r["Chromosome"] == "chr1" and r["Start"] < 1010 and r["End"] > 1000 for r in one)
+    assert not (tmp_path / "parts.locus.tmp").exists()
+
+
+def test_stored_queries_push_their_clauses(spark, tiny):
+    from strandmill.plans import catalog
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = catalog.queries()["region_overlap"](spark, tiny)._jdf.queryExecution().toString()
+    assert all(clause in plan for clause in ("EqualTo(Chromosome,chr2)", "LessThan(Start,5000)", "GreaterThan(End,4000)", "GreaterThan(MaxEndSoFar,4000)"))
+
+
+def test_index_of_a_long_chromosome(spark):
+    """A million rows of one chromosome: one sort, no step that copies the list; lookups by halving equal the predicate."""
+    n = 1_000_000
+    loci = spark.range(n).select(F.lit("chr1").alias("Chromosome"), F.pmod(F.col("id") * 7919, F.lit(n)).cast("int").alias("Start")).withColumn("End", F.col("Start") + 1 + F.pmod(F.col("Start") * 31, F.lit(500)).cast("int"))
+    began = time.time()
+    index = derive.interval_index(loci).cache()
+    assert index.select(F.size("starts")).first()[0] == n
+    assert time.time() - began < 60
+    for low, high in ((0, 1), (500_000, 500_010), (999_999, 2_000_000), (5_000_000, 5_000_001)):
+        got = sorted(tuple(r) for r in region.index_lookup(index, "chr1", low, high).collect())
+        want = sorted((r["Start"], r["Start"], r["End"]) for r in loci.where((F.col("Start") < high) & (F.col("End") > low)).collect())
+        assert got == want
+    index.unpersist()
+
+
+def test_index_of_version_1_is_read(spark, tmp_path):
+    """Without base64, as earlier writers left it."""
+    import base64
+    import zstandard
+
+    path = write(spark, tmp_path, ["chr1\t5\t9", "chr1\t1\t20", "chr2\t3\t4"], "--locus-index")
+    table = pq.read_table(path)
+    blob = zstandard.ZstdDecompressor().decompressobj().decompress(base64.b64decode(pq.read_metadata(path).metadata[b"locus_interval_index"]))
+    old = str(tmp_path / "old.locus")
+    pq.write_table(table.replace_schema_metadata({b"locus_interval_index": zstandard.compress(blob)}), old)
+    assert locus_parquet.read_index(old) == locus_parquet.read_index(path)
+    pq.write_table(table.replace_schema_metadata({b"locus_interval_index": b"no index"}), old)
+    assert locus_parquet.read_index(old) is None
+
+
+def test_workloads(spark, tmp_path):
+    path = tmp_path / "w.tsv"
+    path.write_text("chr1\t5\t10\nchr2\t7\n\nchr3\t1\t2\t1000\textra\r\n")
+    assert [tuple(r) for r in workload.read_workload(spark, str(path)).collect()] == [("chr1", 5, 10), ("chr3", 1, 2)]
+    path.write_text("chr1\tx\t10\n")
+    with pytest.raises(Exception, match="no integer"):
+        workload.read_workload(spark, str(path)).collect()
+    written = write(spark, tmp_path, [f"chr{i}\t1\t{end}" for i, end in enumerate((500, 5_000, 2_000_000, 90_000_000))])
+    sizes = workload.chromosome_sizes(spark, locus_parquet.read_manifest(written))
+    length = {r["name"]: r["length"] for r in sizes.collect()}
+    drawn = workload.drawn(sizes).collect()
+    assert [sum(r["size"] == size for r in drawn) for size, _ in workload.SIZES] == [333, 333, 334]
+    assert all(r["q_end"] - r["q_start"] == r["size"] and 0 <= r["q_start"] and r["q_end"] < length[r["q_chrom"]] for r in drawn)
+    assert {r["q_chrom"] for r in drawn if r["size"] == 1_000} == {"chr1", "chr2", "chr3"} and sorted(drawn) == sorted(workload.drawn(sizes).collect())
+    none = workload.drawn(sizes.where("length < 600"))
+    assert none.count() == 0
+    regions = spark.createDataFrame([("chr0", 0, 100), ("chr0", 400, 500), ("chr9", 0, 50)], "q_chrom string, q_start int, q_end int")
+    assert workload.of_size(regions, 100).count() == 2
+    hits = region.region_batch(locus_parquet.read_locus(spark, written), regions)
+    assert sorted(tuple(r) for r in workload.summary(regions, hits).collect()) == [(50, 1, 0), (100, 2, 2)]
+
+
+def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
+    assert storage.is_local(spark)
+    monkeypatch.setattr(storage, "is_local", lambda _: False)
+    fake = type("Session", (), {"sparkContext": spark.sparkContext, "conf": spark.conf})
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            storage.shared_folder(fake)
+    with pytest.raises(BedError, match="local mode"), bed.spooled_stdin(fake):
+        pass
 
 
 def test_write_parts_and_stream(spark, tmp_path):
