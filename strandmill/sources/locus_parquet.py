@@ -143,7 +143,7 @@ def write_locus_parts(typed: DataFrame, folder: str, natural: bool = False, coor
 
 def read_parts_manifest(spark: SparkSession, folder: str) -> dict:
     """The manifest of a dataset in parts."""
-    return json.loads("\n".join(r["value"] for r in spark.read.text(f"{folder}/{MANIFEST_FILE}").collect()))
+    return json.loads(ordered.get_text(spark, f"{folder}/{MANIFEST_FILE}"))
 
 
 def read_locus(spark: SparkSession, path: str) -> DataFrame:
