@@ -3,22 +3,22 @@
 A window is `width` consecutive words of one document. Every word covered by a window whose word sequence also starts
 somewhere else is removed, all occurrences alike, judged on the input.
 
-Pass 1: each task hashes all windows of its whole texts into a count-min sketch of ROWS rows and ships the touched cells,
-about a byte each; slices of the sketch merge by addition, and what stays is one bit a cell: touched twice or more. The
-bits (ROWS * 2**bits / 8 bytes, at most 96 MB whatever the input) are broadcast.
-Pass 2: windows whose every cell was touched twice are candidates; a window that repeats always is. Tasks ship candidates
-as (96-bit hash, place), equal hashes of a task joined beforehand, so a window common to a third of all documents is one
-row a task. Grouping by hash decides exactly; places go back to their documents, which drop the covered words.
-Past the sketch's largest size it filters less and pass 2 carries more; the result stays exact.
+Texts are dealt once into blocks of about BLOCK bytes. Pass 1: each block hashes all windows of its whole texts into a count-min
+sketch of ROWS rows, whose cells grow with the input, and ships the cells that it touches, under two bytes each, to the slices
+of the sketch. A slice merges the blocks' cells by addition and answers each block with one bit a cell: touched twice or more.
+Pass 2: windows whose every cell was touched twice are candidates; a window that repeats always is. A block ships the 96-bit
+hashes of its candidates, equal ones joined beforehand, so a window common to a third of all documents is one entry a block.
+Targets group them by hash, exactly, and answer with one bit a candidate. Pass 3: blocks drop the covered words. Slices,
+targets and blocks hold a bounded share each, whatever the input's size; nothing is broadcast or collected.
 
 Defined cases: a null or short text has no window and stays as it is; rows repeated with the same id and text repeat
-each other's windows; a null id is an id; an empty table gives an empty result; extra columns pass through `remove`.
+each other's windows; a null id is an id; an empty table gives an empty result; extra columns pass through `remove`, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +28,19 @@ from pyspark.sql import functions as F
 from strandmill.llm import textkit
 from strandmill.llm.textkit import U64
 
-ROWS = 3
-MOST_BITS = 28  # at least 8: a slice is whole bytes
-SLICES = 32
-FLUSH = 3_000_000  # windows that a task holds before it ships them
-GROUP_BYTES = 8_000_000  # text of one group of the last step
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+ROWS = 2
+SLICE_BITS = 24  # a slice has at most 2**SLICE_BITS cells
+LEAST_SLICES_BITS = 5
+LEAST_BITS = 12  # of all cells; above, there is a cell in a sketch row for each byte of text or two, whatever the input
+CELLS_A_BYTE = 1.0
+BLOCK = 8_000_000  # bytes of text
+TARGET = 16_000_000  # bytes of text whose windows one target groups
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 _SECOND = 0xD6E8FEB86659FD93
 
 
-def window_hashes(data: np.ndarray, offsets: np.ndarray, width: int):
-    """(h1, h2, count): 64 and 32 bits of the hash of every window in order, and the windows of each row."""
-    starts, ends, first = textkit.words(data, offsets)
-    word = textkit.word_hashes(data, starts, ends)
+def window_hashes(word: np.ndarray, first: np.ndarray, width: int):
+    """(h1, h2, count): 64 and 32 bits of the hash of every window in order, and the windows of each row, from word hashes."""
     count = np.maximum(np.diff(first) - width + 1, 0)
     at = np.concatenate([[0], np.cumsum(count)])
     begin = np.repeat(first[:-1], count) + np.arange(at[-1]) - np.repeat(at[:-1], count)
@@ -49,249 +49,219 @@ def window_hashes(data: np.ndarray, offsets: np.ndarray, width: int):
     return h1, (h2 >> U64(32)).astype(np.uint32), count
 
 
-def _cells(h1: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return ((h1 * _ODD[row]) >> U64(64 - bits)).astype(np.uint32)
-
-
-def _flushes(batches, width: int):
-    """Lists of (row keys, window counts, h1, h2) of about FLUSH windows."""
-    held, n = [], 0
-    for batch in batches:
-        keys = batch.column("row_key").to_numpy(zero_copy_only=False).astype(np.int64)
-        for a, b, data, offsets in textkit.pieces(batch.column("text")):
-            h1, h2, count = window_hashes(data, offsets, width)
-            held.append((keys[a:b], count, h1, h2))
-            n += len(h1)
-            if n >= FLUSH:
-                yield [np.concatenate(x) for x in zip(*held, strict=True)]
-                held, n = [], 0
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
-def sketch(keyed: DataFrame, width: int, bits: int) -> list[np.ndarray]:
-    """For each sketch row a packed bit array: cells that the windows of all documents touch at least twice."""
-    per_slice = (1 << bits) // SLICES
-
-    def touch(batches):
-        edges = np.arange(SLICES + 1, dtype=np.int64) * per_slice
-        for _, _, h1, _ in _flushes(batches, width):
-            for row in range(ROWS):
-                cells = np.sort(_cells(h1, row, bits))
-                new = np.concatenate([[True], cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, bool)
-                once, twice = cells[new], np.unique(cells[~new])
-                a, b = np.searchsorted(once, edges), np.searchsorted(twice, edges)
-                part = np.arange(SLICES)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((row * SLICES + part).astype(np.int32)),
-                        pa.array([textkit.gaps_packed(once[a[i] : a[i + 1]].astype(np.int64) - edges[i]) for i in part], pa.binary()),
-                        pa.array([textkit.gaps_packed(twice[b[i] : b[i + 1]].astype(np.int64) - edges[i]) for i in part], pa.binary()),
-                    ],
-                    ["part", "once", "twice"],
-                )
-
-    def merge(batches):
-        part, seen, double = None, None, None
-
-        def packed():
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(double, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
-
-        for batch in batches:
-            for p, once, twice in zip(*(batch.column(c).to_pylist() for c in ("part", "once", "twice")), strict=True):
-                if p != part:
-                    if part is not None:
-                        yield packed()
-                    part, seen, double = p, np.zeros(per_slice, bool), np.zeros(per_slice, bool)
-                cells = textkit.gaps_read(once)
-                double[cells[seen[cells]]] = True
-                seen[cells] = True
-                double[textkit.gaps_read(twice)] = True
-        if part is not None:
-            yield packed()
-
-    n = textkit.partitions(keyed.sparkSession)
-    merged = keyed.mapInArrow(touch, "part int, once binary, twice binary").repartition(n, "part").sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary")
-    out = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(ROWS)]
-    size = per_slice // 8
-    for r in merged.toLocalIterator():
-        row, i = divmod(r["part"], SLICES)
-        out[row][i * size : (i + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return out
+class Block:
+    """The texts of a block in the order of their keys, their words and windows. Rows of equal keys are equal."""
+
+    def __init__(self, table: pa.Table, width: int):
+        data, offsets = textkit.byte_view(table.column("text"))
+        self.order = np.lexsort((np.diff(offsets), table.column("row_key").to_numpy()))
+        self.texts = table.column("text").take(pa.array(self.order))
+        self.width, self.pieces, found = width, [], [(np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+        for a, b, data, offsets in textkit.pieces(self.texts):
+            starts, ends, first = textkit.words(data, offsets)
+            self.pieces.append((a, b, data, offsets, starts, ends, first))
+            found.append(window_hashes(textkit.word_hashes(data, starts, ends), first, width))
+        self.h1, self.h2, self.count = (np.concatenate(x) for x in zip(*found, strict=True))
+
+    def covered(self, windows: np.ndarray):
+        """(a, b, data, offsets, starts, ends, first, gone) of each stretch of rows: whether each word lies in one of the windows."""
+        before = np.cumsum(self.count) - self.count
+        for a, b, data, offsets, starts, ends, first in self.pieces:
+            low, high = np.searchsorted(windows, (before[a], before[b - 1] + self.count[b - 1]))
+            own = windows[low:high]
+            row = np.searchsorted(before[a:b], own, side="right") - 1
+            begin = first[row] + own - before[a + row]
+            cover = np.bincount(begin, minlength=len(starts) + 1) - np.bincount(begin + self.width, minlength=len(starts) + 1)
+            yield a, b, data, offsets, starts, ends, first, np.cumsum(cover[: len(starts)]) > 0
 
 
 def _share(h: np.ndarray, n: int) -> np.ndarray:
     """The part, of n equal ranges, that the upper 32 bits of an unsigned 64-bit hash fall in."""
-    return (((h >> U64(32)) * U64(n)) >> U64(32)).astype(np.int32)
-
-
-def _places(keys: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """Places in order of key as three blobs: keys, their counts, positions."""
-    order = np.lexsort((at, keys))
-    own, count = np.unique(keys[order], return_counts=True)
-    return [own.tobytes(), count.astype(np.int32).tobytes(), at[order].astype(np.int32).tobytes()]
-
-
-def repeated_places(keyed: DataFrame, width: int, parts: int) -> DataFrame:
-    """part, keys, counts, at: for each part of the row keys, the starts of the windows that occur more than once."""
-    spark = keyed.sparkSession
-    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(12, math.ceil(math.log2(size + 1))))
-    shared = spark.sparkContext.broadcast(sketch(keyed, width, bits))
-    n = textkit.partitions(spark)
-    names = ["target", "h1", "h2", "keys", "counts", "at", "part"]
-    schema = "target int, h1 binary, h2 binary, keys binary, counts binary, at binary, part int"
-
-    def candidates(batches):
-        """A row for each target and flush: single candidates with their places, then hashes met more than once, without places.
-        Places of the latter are settled and travel in rows with a part and no hash."""
-        table = shared.value
-        for keys, count, h1, h2 in _flushes(batches, width):
-            may = np.arange(len(h1))
-            for row in range(ROWS):
-                cell = _cells(h1[may], row, bits)
-                may = may[(table[row][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1]
-            starts = np.cumsum(count) - count
-            doc = np.searchsorted(starts, may, side="right") - 1
-            at = (may - starts[doc]).astype(np.int32)
-            key, a, b = keys[doc].view(U64), h1[may], h2[may]
-            order = np.lexsort((b, a))
-            key, at, a, b = key[order], at[order], a[order], b[order]
-            head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-            many = np.diff(np.append(head, len(a))) > 1
-            alone = head[~many]
-            multiple = head[many]
-            settled = np.ones(len(a), bool)
-            settled[alone] = False
-            rows = []
-            edges = np.arange(n + 1)
-            cut_alone = np.searchsorted(_share(a[alone], n), edges)
-            cut_many = np.searchsorted(_share(a[multiple], n), edges)
-            for t in range(n):
-                own, extra = alone[cut_alone[t] : cut_alone[t + 1]], multiple[cut_many[t] : cut_many[t + 1]]
-                if len(own) + len(extra):
-                    own = own[np.lexsort((at[own], key[own]))]
-                    rows.append((t, np.concatenate([a[own], a[extra]]).tobytes(), np.concatenate([b[own], b[extra]]).tobytes(), *_places(key[own], at[own]), None))
-            place, pos = key[settled], at[settled]
-            part = _share(place, parts)
-            for p in np.unique(part):
-                rows.append((int(p) % n, None, None, *_places(place[part == p], pos[part == p]), int(p)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5, pa.int32()], strict=True)], names)
-
-    def settle(batches):
-        """Groups a target's candidates by hash; those of two or more tasks or flushes, or met twice in one, repeat."""
-        h1s, h2s, keys, ats, known = [], [], [], [], []
-        for batch in batches:
-            for _, h1, h2, own, count, at, part in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if h1 is None:
-                    known.append((part, own, count, at))
-                    continue
-                h1, h2, at = np.frombuffer(h1, U64), np.frombuffer(h2, np.uint32), np.frombuffer(at, np.int32)
-                more = len(h1) - len(at)
-                h1s.append(h1)
-                h2s.append(h2)
-                keys.append(np.concatenate([np.repeat(np.frombuffer(own, U64), np.frombuffer(count, np.int32)), np.zeros(more, U64)]))
-                ats.append(np.concatenate([at, np.full(more, -1, np.int32)]))
-        rows = known
-        if h1s:
-            h1, h2, key, at = (np.concatenate(x) for x in (h1s, h2s, keys, ats))
-            del h1s, h2s, keys, ats
-            order = np.lexsort((h2, h1))
-            h1, h2 = h1[order], h2[order]
-            new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-            group = np.cumsum(new) - 1
-            times = np.bincount(group, np.where(at[order] < 0, 2, 1))
-            keep = order[(times[group] >= 2) & (at[order] >= 0)]
-            key, at = key[keep], at[keep]
-            part = _share(key, parts)
-            order = np.argsort(part, kind="stable")
-            part, key, at = part[order], key[order], at[order]
-            edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
-            rows = rows + [(int(part[x]), *_places(key[x:y], at[x:y])) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 3], strict=True)], ["part", "keys", "counts", "at"])
-
-    # Targets are dealt by range, one to a partition.
-    return keyed.mapInArrow(candidates, schema).repartition(n, "target").mapInArrow(settle, "part int, keys binary, counts binary, at binary")
-
-
-def _drop(table_docs: pa.Table, table_places: pa.Table, width: int, out):
-    """Calls out(row, data, word starts, word ends, removed mask) for each document of the group."""
-    keys, ats = [], []
-    for own, count, at in zip(*(table_places.column(c).to_pylist() for c in ("keys", "counts", "at")), strict=True):
-        keys.append(np.repeat(np.frombuffer(own, U64), np.frombuffer(count, np.int32)))
-        ats.append(np.frombuffer(at, np.int32))
-    keys, ats = (np.concatenate(keys), np.concatenate(ats)) if keys else (np.zeros(0, U64), np.zeros(0, np.int32))
-    order = np.argsort(keys, kind="stable")
-    keys, ats = keys[order], ats[order]
-    mine = table_docs.column("row_key").to_numpy().astype(np.int64).view(U64)
-    low, high = np.searchsorted(keys, mine), np.searchsorted(keys, mine, side="right")
-    for a, b, data, offsets in textkit.pieces(table_docs.column("text")):
-        starts, ends, first = textkit.words(data, offsets)
-        for r in range(a, b):
-            w = slice(first[r - a], first[r - a + 1])
-            n = w.stop - w.start
-            cover = np.zeros(n + 1, np.int64)
-            begin = ats[low[r] : high[r]]
-            np.add.at(cover, begin, 1)
-            np.subtract.at(cover, begin + width, 1)
-            out(r, data, int(offsets[r - a]), int(offsets[r - a + 1]), starts[w], ends[w], np.cumsum(cover[:-1]) > 0)
-
-
-def _prepared(docs: DataFrame):
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(textkit.partitions(docs.sparkSession), -(-size // GROUP_BYTES))
-    part = F.shiftright(F.shiftrightunsigned("row_key", 32) * F.lit(parts), 32).cast("int")
-    return keyed, keyed.withColumn("part", part), parts
+    return (((h >> U64(32)) * U64(n)) >> U64(32)).astype(np.int64)
+
+
+class Sketch:
+    """The layout of the count-min sketch: cells in slices."""
+
+    def __init__(self, size: int):
+        self.bits = max(LEAST_BITS, int(size * CELLS_A_BYTE).bit_length())
+        self.slice_bits = min(SLICE_BITS, self.bits - LEAST_SLICES_BITS)
+        self.slices = 1 << (self.bits - self.slice_bits)
+
+    def cells(self, h1: np.ndarray, row: int) -> np.ndarray:
+        return (h1 * _ODD[row]) >> U64(64 - self.bits)
+
+    def edges(self, distinct: np.ndarray) -> np.ndarray:
+        """Where the slices begin in ascending cells, and their end."""
+        return np.append(np.searchsorted(distinct, np.arange(self.slices, dtype=U64) << U64(self.slice_bits)), len(distinct))
+
+
+def _grouped(a: np.ndarray, b: np.ndarray):
+    """(order, alone, several): the order of the hashes; the places in that order of those met once; the first places of those met more often."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    many = np.diff(np.append(head, len(a))) > 1
+    return order, head[~many], head[many]
+
+
+def _table(rows: list[tuple], **kinds) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns, strict=True)})
+
+
+def _bits(blob: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
+
+
+def dealt(docs: DataFrame, size: int) -> DataFrame:
+    """row, text, row_key, block. Rows repeated with id and text are dealt by their partition too, so that they make no hot block."""
+    key = F.xxhash64("doc_id", "text")
+    blocks = max(textkit.partitions(docs.sparkSession), -(-size // BLOCK))
+    return textkit.sealed(docs, row_key=key, block=F.pmod(F.xxhash64(key, F.spark_partition_id()), F.lit(blocks)).cast("int"))
+
+
+def answers(blocked: DataFrame, size: int, width: int) -> DataFrame:
+    """block, target, bits, mask: for each block the candidates among its windows (mask, one row) and which of each target's repeat (bits)."""
+    sketch, targets = Sketch(size), max(textkit.partitions(blocked.sparkSession), -(-size // TARGET))
+
+    def touch(table):
+        block, h1, rows = table.column("block")[0].as_py(), Block(table, width).h1, []
+        for row in range(ROWS):
+            cells = np.unique(sketch.cells(h1, row))
+            edges = sketch.edges(cells)
+            for s in np.flatnonzero(np.diff(edges)):
+                own = cells[edges[s] : edges[s + 1]] & U64((1 << sketch.slice_bits) - 1)
+                rows.append((row * sketch.slices + int(s), block, textkit.ascending_packed(own, 1 << sketch.slice_bits)))
+        return _table(rows, slice=pa.int32(), block=pa.int32(), cells=pa.binary())
+
+    def merge(table):
+        once, twice = (np.zeros(1 << sketch.slice_bits, bool) for _ in range(2))
+        blobs = table.column("cells").to_pylist()
+        for blob in blobs:
+            cells = textkit.ascending_read(blob)
+            twice[cells] |= once[cells]
+            once[cells] = True
+        bits = [np.packbits(twice[textkit.ascending_read(blob)]).tobytes() for blob in blobs]
+        return pa.table({"slice": table.column("slice"), "block": table.column("block"), "bits": pa.array(bits, pa.binary())})
+
+    def candidates(table, merged):
+        """A row for each target: the hashes met once here, then those met more often; and a row with the mask."""
+        if not table.num_rows:
+            return _table([], target=pa.int32(), block=pa.int32(), h1=pa.binary(), h2=pa.binary(), alone=pa.int32(), mask=pa.binary())
+        block, own = table.column("block")[0].as_py(), Block(table, width)
+        of = dict(zip(merged.column("slice").to_pylist(), merged.column("bits").to_pylist(), strict=True))
+        may = np.ones(len(own.h1), bool)
+        for row in range(ROWS):
+            cells = sketch.cells(own.h1, row)
+            distinct, times = np.unique(cells, return_counts=True)
+            edges, twice = sketch.edges(distinct), times > 1
+            for s in np.flatnonzero(np.diff(edges)):
+                twice[edges[s] : edges[s + 1]] |= _bits(of[row * sketch.slices + int(s)], int(edges[s + 1] - edges[s]))
+            left = np.flatnonzero(may)
+            may[left] = twice[np.searchsorted(distinct, cells[left])]
+        a, b = own.h1[may], own.h2[may]
+        order, alone, several = _grouped(a, b)
+        a, b = a[order], b[order]
+        rows = [(block % targets, block, None, None, 0, np.packbits(may).tobytes())]
+        cuts = [np.searchsorted(_share(a[x], targets), np.arange(targets + 1)) for x in (alone, several)]
+        for t in np.flatnonzero(np.diff(cuts[0]) + np.diff(cuts[1])):
+            at = np.concatenate([x[c[t] : c[t + 1]] for x, c in zip((alone, several), cuts, strict=True)])
+            rows.append((int(t), block, a[at].tobytes(), b[at].tobytes(), int(cuts[0][t + 1] - cuts[0][t]), None))
+        return _table(rows, target=pa.int32(), block=pa.int32(), h1=pa.binary(), h2=pa.binary(), alone=pa.int32(), mask=pa.binary())
+
+    def settle(table):
+        """Groups a target's candidates by hash: those of two blocks, or met more often in one, repeat."""
+        blocks, alone, masks = (table.column(c).to_pylist() for c in ("block", "alone", "mask"))
+        h1 = [np.frombuffer(x or b"", U64) for x in table.column("h1").to_pylist()]
+        h2 = [np.frombuffer(x or b"", np.uint32) for x in table.column("h2").to_pylist()]
+        size = np.array([len(x) for x in h1])
+        begin = np.cumsum(size) - size
+        weight = np.full(int(size.sum()), 2, np.int8)
+        for x, n in zip(begin.tolist(), alone, strict=True):
+            weight[x : x + n] = 1
+        a, b = np.concatenate(h1), np.concatenate(h2)
+        del h1, h2
+        order = np.lexsort((b, a))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+        group = np.cumsum(new) - 1
+        repeats = np.zeros(len(a), bool)
+        repeats[order] = (np.bincount(group, weight[order]) >= 2)[group] if len(a) else False
+        t = table.column("target")[0].as_py()
+        rows = [(block, t, None if mask is not None else np.packbits(repeats[x : x + n]).tobytes(), mask) for block, mask, x, n in zip(blocks, masks, begin.tolist(), alone, strict=True)]
+        return _table(rows, block=pa.int32(), target=pa.int32(), bits=pa.binary(), mask=pa.binary())
+
+    merged = blocked.groupBy("block").applyInArrow(touch, "slice int, block int, cells binary").groupBy("slice").applyInArrow(merge, "slice int, block int, bits binary")
+    found = blocked.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(candidates, "target int, block int, h1 binary, h2 binary, alone int, mask binary")
+    return found.groupBy("target").applyInArrow(settle, "block int, target int, bits binary, mask binary")
+
+
+def applied(docs: DataFrame, width: int, out, schema) -> DataFrame:
+    """out(table, block, covered stretches) for each block of the documents, as one DataFrame of the schema."""
+    size = textkit.text_bytes(docs)
+    blocked = dealt(docs, size)
+    targets = max(textkit.partitions(docs.sparkSession), -(-size // TARGET))
+
+    def drop(table, told):
+        block = Block(table, width)
+        of, mask = {}, b""
+        for target, bits, own in zip(*(told.column(c).to_pylist() for c in ("target", "bits", "mask")), strict=True):
+            if own is not None:
+                mask = own
+            else:
+                of[target] = bits
+        may = np.flatnonzero(_bits(mask, len(block.h1)))
+        a, b = block.h1[may], block.h2[may]
+        order, alone, _ = _grouped(a, b)
+        repeats = np.ones(len(may), bool)
+        cuts = np.searchsorted(_share(a[order[alone]], targets), np.arange(targets + 1))
+        for t in np.flatnonzero(np.diff(cuts)):
+            repeats[order[alone[cuts[t] : cuts[t + 1]]]] = _bits(of[int(t)], int(cuts[t + 1] - cuts[t]))
+        return out(table.take(pa.array(block.order)), block.covered(may[repeats]))
+
+    told = answers(blocked, size, width)
+    return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(drop, schema)
 
 
 def report(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) for every document."""
-    keyed, parted, parts = _prepared(docs.select("doc_id", "text"))
-    found = repeated_places(keyed.select("row_key", "text"), width, parts)
 
-    def apply(left, right):
-        rows = [None] * left.num_rows
-
-        def out(r, data, begin, end, starts, ends, gone):
-            raw = data[begin:end].tobytes()
+    def out(table, stretches):
+        n_words, n_removed, digests = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for _, _, data, _, starts, ends, first, gone in stretches:
+            before = np.concatenate([[0], np.cumsum(gone)])
+            n_words.append(np.diff(first))
+            n_removed.append(before[first[1:]] - before[first[:-1]])
             kept = np.flatnonzero(~gone)
-            words = [raw[s:e] for s, e in zip((starts[kept] - begin).tolist(), (ends[kept] - begin).tolist(), strict=True)]
-            rows[r] = (len(gone), int(gone.sum()), hashlib.sha256(b" ".join(words)).hexdigest())
-
-        _drop(left, right, width, out)
-        columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        return pa.Table.from_arrays([left.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            raw, begins, stops = textkit.joined(data, starts[kept], ends[kept])
+            low = np.searchsorted(kept, first).tolist()
+            digests += [hashlib.sha256(raw[begins[a] : stops[b - 1]] if b > a else b"").hexdigest() for a, b in zip(low[:-1], low[1:], strict=True)]
+        return pa.table({"doc_id": table.column("row").combine_chunks().field(0), "n_words": np.concatenate(n_words), "n_removed": np.concatenate(n_removed), "kept_sha256": pa.array(digests, pa.string())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return parted.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(apply, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return applied(docs.select("doc_id", "text"), width, out, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, width: int) -> DataFrame:
     """docs, with the repeated passages cut out of text. White space around kept words stays, texts without repeats stay
     byte for byte, n_chars (where there is one) follows the text."""
-    keyed, parted, parts = _prepared(docs)
-    found = repeated_places(keyed.select("row_key", "text"), width, parts)
-    names = docs.columns
-
-    def apply(left, right):
-        texts = left.column("text").to_pylist()
-
-        def out(r, data, begin, end, starts, ends, gone):
-            if not gone.any():
-                return
-            raw = data[begin:end].tobytes()
-            pieces, at, i = [], 0, 0
-            edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-            for i, j in zip(edge[::2], edge[1::2], strict=True):
-                pieces.append(raw[at : int(starts[i]) - begin])
-                at = int(starts[j]) - begin if j < len(starts) else end - begin
-            texts[r] = b"".join([*pieces, raw[at:]]).decode("utf-8")
-
-        _drop(left, right, width, out)
-        return left.select(names).set_column(names.index("text"), "text", pa.array(texts, pa.string()))
-
-    cleaned = parted.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(apply, docs.schema)
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else cleaned
+
+    def out(table, stretches):
+        texts = table.column("text").to_pylist()
+        for a, _, data, offsets, starts, ends, first, gone in stretches:
+            before = np.concatenate([[0], np.cumsum(gone)])
+            for r in np.flatnonzero(before[first[1:]] > before[first[:-1]]):
+                own = slice(first[r], first[r + 1])
+                begin, n = starts[own], int(first[r + 1] - first[r])
+                edge = np.flatnonzero(np.diff(gone[own].astype(np.int8), prepend=0, append=0))
+                pieces, at = [], int(offsets[r])
+                for i, j in zip(edge[::2], edge[1::2], strict=True):
+                    pieces.append(data[at : begin[i]].tobytes())
+                    at = int(begin[j]) if j < n else int(offsets[r + 1])
+                texts[a + r] = b"".join([*pieces, data[at : offsets[r + 1]].tobytes()]).decode("utf-8")
+        return pa.table({"row": table.column("row"), "text": pa.array(texts, pa.string())})
+
+    sealed = textkit.sealed(docs)
+    cleaned = textkit.unsealed(applied(docs, width, out, sealed.schema), docs.columns)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned

@@ -6,13 +6,16 @@ UTF-8, so splitting bytes and splitting characters agree. A null text counts as
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from strandmill.plans.storage import cut, small  # noqa: F401
+
 U64 = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -21,24 +24,46 @@ _LOWER[0x41:0x5B] += 32
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+
+# Arrays of over a quarter MB go back to the system when freed, so that workers that live through many stages stay small.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+pa.set_memory_pool(pa.system_memory_pool())
 _BYTE_CODE = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def shared_folder(spark) -> None:
-    """Makes checkpoint() usable: the cluster's spark.checkpoint.dir, or a temporary folder where none is set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+def partitions(spark, least: int = 1) -> int:
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def cut(df):
-    """Writes df to the shared checkpoint folder and goes on from there, so a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+ROW_KEYS = ["row_key", "row_key2"]
 
 
-def partitions(spark, least: int = 1) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def row_keys(*columns):
+    """128 bits that stand for a row's columns: equal rows have equal keys, and others never in practice."""
+    return dict(zip(ROW_KEYS, (F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)), strict=True))
+
+
+def text_bytes(docs, text_col: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+def named(name: str):
+    """A column by its plain name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def sealed(docs, opened=("text",), **own):
+    """docs as row, the opened columns and own ones: all other columns lie in the struct row, where no name of theirs can clash."""
+    rest = [c for c in docs.columns if c not in opened]
+    row = F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(rest)]) if rest else F.struct(F.lit(0).alias("c"))
+    return docs.select(row.alias("row"), *opened, *[c.alias(n) for n, c in own.items()])
+
+
+def unsealed(df, columns: list[str], opened=("text",), *more):
+    """The columns that sealed() packed, in their order, and more, from df with row and the opened ones."""
+    rest = {c: f"c{i}" for i, c in enumerate(c for c in columns if c not in opened)}
+    return df.select(*[F.col(c) if c in opened else F.col("row")[rest[c]].alias(c) for c in columns], *more)
 
 
 def range_of(key, bounds: list[int]):
@@ -131,15 +156,34 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return range_hash(_BYTE_CODE[data], starts, ends)
 
 
-def gaps_packed(sorted_values: np.ndarray) -> bytes:
-    """Ascending integers as gaps of one byte each; 255 means 255 more and goes on."""
-    gap = np.diff(sorted_values.astype(np.int64), prepend=0)
-    size = gap // 255 + 1
-    out = np.full(int(size.sum()), 255, dtype=np.uint8)
-    out[np.cumsum(size) - 1] = gap % 255
-    return out.tobytes()
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(bytes, begins, stops): the byte ranges one after the other with a space between, and where each lies."""
+    size = ends - starts
+    begins = np.cumsum(size + 1) - size - 1
+    out = np.full(int(size.sum()) + len(size), 32, np.uint8)
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[inside + np.repeat(begins, size)] = data[inside + np.repeat(starts, size)]
+    return out.tobytes(), begins, begins + size
+
+
+def ascending_packed(values: np.ndarray, limit: int) -> bytes:
+    """Ascending integers below limit: their low bytes as they are, the rest as one bit each at its value plus its index."""
+    n = len(values)
+    low = 0 if limit < 16 * n else 1 if limit < 2048 * n else 2 if limit < (n << 19) else 4
+    values = values.astype(np.int64)
+    bits = np.zeros((int(values[-1]) >> 8 * low) + n if n else 0, np.uint8)
+    bits[(values >> 8 * low) + np.arange(n)] = 1
+    planes = [(values >> 8 * i).astype(np.uint8).tobytes() for i in range(low)]
+    return b"".join([bytes([low]), np.uint32(n).tobytes(), *planes, np.packbits(bits).tobytes()])
+
+
+def ascending_read(blob: bytes) -> np.ndarray:
+    low, n = blob[0], int(np.frombuffer(blob, np.uint32, 1, 1)[0])
+    out = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, offset=5 + low * n))) - np.arange(n)
+    for i in reversed(range(low)):
+        out = out << 8 | np.frombuffer(blob, np.uint8, n, 5 + i * n)
+    return out
 
 
-def gaps_read(blob: bytes) -> np.ndarray:
-    data = np.frombuffer(blob, dtype=np.uint8)
-    return np.cumsum(data, dtype=np.int64)[data != 255]
+def ascending_count(blob: bytes) -> int:
+    return int(np.frombuffer(blob, np.uint32, 1, 1)[0])

@@ -3,7 +3,9 @@ import random
 import re
 from collections import Counter
 
-from strandmill.llm import substring
+import numpy as np
+
+from strandmill.llm import substring, textkit
 
 
 def brute(rows, width):
@@ -48,13 +50,50 @@ def test_whole_table(spark, tiny):
 
 
 def test_small_sketch_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(substring, "MOST_BITS", 9)
-    monkeypatch.setattr(substring, "FLUSH", 50)
+    """Nine bits of cells for thousands of windows, and many blocks, slices and targets: all windows are candidates, and the result is exact."""
+    for name, value in (("CELLS_A_BYTE", 0.001), ("LEAST_BITS", 9), ("SLICE_BITS", 3), ("BLOCK", 3_000), ("TARGET", 5_000)):
+        monkeypatch.setattr(substring, name, value)
     rows = made(40)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in substring.report(docs, 35).collect()), key=str) == brute(rows, 35)
 
 
+def test_rows_repeated_many_times(spark):
+    rows = [(1, "a b c " * 20)] * 500 + [(2, " ".join(f"w{i}" for i in range(60)))] * 3 + [(3, "alone " + " ".join(f"v{i}" for i in range(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted((tuple(r) for r in substring.report(docs, 35).collect()), key=str) == brute(rows, 35)
+
+
+def test_texts_move_once(spark, tiny):
+    """All three passes read one exchange of the texts."""
+    report = substring.report(spark.read.parquet(f"{tiny}/documents.parquet"), 35)
+    report.collect()
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Scan parquet") == 1 and final.count("ReusedExchange") == 2
+
+
+def test_cells_round_trip():
+    rng = random.Random(1)
+    for n, limit in ((0, 100), (1, 1), (5, 10), (300, 1 << 12), (300, 1 << 18), (40, 1 << 24), (3, 1 << 30)):
+        values = np.array(sorted(rng.sample(range(limit), n)), np.int64)
+        blob = textkit.ascending_packed(values, limit)
+        assert textkit.ascending_read(blob).tolist() == values.tolist()
+
+
+CLASHING = ["row", "c0", "c1", "row_key", "row_key2", "block", "slice", "target", "bits", "mask", "cells", "h1", "h2", "alone", "part", "keys", "copy", "key"]
+
+
+def test_clashing_columns_keep_their_values(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"own{i} {passage}" if i % 2 else "short", *[f"{c}{i}" for c in CLASHING]) for i in range(20)], ["doc_id", "text", *CLASHING])
+    out = substring.remove(docs, 35)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        assert r["text"] == (f"own{r['doc_id']} " if r["doc_id"] % 2 else "short")
+        assert [r[c] for c in CLASHING] == [f"{c}{r['doc_id']}" for c in CLASHING]
+
+
 def test_remove_keeps_the_rest(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(1, f"one\ntwo  {passage}\nthree", "a", 0), (2, f"{passage} tail", "b", 0), (3, "  untouched  text\n", "c", 18), (4, passage, None, 0), (5, None, "d", None)]
