@@ -10,7 +10,8 @@ range and source, and a row's place is the sum of the counts before plus its pla
 the source, so reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source, the last; sources of size 0 have target 0 and no
-copies; repeated rows are separate rows; an empty table gives an empty result; extra columns pass through `mix`.
+copies; repeated rows are separate rows, counted before they move, so no task holds all of a group; an empty table gives an
+empty result; extra columns pass through `mix`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from strandmill.llm import textkit
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_REPEATS = 2.0
+RUN = 100_000  # equal documents that one task takes back to rows
 
 
 def word_count(text: Column) -> Column:
@@ -48,26 +50,56 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return table.withColumn("level", level).withColumn("target", F.least(F.col("cap"), F.col("weight") * settled)).select("source", "source_size", "target")
 
 
-def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
-    """doc_id, row_key, size, source_size, target, copies for every document."""
+def _keyed(docs: DataFrame):
+    """The columns that tell rows apart for the mix; rows equal in them are interchangeable."""
+    return {"size": word_count(F.col("text")), **textkit.row_keys("doc_id", "text", "source")}
+
+
+KEYS = ["source", "size", *textkit.ROW_KEYS]
+
+
+def places(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
+    """doc_id, the keys, source_size, target, n, ahead, expected, offset: a row for n equal documents, with the rows ahead of them in
+    their source's order, the copies expected of one document and the source's offset."""
     spark = docs.sparkSession
-    base = textkit.cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", "source").alias("row_key")))
-    sources = textkit.cut(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
+    rows = docs.select("doc_id", "source", *[c.alias(n) for n, c in _keyed(docs).items()])
+    base = textkit.cut(rows.groupBy("doc_id", *KEYS).agg(F.count("*").alias("n")))
+    sources = textkit.cut(targets(base.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most))
     luck = F.xxhash64("doc_id", "row_key", F.lit("order"))
     ranged = base.withColumn("luck", luck).repartitionByRange(textkit.partitions(spark), F.col("source").asc_nulls_last(), "size", "luck")
     ranged = textkit.cut(ranged.withColumn("range", F.spark_partition_id()))  # written out: a range keeps its rows
-    counts = ranged.groupBy("range", "source").agg(F.count("*").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(F.col("range").alias("of_range"), F.col("source").alias("of_source"), ahead.alias("ahead"))
+    counts = ranged.groupBy("range", "source").agg(F.sum("n").alias("rows"))
+    ahead = F.coalesce(F.sum("rows").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("range").alias("of_range"), F.col("source").alias("of_source"), ahead.alias("before"))
     sources = sources.withColumnRenamed("source", "its_source")
     counts = textkit.cut(counts.join(sources, F.col("of_source").eqNullSafe(F.col("its_source"))).drop("its_source"))  # one row a range and source
-    within = F.row_number().over(Window.partitionBy("range", "source").orderBy("size", "luck", "doc_id"))
+    earlier = Window.partitionBy("range", "source").orderBy("size", "luck", "doc_id", *textkit.ROW_KEYS).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("n").over(earlier), F.lit(0))
     joined = ranged.withColumn("within", within).join(counts, (F.col("range") == F.col("of_range")) & F.col("source").eqNullSafe(F.col("of_source")))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64("source", F.lit("offset")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    place = F.col("ahead") + F.col("within")
-    n = (F.floor(expected * place + offset) - F.floor(expected * (place - 1) + offset)).cast("int")
-    return joined.select("doc_id", "row_key", "size", "source_size", "target", n.alias("copies"))
+    return joined.select("doc_id", *KEYS, "source_size", "target", "n", (F.col("before") + F.col("within")).alias("ahead"), expected.alias("expected"), offset.alias("offset"))
+
+
+def _drawn(number: Column) -> Column:
+    """The copies of the number-th (from 1) of equal documents: the integers that its stretch crosses."""
+    end = F.col("ahead") + number
+    return (F.floor(F.col("expected") * end + F.col("offset")) - F.floor(F.col("expected") * (end - 1) + F.col("offset"))).cast("int")
+
+
+def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
+    """doc_id, size, source_size, target, copies for every document."""
+    placed = places(docs, weights, share, most)
+    count = F.col("n")
+    few = placed.where(count <= RUN).withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), count)))
+    out = few.select("doc_id", "size", "source_size", "target", _drawn(F.col("number")).alias("copies"))
+    many = placed.where(count > RUN)
+    if many.isEmpty():
+        return out
+    # More equal documents than a run come back to rows in runs, dealt out.
+    runs = many.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((count - 1) / RUN)))).repartition(textkit.partitions(docs.sparkSession), "row_key", "run")
+    numbers = runs.withColumn("number", F.explode(F.sequence(F.col("run") * RUN + 1, F.least(count, (F.col("run") + 1) * RUN))))
+    return out.unionByName(numbers.select("doc_id", "size", "source_size", "target", _drawn(F.col("number")).alias("copies")))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -77,8 +109,18 @@ def report(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
     """docs, each row as often as it was drawn. The texts move once, to meet their copies."""
-    drawn = copies(docs, weights, share, most).groupBy("row_key").agg(F.sort_array(F.collect_list("copies")).alias("all_copies"))
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text", "source"))
-    numbered = keyed.withColumn("same", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")))
-    joined = numbered.join(drawn, "row_key").withColumn("drawn", F.element_at("all_copies", F.col("same")))
-    return joined.where("drawn > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("drawn")))).select(*docs.columns)
+    opened = ("text", "source")
+    placed = textkit.cut(places(docs, weights, share, most).drop("doc_id", "source_size", "target", "source", "size"))
+    rows = textkit.sealed(docs, opened, **textkit.row_keys("doc_id", "text", "source"), home=F.spark_partition_id())
+    alone = placed.where("n = 1").select(*textkit.ROW_KEYS, _drawn(F.lit(1)).alias("drawn")).where("drawn > 0")
+    out = rows.join(alone, textkit.ROW_KEYS).select("row", *opened, "drawn")
+    several = placed.where("n > 1")
+    if not several.isEmpty():  # equal rows get numbers within their partition, and the rows of the partitions before
+        met = textkit.cut(rows.join(textkit.small(several), textkit.ROW_KEYS))
+        counts = met.groupBy(*textkit.ROW_KEYS, "home").agg(F.count("*").alias("rows"))
+        before = F.coalesce(F.sum("rows").over(Window.partitionBy(*textkit.ROW_KEYS).orderBy("home").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.select(*textkit.ROW_KEYS, "home", before.alias("before"))
+        own = F.row_number().over(Window.partitionBy(*textkit.ROW_KEYS, "home").orderBy("home"))
+        numbered = met.withColumn("own", own).join(counts, [*textkit.ROW_KEYS, "home"])
+        out = out.unionByName(numbered.select("row", *opened, _drawn(F.col("before") + F.col("own")).alias("drawn")).where("drawn > 0"))
+    return textkit.unsealed(out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("drawn")))), docs.columns, opened)
