@@ -104,6 +104,12 @@ def fitted(spark, docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return train(labelled_sample(docs, labels, "quality", 4, 2, TRAIN_ROWS))
 
 
+def good(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """docs that the classifier predicts to be good; its score meets no column of theirs."""
+    scored = score(textkit.sealed(docs), weights)
+    return textkit.unsealed(scored.where(F.col("score") >= THRESHOLD), docs.columns)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     weights = fitted(docs.sparkSession, docs, labels)

@@ -3,6 +3,7 @@ import re
 
 import corpus_pipeline
 import sentencepiece
+from pyspark.sql import functions as F
 
 from strandmill.llm import mixing, neardedup, pieces, quality
 
@@ -141,6 +142,39 @@ def test_stages_on_their_own_input(spark, tiny):
         before = after
 
 
+CLASHING = ["row", "c0", "row_key", "row_key2", "node", "bands", "key", "root", "shingles", "home", "first_home", "size", "n", "copies", "drawn", "copy", "same", "own", "before", "score", "quality_score", "block", "part", "target", "state", "share"]
+
+
+def test_clashing_columns_keep_their_values_in_every_stage(spark, tiny):
+    """Columns named like the operators' own come back unchanged, row by row."""
+    plain = spark.read.parquet(f"{tiny}/documents.parquet")
+    docs = plain.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, tiny)
+        assert after.columns == docs.columns
+        rows = after.collect()
+        assert rows
+        for r in rows:
+            assert [r[c] for c in CLASHING] == [f"{c} of {r['doc_id']}" for c in CLASHING], name
+        docs = spark.createDataFrame(rows, docs.schema)
+
+
+def test_repeated_rows_are_drawn_as_separate_rows(spark, monkeypatch):
+    """Rows equal in id, text and source: as many copies in all as their number and the share ask for."""
+    monkeypatch.setattr(mixing, "RUN", 7)
+    rows = [(1, "a b c", "s", "x")] * 40 + [(i, "one two", "s", "y") for i in range(2, 20)] + [(50, "other words here", "t", "z")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row string").repartition(5)
+    placed = mixing.copies(docs).collect()
+    assert len(placed) == len(rows)
+    want: dict = {}
+    for r in placed:
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["copies"]
+    got: dict = {}
+    for r in mixing.mix(docs).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_run(spark, tiny):
     out = corpus_pipeline.run(spark, tiny)
     assert out.columns == ["doc_id", "lang", "source", "ids", "n_pieces"] and out.count() > 0
