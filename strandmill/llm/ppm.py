@@ -13,6 +13,9 @@ block ships its distinct strings of that length, with their training counts, by
 every longer context with its children and suffixes: it builds its share of the trie, scores its strings and sends the scores
 back to the blocks, which add them up by text. Strings of up to HEAD symbols are in every part: they are counted beforehand,
 collected and broadcast, at most 2^24 and as many as there are different runs of three bytes, which a larger corpus hardly adds to.
+Contexts of HEAD symbols that would fill much of a part are dealt by one symbol more; their children, at most 255 for each of at most
+HOT_SHARE contexts a part, are broadcast with the rest. The words of the baseline go the same way: a block ships its distinct words,
+parts add up their training counts and answer.
 
 Exclusion costs no sets: the symbols seen after a context are a subset of those after its suffix, so the excluded count
 of a suffix is a sum stored with the longer context, and scoring takes a few lookups a symbol.
@@ -37,9 +40,10 @@ from strandmill.llm.textkit import U64
 
 ORDER = 6
 HEAD = 3
-BLOCK = 5_000_000
-PART = 16_000_000  # bytes of text for each part of the trie
+BLOCK = 6_000_000  # bytes of text
+PART = 12_000_000  # bytes of text for each part of the trie
 LEAST_PARTS = 54
+HOT_SHARE = 2  # a context of 1 / HOT_SHARE of a part's mean share of the symbols is hot
 LEAST = 3
 DISCOUNT = 0.6
 FLUSH = 24_000_000
@@ -303,27 +307,30 @@ def train(texts: DataFrame, order: int = ORDER, resolution: int | None = None) -
     return Trie(order, nodes)
 
 
-def _low_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(strings of HEAD symbols ascending, counts) over all texts."""
+def _short_counts(texts: DataFrame, length: int, of=None) -> tuple[np.ndarray, np.ndarray]:
+    """(strings of `length` symbols ascending, counts) over all texts; with `of`, only those whose first `length - 1` symbols are among it."""
     dealt = 8
 
     def count(batches):
         def ship(held):
-            counts = np.bincount(np.concatenate(held), minlength=1 << (8 * HEAD))
-            keys = np.flatnonzero(counts)
-            rows = [(p, _packed(k), c.tobytes()) for p, k, c in _parted((keys % dealt).astype(np.int32), keys.astype(U64), counts[keys].astype(np.int64))]
+            keys, counts = tally(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            rows = [(p, _packed(k), c.tobytes()) for p, k, c in _parted((keys % U64(dealt)).astype(np.int32), keys, counts)]
             return _batch(rows, ["part", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()])
 
         held, size = [], 0
         for batch in batches:
             for _, _, data, offsets in textkit.pieces(batch.column("text")):
-                symbols, coded = padded(data, offsets, HEAD)
-                held.append(strings(symbols, HEAD)[coded].astype(np.int32))
-                size += len(held[-1])
-                if size >= FLUSH // 6:
-                    yield ship(held)
-                    held, size = [], 0
-        if held:
+                symbols, coded = padded(data, offsets, length)
+                keys = strings(symbols, length)[coded]
+                held.append(tally(keys if of is None else keys[_among(keys >> U64(8), of)]))
+                size += len(held[-1][0])
+                if size >= FLUSH // 12:
+                    held = [tally(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if size >= FLUSH // 24:
+                        yield ship(held)
+                        held, size = [], 0
+        if held and sum(len(k) for k, _ in held):
             yield ship(held)
 
     def add_up(table):
@@ -334,88 +341,38 @@ def _low_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tally(np.concatenate([np.zeros(0, U64), *(_unpacked(r["keys"]) for r in rows)]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in rows)]))
 
 
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each key is among the ascending ones."""
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys if len(some) else np.zeros(len(keys), bool)
+
+
 def _often(keys: np.ndarray, counts: np.ndarray):
     return keys[counts >= LEAST], counts[counts >= LEAST]
 
 
-def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """docs (row_key, learn, text and others) with score, log10 of the probability of the text and its end, in place of learn and text.
-    The model learns from the rows with learn."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(textkit.partitions(spark), size // BLOCK)
-    parts = max(LEAST_PARTS, size // PART)
-    low, times = _low_counts(docs.where("learn"))
-    total = int(times.sum())
-    empty = (np.zeros(1, U64), np.array([total]))
-    head = spark.sparkContext.broadcast(
-        (
-            [empty, *(_often(*tally(suffix(low, m), times)) for m in range(1, HEAD + 1))],
-            [empty, *(_often(*tally(suffix(low >> U64(8), m), times)) for m in range(1, HEAD))],
-        )
-    )
-    part_of = lambda keys: (textkit.mix(suffix(keys >> U64(8), HEAD)) % U64(parts)).astype(np.int32)
+def _merged(a, b):
+    """(keys ascending, counts) of two disjoint such pairs."""
+    keys, counts = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
-    def found(table):
-        """(rows, row of each symbol, string of each symbol) for stretches of a block."""
-        for a, b, data, offsets in textkit.pieces(table.column("text")):
-            symbols, coded = padded(data, offsets, order)
-            yield np.repeat(np.arange(a, b, dtype=np.int32), np.diff(offsets) + 1), strings(symbols, order + 1)[coded]
 
-    def ship(table):
-        """A block's distinct strings for each part, with their training counts."""
-        learn = table.column("learn").to_numpy()
-        every, own = [], []
-        for rows, keys in found(table):
-            every.append(keys)
-            own.append(keys[learn[rows]])
-        keys, _ = tally(np.concatenate(every))
-        some, n = tally(np.concatenate(own))
-        counts = np.zeros(len(keys), np.int32)
-        counts[np.searchsorted(keys, some)] = n
-        block = table.column("block")[0].as_py()
-        rows = [(block, p, _packed(k), zlib.compress(c.tobytes(), 1)) for p, k, c in _parted(part_of(keys), keys, counts)]
-        return pa.Table.from_batches([_batch(rows, ["block", "part", "keys", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])])
+def _floats_packed(x: np.ndarray) -> bytes:
+    """32-bit floats as byte planes, the one of the exponents entropy coded."""
+    planes = np.ascontiguousarray(x.astype("<f4").view(np.uint8).reshape(-1, 4).T)
+    top = zlib.compressobj(1, zlib.DEFLATED, 15, 8, zlib.Z_HUFFMAN_ONLY)
+    return planes[:3].tobytes() + top.compress(planes[3].tobytes()) + top.flush()
+
+
+def _floats_read(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(blob[: 3 * n] + zlib.decompress(blob[3 * n :]), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<f4").ravel()
+
+
+# The word baseline: counts of whole words.
 
-    def judge(table):
-        """The scores of a part's strings, for each block in the order of its strings."""
-        nodes, contexts = head.value
-        own = [_unpacked(k) for k in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(zlib.decompress(c), np.int32) for c in table.column("counts").to_pylist()]
-        keys, counts = tally(np.concatenate(own), np.concatenate(counts).astype(np.int64))
-        seen = counts > 0
-        learnt, n = keys[seen], counts[seen]
-        nodes = [*nodes, *(_often(*tally(suffix(learnt, m), n)) for m in range(HEAD + 1, order + 2))]
-        contexts = [*contexts, *(_often(*tally(suffix(learnt >> U64(8), m), n)) for m in range(HEAD, order + 1))]
-        trie = Trie(order, nodes, contexts)
-        scores = np.concatenate([trie.of(k, k >> U64(8)).astype(np.float32) for k in np.array_split(keys, -(-len(keys) // 1_000_000))])
-        blobs = [scores[np.searchsorted(keys, k)].tobytes() for k in own]
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "scores": pa.array(blobs, pa.binary())})
-
-    kept = [c for c in docs.columns if c not in ("learn", "text")]
-
-    def add_up(table, judged):
-        stretches = list(found(table))
-        keys, _ = tally(np.concatenate([k for _, k in stretches]))
-        blobs = dict(zip(judged.column("part").to_pylist(), judged.column("scores").to_pylist(), strict=True))
-        scores = np.zeros(len(keys))
-        for p, at in _parted(part_of(keys), np.arange(len(keys))):
-            scores[at] = np.frombuffer(blobs[p], np.float32)
-        slots, out = _Slots(keys), np.zeros(table.num_rows)
-        for rows, k in stretches:
-            out += np.bincount(rows, scores[slots.find(k)], minlength=len(out))
-        return table.select(kept).append_column("score", pa.array(out))
-
-    dealt = docs.withColumn("block", F.pmod(F.hash("row_key"), F.lit(blocks)).cast("int")).select(*kept, "learn", "text", "block")
-    judged = dealt.groupBy("block").applyInArrow(ship, "block int, part int, keys binary, counts binary").groupBy("part").applyInArrow(judge, "block int, part int, scores binary")
-    return dealt.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(add_up, docs.select(*kept).schema.add("score", "double"))
-
-
-# The word baseline.
-
-HEAD_SHARE = 1 << 20
 END_WORD = U64(1)
-WORDS_A_PART = 6_000_000
+WORD_PART = 24_000_000  # bytes of text for each part of the words
 
 
 def _word_rows(column):
@@ -427,14 +384,13 @@ def _word_rows(column):
         yield np.concatenate([np.repeat(rows, np.diff(first)), rows]), np.concatenate([textkit.word_hashes(data, starts, ends), np.full(len(rows), END_WORD)])
 
 
-def word_counts(texts: DataFrame, parts: int) -> DataFrame:
-    """part, words, counts: the words of all texts (64-bit hashes, ascending) with their counts, dealt by hash."""
+def word_totals(texts: DataFrame, parts: int) -> tuple[int, int]:
+    """(tokens, distinct tokens) of all texts."""
 
     def count(batches):
         def ship(held):
             words, counts = tally(np.concatenate([w for w, _ in held]), np.concatenate([c for _, c in held]))
-            rows = [(p, _packed(w), zlib.compress(c.astype(np.int32).tobytes(), 1)) for p, w, c in _parted((words % U64(parts)).astype(np.int32), words, counts)]
-            return _batch(rows, ["part", "words", "counts"], [pa.int32(), pa.binary(), pa.binary()])
+            return _batch([(p, _packed(w), int(c.sum())) for p, w, c in _parted((words % U64(parts)).astype(np.int32), words, counts)], ["part", "words", "n"], [pa.int32(), pa.binary(), pa.int64()])
 
         held, size = [], 0
         for batch in batches:
@@ -448,113 +404,129 @@ def word_counts(texts: DataFrame, parts: int) -> DataFrame:
             yield ship(held)
 
     def add_up(table):
-        blobs = zip(table.column("words").to_pylist(), table.column("counts").to_pylist(), strict=True)
-        pairs = [(_unpacked(w), np.frombuffer(zlib.decompress(c), np.int32).astype(np.int64)) for w, c in blobs]
-        words, counts = tally(np.concatenate([w for w, _ in pairs]), np.concatenate([c for _, c in pairs]))
-        return pa.Table.from_batches([_batch([(table.column("part")[0].as_py(), _packed(words), counts.tobytes(), len(words), int(counts.sum()))], ["part", "words", "counts", "n_words", "n_tokens"], [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()])])
+        words = np.zeros(0, U64)
+        for blob in table.column("words").to_pylist():
+            words = np.union1d(words, _unpacked(blob))
+        return pa.table({"n": [sum(table.column("n").to_pylist())], "v": [len(words)]})
 
-    dealt = texts.select("text").mapInArrow(count, "part int, words binary, counts binary")
-    return dealt.groupBy("part").applyInArrow(add_up, "part int, words binary, counts binary, n_words long, n_tokens long")
+    dealt = texts.select("text").mapInArrow(count, "part int, words binary, n long")
+    sums = dealt.groupBy("part").applyInArrow(add_up, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    return sums["n"] or 0, sums["v"] or 0
 
 
-def word_baseline(docs: DataFrame, texts: DataFrame):
-    """(N, rows): N training tokens; row_key, n_tokens, n_known, base_score for each distinct row_key of docs (row_key, text).
-
-    Words that make up 1 / HEAD_SHARE of the training tokens or more, at most HEAD_SHARE of them, are broadcast and settled where the text is; the others
-    meet their counts by a shuffle, so no frequent word gathers its texts in a task.
-    """
+def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """docs (doc_id, learn, text) with score, log10 of the probability of the text and its end, and n_tokens, n_known and base, the sum of
+    log10(c + 0.5) over the tokens, in place of learn and text. Both models learn from the rows with learn."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(6, size // 6 // WORDS_A_PART)
-    counted = textkit.cut(word_counts(texts, parts))
-    sums = counted.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("v"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()
-    total = float(sums["n"] + 0.5 * (sums["v"] + 1))
-    least = max(1, -(-sums["n"] // HEAD_SHARE))
-
-    def head_of(batches):
-        for batch in batches:
-            for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                words, counts = _unpacked(words), np.frombuffer(counts, np.int64)
-                some = counts >= least
-                yield _batch([(words[some].tobytes(), counts[some].tobytes())], ["words", "counts"], [pa.binary(), pa.binary()])
-
-    heads = counted.select("words", "counts").mapInArrow(head_of, "words binary, counts binary").collect()
-    words, counts = (np.concatenate([np.zeros(0, k), *(np.frombuffer(r[c], k) for r in heads)]) for c, k in (("words", U64), ("counts", np.int64)))
-    order = np.argsort(words)
-    shared = spark.sparkContext.broadcast((_Slots(words[order]), np.log10((counts[order] + 0.5) / total)))
-    names = ["home", "row_key", "n_tokens", "n_known", "base_score", "part", "words", "keys", "of", "times"]
-    schema = "home int, row_key long, n_tokens long, n_known long, base_score double, part int, words binary, keys binary, of binary, times binary"
-
-    def meet(batches):
-        """A row for each text with its settled words, and rows of other words for each part."""
-        slots, logs = shared.value
-        for batch in batches:
-            keys = batch.column("row_key").to_numpy(zero_copy_only=False).astype(np.int64)
-            n = len(keys)
-            tokens, known, base = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-            rest = []
-            for row, word in _word_rows(batch.column("text")):
-                at = slots.find(word)
-                hit = at >= 0
-                tokens += np.bincount(row, minlength=n)
-                known += np.bincount(row[hit], minlength=n)
-                base += np.bincount(row[hit], logs[at[hit]], minlength=n)
-                rest.append((row[~hit], word[~hit]))
-            none = pa.nulls(n, pa.binary())
-            home = (textkit.mix(keys.view(U64)) % U64(parts)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(keys), pa.array(tokens), pa.array(known), pa.array(base), pa.nulls(n, pa.int32()), none, none, none, none], names)
-            if rest:
-                row, word = (np.concatenate(x) for x in zip(*rest, strict=True))
-                rows = []
-                for p, r, w in _parted((word % U64(parts)).astype(np.int32), row, word):
-                    order = np.lexsort((w, r))
-                    r, w = r[order], w[order]
-                    head = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])]))
-                    own, of = np.unique(r[head], return_inverse=True)
-                    rows.append((None, None, None, None, None, p, w[head].tobytes(), keys[own].tobytes(), np.diff(of, prepend=0).astype(np.int16).tobytes(), np.diff(np.append(head, len(w))).astype(np.int32).tobytes()))
-                if rows:
-                    yield _batch(rows, names, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), *[pa.binary()] * 4])
-
-    def settle(met, table):
-        words, counts = (_unpacked(table.column("words")[0].as_py()), np.frombuffer(table.column("counts")[0].as_py(), np.int64)) if table.num_rows else (np.zeros(0, U64), np.zeros(0, np.int64))
-        sums = []
-        for w, keys, of, times in zip(*(met.column(c).to_pylist() for c in ("words", "keys", "of", "times")), strict=True):
-            w, keys, of, times = np.frombuffer(w, U64), np.frombuffer(keys, np.int64), np.cumsum(np.frombuffer(of, np.int16), dtype=np.int64), np.frombuffer(times, np.int32).astype(np.int64)
-            at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
-            c = np.where(words[at] == w, counts[at], 0) if len(words) else np.zeros(len(w), np.int64)
-            sums.append((keys, np.bincount(of, times * (c > 0)).astype(np.int64), np.bincount(of, times * np.log10((c + 0.5) / total))))
-        keys, known, base = (np.concatenate(x) for x in zip(*sums, strict=True)) if sums else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        own, where = np.unique(keys, return_inverse=True)
-        known, base = np.bincount(where, known, minlength=len(own)).astype(np.int64), np.bincount(where, base, minlength=len(own))
-        rows = [(p, k.tobytes(), n.tobytes(), s.tobytes()) for p, k, n, s in _parted((textkit.mix(own.view(U64)) % U64(parts)).astype(np.int32), own, known, base)]
-        columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int32(), *[pa.binary()] * 3], strict=True)], ["home", "keys", "known", "sums"])
-
-    def gather(direct, settled):
-        """Adds the settled sums to the texts' own. Rows that share a key share their text: their sums are all multiples of one text's."""
-        keys, where, texts = np.unique(direct.column("row_key").to_numpy(), return_inverse=True, return_counts=True)
-        tokens, known, base = (np.bincount(where, direct.column(c).to_numpy(), minlength=len(keys)) for c in ("n_tokens", "n_known", "base_score"))
-        for k, n, s in zip(*(settled.column(c).to_pylist() for c in ("keys", "known", "sums")), strict=True):
-            at = np.searchsorted(keys, np.frombuffer(k, np.int64))
-            known[at] += np.frombuffer(n, np.int64)
-            base[at] += np.frombuffer(s, np.float64)
-        exact = lambda x: np.rint(x / texts).astype(np.int64)
-        return pa.Table.from_arrays([pa.array(keys), pa.array(exact(tokens)), pa.array(exact(known)), pa.array(base / texts)], ["row_key", "n_tokens", "n_known", "base_score"])
-
-    met = docs.select("row_key", "text").mapInArrow(meet, schema)
-    words_met = met.where("part is not null").select("part", "words", "keys", "of", "times")
-    settled = words_met.groupBy("part").cogroup(counted.select("part", "words", "counts").groupBy("part")).applyInArrow(settle, "home int, keys binary, known binary, sums binary")
-    direct = met.where("part is null").select("home", "row_key", "n_tokens", "n_known", "base_score")
-    summed = direct.groupBy("home").cogroup(settled.groupBy("home")).applyInArrow(gather, "row_key long, n_tokens long, n_known long, base_score double")
-    return sums["n"], summed
+    size = textkit.text_bytes(docs)
+    blocks = max(textkit.partitions(spark), size // BLOCK)
+    parts, word_parts = max(LEAST_PARTS, size // PART), max(6, size // WORD_PART)
+    low, times = _short_counts(docs.where("learn"), HEAD)
+    total = int(times.sum())
+    # Contexts of HEAD symbols that fill much of a part are dealt by one symbol more; their children are counted beforehand too.
+    hot = low[times * (HOT_SHARE * parts) > total] if total else low
+    deep, deep_times = _short_counts(docs.where("learn"), HEAD + 1, hot) if len(hot) else (low[:0], times[:0])
+    empty = (np.zeros(1, U64), np.array([total]))
+    head = spark.sparkContext.broadcast(
+        (
+            [empty, *(_often(*tally(suffix(low, m), times)) for m in range(1, HEAD + 1)), _often(deep, deep_times)],
+            [empty, *(_often(*tally(suffix(low >> U64(8), m), times)) for m in range(1, HEAD)), _often(*tally(deep >> U64(8), deep_times))],
+            hot,
+        )
+    )
+
+    def part_of(keys, hot):
+        context = keys >> U64(8)
+        own = suffix(context, HEAD)
+        if len(hot):
+            some = _among(own, hot)
+            own[some] = suffix(context[some], HEAD + 1) | U64(1 << 63)
+        return (textkit.mix(own) % U64(parts)).astype(np.int32)
+
+    def found(table):
+        """(rows, row of each symbol, string of each symbol) for stretches of a block."""
+        for a, b, data, offsets in textkit.pieces(table.column("text")):
+            symbols, coded = padded(data, offsets, order)
+            yield np.repeat(np.arange(a, b, dtype=np.int32), np.diff(offsets) + 1), strings(symbols, order + 1)[coded]
+
+    def distinct(stretches, learn):
+        """The distinct keys of a block's stretches, and how often each occurs in rows to learn from."""
+        every, own = [], []
+        for rows, keys in stretches:
+            every.append(np.unique(keys))
+            own.append(tally(keys[learn[rows]]))
+        keys = np.unique(np.concatenate(every))
+        some, n = tally(*(np.concatenate(x) for x in zip(*own, strict=True)))
+        counts = np.zeros(len(keys), np.int32)
+        counts[np.searchsorted(keys, some)] = n
+        return keys, counts
+
+    def ship(table):
+        """A block's distinct strings and words for each part, with their training counts."""
+        learn, block = table.column("learn").to_numpy(), table.column("block")[0].as_py()
+        keys, counts = distinct(found(table), learn)
+        rows = [(block, p, _packed(k), zlib.compress(c.tobytes(), 1)) for p, k, c in _parted(part_of(keys, head.value[2]), keys, counts)]
+        keys, counts = distinct(_word_rows(table.column("text")), learn)
+        rows += [(block, parts + p, _packed(k), zlib.compress(c.tobytes(), 1)) for p, k, c in _parted((keys % U64(word_parts)).astype(np.int32), keys, counts)]
+        return pa.Table.from_batches([_batch(rows, ["block", "part", "keys", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])])
+
+    def judge(table):
+        """For each block, in the order of its keys: the scores of a part's strings, or the counts of its words."""
+        blobs, part = table.column("keys").to_pylist(), table.column("part")[0].as_py()
+        counts = np.concatenate([np.frombuffer(zlib.decompress(c), np.int32) for c in table.column("counts").to_pylist()]).astype(np.int64)
+        keys, counts = tally(np.concatenate([_unpacked(k) for k in blobs]), counts)
+        if part >= parts:
+            told = [zlib.compress(counts[np.searchsorted(keys, _unpacked(k))].tobytes(), 1) for k in blobs]
+        else:
+            scores = part_scores(keys, counts)
+            told = [_floats_packed(scores[np.searchsorted(keys, _unpacked(k))]) for k in blobs]
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "told": pa.array(told, pa.binary())})
+
+    def part_scores(keys, counts):
+        nodes, contexts, hot = head.value
+        learnt, n = keys[counts > 0], counts[counts > 0]
+        shallow = ~_among(suffix(learnt >> U64(8), HEAD), hot)  # these lie here with all that shares HEAD context symbols
+        first = lambda k, m: _often(*tally(suffix(k[shallow], m), n[shallow]))
+        own = [*nodes[: HEAD + 1], _merged(first(learnt, HEAD + 1), nodes[HEAD + 1]), *(_often(*tally(suffix(learnt, m), n)) for m in range(HEAD + 2, order + 2))]
+        above = [*contexts[:HEAD], _merged(first(learnt >> U64(8), HEAD), contexts[HEAD]), *(_often(*tally(suffix(learnt >> U64(8), m), n)) for m in range(HEAD + 1, order + 1))]
+        trie = Trie(order, own, above)
+        return np.concatenate([trie.of(k, k >> U64(8)).astype(np.float32) for k in np.array_split(keys, -(-len(keys) // 500_000))])
+
+    def add_up(table, told):
+        of, n = dict(zip(told.column("part").to_pylist(), told.column("told").to_pylist(), strict=True)), table.num_rows
+        keys = np.unique(np.concatenate([np.unique(k) for _, k in found(table)]))
+        values = np.zeros(len(keys), np.float32)
+        for p, at in _parted(part_of(keys, head.value[2]), np.arange(len(keys))):
+            values[at] = _floats_read(of[p], len(at))
+        slots, score = _Slots(keys), np.zeros(n)
+        for rows, k in found(table):
+            score += np.bincount(rows, values[slots.find(k)], minlength=n)
+        del slots, values
+        keys = np.unique(np.concatenate([np.unique(k) for _, k in _word_rows(table.column("text"))]))
+        times = np.zeros(len(keys), np.int64)
+        for p, at in _parted((keys % U64(word_parts)).astype(np.int32), np.arange(len(keys))):
+            times[at] = np.frombuffer(zlib.decompress(of[parts + p]), np.int64)
+        tokens, known, base = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+        logs = np.log10(times + 0.5)
+        for rows, k in _word_rows(table.column("text")):
+            at = np.searchsorted(keys, k)
+            tokens += np.bincount(rows, minlength=n)
+            known += np.bincount(rows[times[at] > 0], minlength=n)
+            base += np.bincount(rows, logs[at], minlength=n)
+        return pa.table({"doc_id": table.column("doc_id"), "score": score, "n_tokens": tokens, "n_known": known, "base": base})
+
+    block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")
+    dealt = docs.select("doc_id", "learn", "text", block.alias("block"))
+    judged = dealt.groupBy("block").applyInArrow(ship, "block int, part int, keys binary, counts binary").groupBy("part").applyInArrow(judge, "block int, part int, told binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return dealt.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(add_up, f"doc_id {kind}, score double, n_tokens long, n_known long, base double")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document; learns from the rows whose
     crc32(doc_id) mod 5 is not 1."""
     held_out = fold("doc_id", 5) == 1
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), held_out.alias("held_out"), "text")
-    training = docs.where(~held_out).select("text")
-    judged = textkit.cut(scored(keyed.withColumn("learn", ~F.col("held_out"))))
-    n, base = word_baseline(keyed, training)
-    return judged.join(base, "row_key").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = docs.select("doc_id", "text", (~held_out).alias("learn"))
+    n, v = word_totals(rows.where("learn"), max(6, textkit.text_bytes(docs) // WORD_PART))
+    base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (v + 1))))
+    return scored(rows).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -122,9 +122,33 @@ def test_three_occurrences_keep_a_string_in_a_large_corpus(spark):
 
 def test_one_unseen_word_repeated_40000_times(spark):
     ids = {h: [i for i in range(60) if (zlib.crc32(str(i).encode()) % 5 == 1) == h] for h in (False, True)}
-    docs = spark.createDataFrame([(ids[False][0], "some words"), (ids[True][0], "junk " * 40_000)], "doc_id long, text string")
-    _, base = ppm.word_baseline(docs.selectExpr("doc_id as row_key", "text"), docs.where(docs["doc_id"] == ids[False][0]).select("text"))
-    got = next(r for r in base.collect() if r["row_key"] == ids[True][0])
+    docs = spark.createDataFrame([(ids[False][0], "some words"), (ids[True][0], "junk " * 40_000), (ids[True][1], "junk " * 70_000)], "doc_id long, text string")
     n, v = 3, 3  # two words and the end
-    assert (got["n_tokens"], got["n_known"]) == (40_001, 1)
-    assert got["base_score"] == pytest.approx(40_000 * math.log10(0.5 / (n + 0.5 * (v + 1))) + math.log10(1.5 / (n + 0.5 * (v + 1))))
+    for doc_id, times in ((ids[True][0], 40_000), (ids[True][1], 70_000)):
+        got = next(r for r in ppm.report(docs).collect() if r["doc_id"] == doc_id)
+        assert (got["n_tokens"], got["n_known"], got["train_tokens"]) == (times + 1, 1, 3)
+        assert got["base_score"] == pytest.approx(times * math.log10(0.5 / (n + 0.5 * (v + 1))) + math.log10(1.5 / (n + 0.5 * (v + 1))))
+
+
+def test_hot_contexts_and_many_parts_change_nothing(spark, tiny, monkeypatch):
+    """Nearly every context hot and dealt by four symbols, small blocks and parts: the same scores."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    want = {r["doc_id"]: r for r in ppm.report(docs).collect()}
+    for name, value in (("HOT_SHARE", 1e6), ("BLOCK", 40_000), ("PART", 30_000), ("WORD_PART", 50_000)):
+        monkeypatch.setattr(ppm, name, value)
+    got = ppm.report(docs).collect()
+    assert len(got) == len(want)
+    for r in got:
+        w = want[r["doc_id"]]
+        assert r["score"] == pytest.approx(w["score"], rel=1e-6) and r["base_score"] == pytest.approx(w["base_score"])
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (w["n_tokens"], w["n_known"], w["train_tokens"])
+
+
+def test_hot_contexts_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "HOT_SHARE", 50)
+    test_scores_and_baseline_match_brute_force(spark)
+
+
+def test_floats_round_trip():
+    x = np.array([-3.5, 0.0, -1e-9, -12.25], np.float32)
+    assert (ppm._floats_read(ppm._floats_packed(x), 4) == x).all() and len(ppm._floats_read(ppm._floats_packed(x[:0]), 0)) == 0
