@@ -7,8 +7,9 @@ maximum) is stored as its backpointer.
 
 Scores: for a unigram model the sum of piece scores. A BPE model's result is defined by merge order, not by a sum; there a
 step scores 0 if the piece and the one before it are what merging their joined string gives, and minus infinity
-otherwise, which leaves the one path that merging would take. Words with runs of spaces, whose pieces all have equal
-scores, are merged directly. Characters outside the vocabulary become byte pieces (or the unknown piece without them).
+otherwise, which leaves the one path that merging would take. Words of over LONG characters advance as many equal stretches at
+once, joined where two neighbours' tables agree. In a run of spaces whose pieces all rank alike and after all others, only the last
+space goes with the word; the run before it has one result for its length. Characters outside the vocabulary become byte pieces (or the unknown piece without them).
 
 The model file is read on the driver, a parameter; nothing is trained. Supported: the identity normaliser.
 
@@ -37,6 +38,10 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 BATCH_WORDS = 20_000
 CHUNK_BYTES = 2_000_000  # of text that a worker encodes at once
 MEMO_WORDS = 500_000  # distinct words whose ids a worker keeps
+LONG = 400  # characters of a word beyond which its stretches advance together
+STEP, OVERLAP = 240, 80
+RUN, PERIOD = 160, 48  # PERIOD: a multiple of the usual lengths of pieces that repeat one character
+LONG_ROWS = 2_000
 NEVER = np.int64(1 << 60)
 
 
@@ -145,6 +150,7 @@ class Model:
         self.ids = {self.text[i]: int(i) for i in own}
         self.rank = np.full(self.size + 1, -1, np.int64)
         self.left, self.right = np.full(self.size + 1, -1, np.int64), np.full(self.size + 1, -1, np.int64)
+        self.spaces_last, self.runs = False, {}
         if self.kind != 2:
             return
         _, place = np.unique(-self.score[own], return_inverse=True)
@@ -156,6 +162,10 @@ class Model:
             else:
                 self.plain[i] = False
         self.reachable = self.plain.copy()
+        runs = np.array([i for i in own if set(self.text[i]) == {SPACE}], np.int64)
+        others = np.array([i for i in own if self.length[i] > 1 and set(self.text[i]) != {SPACE}], np.int64)
+        # Runs of spaces whose pieces all rank alike and after all others: no piece holds two spaces and more.
+        self.spaces_last = bool(len(runs)) and SPACE in self.ids and len(set(self.score[runs].tolist())) == 1 and not (len(others) and self.score[others].min() <= self.score[runs[0]]) and not any(SPACE * 2 in self.text[i] for i in others)
 
     def merged(self, word: str):
         """The pieces that merging makes of the word, best score first, then leftmost; and the last merge."""
@@ -193,9 +203,8 @@ class Model:
             x, y = np.where(later_x, self.right[x], x), np.where(later_x, y, self.left[y])
         return out
 
-    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of words of one length; a character outside the vocabulary is -10 minus its code point."""
-        codes = _codes(words)
+    def tables(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(back, last) for words of one length as rows of code points: for each end, where the best path's last piece starts, and that piece."""
         n, length = codes.shape
         hashes = _code_hash(codes)
         total = np.zeros((n, length + 1), U64)
@@ -204,7 +213,7 @@ class Model:
         best = np.full((n, length + 1), -np.inf, np.float32)  # single precision and the earliest of equal starts, as the format sums
         best[:, 0] = 0.0
         back = np.zeros((n, length + 1), np.int32)
-        last = np.full((n, length + 1), -1, np.int64)
+        last = np.full((n, length + 1), -1, np.int32)
         for end in range(1, length + 1):
             starts = np.arange(max(0, end - self.longest), end)
             ids = self.find((total[:, [end]] - total[:, starts] * self.power[end - starts]).ravel()).reshape(n, -1)
@@ -220,17 +229,24 @@ class Model:
                 w, s = w[ok], s[ok]
                 inner = starts[s] > 0
                 w, s = w[inner], s[inner]
-                wrong = ~self.stands(last[w, starts[s]], ids[w, s])
+                wrong = ~self.stands(last[w, starts[s]].astype(np.int64), ids[w, s])
                 step[w[wrong], s[wrong]] = -np.inf
             top = np.argmax(step, axis=1)
             rows = np.arange(n)
             best[:, end], back[:, end], last[:, end] = step[rows, top], starts[top], ids[rows, top]
+        return back, last
+
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of words of one length; a character outside the vocabulary is -10 minus its code point."""
+        codes = _codes(words)
+        n, length = codes.shape
+        back, last = self.tables(codes)
         # Follow the backpointers of all words together.
         at = np.full(n, length)
         columns = []
         while (at > 0).any():
             live = at > 0
-            own = np.where(live, last[np.arange(n), at], -2)
+            own = np.where(live, last[np.arange(n), at], -2).astype(np.int64)
             start = back[np.arange(n), at]
             outside = own == self.size
             own[outside] = -10 - codes[outside, start[outside]].astype(np.int64)
@@ -240,16 +256,84 @@ class Model:
         real = found != -2
         return found[real], real.sum(axis=1)
 
+    def long_word(self, word: str) -> np.ndarray:
+        """The ids of a long word. A long run of one character is worked out shorter by a multiple of PERIOD; where the path then comes to the same piece
+        twice, PERIOD apart, what lies between goes in as often again: all neighbours on the longer path stand, and only one path's do."""
+        codes = _codes([word])[0]
+        begins = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        size = np.diff(np.append(begins, len(codes)))
+        times = np.where(size >= RUN + PERIOD, (size - RUN) // PERIOD, 0)
+        if not times.any():
+            return self.path(codes)[0]
+        short = size - times * PERIOD
+        ids, ends = self.path(np.repeat(codes[begins], short))
+        out, done = [], 0
+        for first, n, more in zip((np.cumsum(short) - short)[times > 0].tolist(), short[times > 0].tolist(), times[times > 0].tolist()):
+            low, high = np.searchsorted(ends, (first + 1, first + n + 1))
+            after = np.searchsorted(ends, ends[low:high] + PERIOD)
+            same = np.flatnonzero((after < high) & (ends[np.minimum(after, high - 1)] == ends[low:high] + PERIOD) & (ids[np.minimum(after, high - 1)] == ids[low:high]))
+            if not len(same):
+                return self.path(codes)[0]
+            begin, end = low + int(same[0]) + 1, int(after[same[0]]) + 1
+            out += [ids[done:end], np.tile(ids[begin:end], more)]
+            done = end
+        return np.concatenate([*out, ids[done:]])
+
+    def path(self, codes: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of a long word's code points: its stretches of `step` characters and an overlap advance together, as words of one length.
+
+        Each stretch's table holds what merging makes of all its prefixes. The path goes back from the word's end; within an overlap it passes to the
+        stretch before at a place where both tables end in the same piece. Every two neighbours on it then stand in one table or the
+        other, and only one path does. Where no place is found, the word is done again in stretches of twice the step.
+        """
+        n, width = len(codes), step + OVERLAP
+        begins = np.arange(0, max(1, n - OVERLAP), step)
+        rows = np.zeros((len(begins), min(width, n)), codes.dtype)  # a table's prefix does not depend on what follows it
+        for i, a in enumerate(begins.tolist()):
+            rows[i, : min(width, n - a)] = codes[a : a + width]
+        parts = [self.tables(rows[a : a + LONG_ROWS]) for a in range(0, len(rows), LONG_ROWS)]
+        back, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+        out, ends, k, at = [], [], len(begins) - 1, n - int(begins[-1])
+        while k or at:
+            if k and 0 < at <= OVERLAP and last[k, at] == last[k - 1, at + step]:
+                k, at = k - 1, at + step
+                continue
+            if not at:
+                return self.path(codes, 2 * step)
+            piece, start = int(last[k, at]), int(back[k, at])
+            out.append(-10 - int(rows[k, start]) if piece == self.size else piece)
+            ends.append(k * step + at)
+            at = start
+        return np.array(out[::-1], np.int64), np.array(ends[::-1], np.int64)
+
+    def space_run(self, n: int) -> list[int]:
+        """The ids of n spaces that merge after all else: the same as the first pieces of a longer run, again and again."""
+        most = 6 * self.longest
+        if n not in self.runs:
+            if n <= most:
+                parts, _ = self.merged(SPACE * n)
+                self.runs[n] = [self.ids.get(p, -10 - ord(p[0])) for p in parts]
+            else:
+                lead = self.space_run(most)[0]
+                size = int(self.length[lead])
+                times = (n - most) // size + 1
+                return [lead] * times + self.space_run(n - times * size)
+        return self.runs[n]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of the words, in which spaces are already U+2581."""
         order, flats, counts = [], [], []
         by_length: dict[int, list[int]] = {}
+        ahead: dict[int, int] = {}  # spaces before the last one of a word, which merge after all else
         for i, w in enumerate(words):
-            if self.kind == 2 and w.startswith(SPACE * 3):
-                parts, _ = self.merged(w)
+            spaces = len(w) - len(w.lstrip(SPACE)) if self.spaces_last and w.startswith(SPACE * 2) else 0
+            if spaces:
+                w = words[i] = w[spaces - 1 :]
+                ahead[i] = spaces - 1
+            if self.kind == 2 and len(w) > LONG:
                 order.append([i])
-                flats.append(np.array([self.ids.get(p, -10 - ord(p[0])) for p in parts], np.int64))
-                counts.append([len(parts)])
+                flats.append(self.long_word(w))
+                counts.append([len(flats[-1])])
             else:
                 by_length.setdefault(len(w), []).append(i)
         for length, own in by_length.items():
@@ -262,7 +346,22 @@ class Model:
         flat, count = np.concatenate([np.zeros(0, np.int64), *flats]), np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64)
         flat, count = self._with_bytes(flat, count)
         order = np.argsort(np.concatenate([np.zeros(0, np.int64), *order]).astype(np.int64))
-        return _stretches(flat, (np.cumsum(count) - count)[order], count[order]), count[order]
+        flat, count = _stretches(flat, (np.cumsum(count) - count)[order], count[order]), count[order]
+        return self._with_spaces(flat, count, ahead) if ahead else (flat, count)
+
+    def _with_spaces(self, flat: np.ndarray, count: np.ndarray, ahead: dict[int, int]):
+        """Puts the runs of spaces before their words; a word's own first space joins the run if it merged with nothing."""
+        first = np.cumsum(count) - count
+        space = self.ids.get(SPACE, self.size)
+        parts, at, count = [], 0, count.copy()
+        for i, n in ahead.items():  # in the order of the words
+            begin = int(first[i])
+            alone = int(flat[begin]) == space
+            run = np.array(self.space_run(n + alone), np.int64)
+            parts += [flat[at:begin], run]
+            at = begin + alone
+            count[i] += len(run) - alone
+        return np.concatenate([*parts, flat[at:]]).astype(np.int32), count
 
     def _with_bytes(self, flat: np.ndarray, count: np.ndarray):
         """Characters outside the vocabulary as their byte pieces, or as the unknown piece."""

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,31 @@ def test_unigram_equals_the_library(bytes_too):
     assert sum(own == theirs for own, theirs in zip(ids, want, strict=True)) > 0.95 * len(want)
 
 
+def test_long_words_and_runs_equal_the_library():
+    rng = random.Random(3)
+    texts = [" " * 100_000, "a" * 100_000, "漢字" * 20_000, "." * 5_001, "*" * 3_333 + "x", "".join(rng.choices("abcdefghij", k=20_000)), "abcdefg" * 3_000, ("a" * 300 + "b" * 277) * 3, "".join(rng.choices("漢字日本語の一人大", k=9_000)), (" " * 37 + "word") * 50, "\ue000" * 900]
+    texts += [" " * n for n in range(1, 120)] + [" " * n + "x" for n in range(1, 120)] + ["x" + " " * n + "\n" for n in range(1, 60)] + [c * n for n in range(395, 450, 6) for c in "z.=é"]
+    library, model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.load()
+    for text in texts[:2]:
+        began = time.process_time()
+        own, _ = encoded(model, [text])
+        assert time.process_time() - began < 2
+        assert own[0] == library.encode(text)
+    ids, back = encoded(model, texts)
+    assert ids == library.encode(texts) and back == texts
+
+
+def test_stretches_in_small_steps_equal_the_library(monkeypatch, tiny):
+    """Every word of over 20 characters as a long one, with overlaps that often don't suffice."""
+    import pyarrow.parquet as pq
+
+    texts = ["".join(t.split()) for t in pq.read_table(f"{tiny}/documents.parquet")["text"].to_pylist()[:40]]
+    monkeypatch.setattr(pieces, "LONG", 20)
+    library, model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.load()
+    model.path = lambda codes, step=16, path=model.path: path(codes, step)
+    assert encoded(model, texts)[0] == library.encode(texts)
+
+
 def test_memo_begins_anew_without_change(monkeypatch, tiny):
     import pyarrow.parquet as pq
 
