@@ -5,11 +5,11 @@ an edit moves only the cuts around it. A paragraph's digest is 64 bits of its by
 has three thirds of cells (count, xor of digests, xor of checks); a digest enters one cell of each third. The sketches of
 two versions subtract cell by cell, and peeling cells that hold one digest recovers the digests in which they differ.
 The fingerprint is the smallest sketch; where peeling stalls, both versions are sketched again with four times the cells,
-until it succeeds (after LAST_TRY sizes the digests themselves are compared, so the result is always exact).
+until it succeeds: a sketch of more cells than digests peels but for a vanishing chance, and the next is larger again.
 
 The next document is found by ranging on doc_id: the first row of each range is also sent to the range before it, and
-each task streams through its sorted rows holding one text over. Bounds come from an approximate quantile of the ids,
-the first ids of the ranges are one number a range.
+each task streams through its sorted rows holding one text over. Bounds come from an approximate quantile of the ids, the
+first ids of the ranges are one number a range, and there are at most MOST_RANGES of them.
 
 Defined cases: a null text is empty; texts without words have equal, empty fingerprints and likeness 1; a null doc_id
 counts as the least; equal ids are ordered by their text; one document is its own next; an empty table gives an empty result;
@@ -31,9 +31,9 @@ from strandmill.llm.textkit import U64, mix
 
 CELLS = 18
 CUT = 4
-LAST_TRY = 7
 TABLE_CELLS = 1_500_000  # cells of all sketches that a task builds at once
 CHUNK_BYTES = 2_000_000
+MOST_RANGES = 16_384  # of ids, whose bounds are literals of the plan; a task streams through its range, however long
 _SEEDS = np.array([0x8CB92BA72F3D8DD7, 0xD1342543DE82EF95, 0xAEF17502108EF2D9], dtype=np.uint64)
 _CHECK = U64(0xF1357AEA2E62A9C5)
 
@@ -140,7 +140,7 @@ def differences(a, b, cells: int = CELLS) -> np.ndarray:
     n = len(a[1]) - 1
     out = np.zeros(n, np.int64)
     left = np.arange(n)
-    for _ in range(LAST_TRY):
+    while len(left):
         stalled = []
         step = max(1, TABLE_CELLS // cells)
         for i in range(0, len(left), step):
@@ -149,12 +149,8 @@ def differences(a, b, cells: int = CELLS) -> np.ndarray:
             done, row, _, _ = peel(x.count - y.count, x.key ^ y.key, x.check ^ y.check, cells)
             out[rows] = np.where(done, np.bincount(row, minlength=len(rows)), 0)
             stalled.append(rows[~done])
-        left = np.concatenate(stalled) if stalled else left
-        if not len(left):
-            return out
+        left = np.concatenate(stalled)
         cells *= 4
-    for r in left:
-        out[r] = len(np.setxor1d(a[0][a[1][r] : a[1][r + 1]], b[0][b[1][r] : b[1][r + 1]]))
     return out
 
 
@@ -221,7 +217,7 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document."""
     kind = docs.schema["doc_id"].dataType
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(textkit.partitions(docs.sparkSession), size // 16_000_000)
+    ranges = min(MOST_RANGES, max(textkit.partitions(docs.sparkSession), size // 16_000_000))
 
     def apply(batches):
         held_ids, held, at, size = [], [], None, 0

@@ -2,14 +2,17 @@
 
 Equal vectors are searched once: a group keeps its KEEP least ids, more can't be among the nearest. Each of CURVES
 Hilbert curves orders the groups by the cell of a random, variance-weighted projection with a random shift; quantiles of
-the keys cut a curve into BLOCKS ranges. A query looks at its own range on every curve first, which gives its least score
+the keys cut a curve into ranges. A query looks at its own range on every curve first, which gives its least score
 worth keeping, then at the WINDOW ranges on either side; the answers of all windows merge and are ranked on the original
-vectors in double precision. Spark deals (range, piece) cells; a range of more than PIECE groups is cut into pieces by a
-hash, and queries of a cell into stacks of at most STACK, so no task holds an unbounded group whatever the keys' skew.
+vectors in double precision. Cells are (curve, range, piece) in that order, a range of more than PIECE groups being cut into pieces by a
+hash; Spark ranges rows by cell, each group lies once on every curve, and a task holds the candidates of one cell and
+streams that cell's queries past them, however many there are. A query whose windows hold fewer groups than asked for, though
+the table has more, looks at all of the first curve.
 
-The projection is fitted on SAMPLE groups (bounded, by a hash); every vector is indexed. WINDOW and BLOCKS set the share
-of a curve that a query sees, which sets recall: on vectors without low-dimensional structure no smaller share reaches
-0.9, and work grows with queries times rows.
+The projection is fitted on SAMPLE groups (bounded, by a hash); every vector is indexed. The share of a curve that a query sees sets
+recall, and work grows with queries times that share. The number of ranges is the largest at which the sample, searched
+by brute force, keeps a recall of RECALL, BLOCKS at least: vectors with few effective dimensions get many narrow ranges; for vectors without any such
+structure no share below that of BLOCKS reaches 0.9.
 
 Defined cases: vectors null, zero, or with null or non-finite components take no part, nor do rows with a null id or of
 another length than most; rows repeated with the same id count once; ties go to the smaller id; fewer candidates than
@@ -32,8 +35,9 @@ WINDOW = 2
 DIMS, BITS = 10, 6
 LEAST_BLOCK = 64
 SAMPLE = 4_096
+ASKED = 256  # groups of the sample whose neighbours are searched by brute force, to choose the number of ranges
+RECALL = 0.95
 PIECE = 32_768
-STACK = 16_384
 SALTS = 32
 SLACK = 1e-9  # matrix products round otherwise than row sums; what is this close is kept and ranked exactly
 
@@ -76,6 +80,25 @@ class Curves:
         return hilbert_keys((np.clip(y, 0, 1 - 1e-9) * (1 << BITS)).astype(np.int64), BITS)
 
 
+def ranges_for(sample: np.ndarray, curves: Curves, k: int) -> int:
+    """The largest number of ranges, doubled from BLOCKS, at which windows find RECALL of the k nearest of each of the first ASKED rows among the sample."""
+    n, asked = len(sample), np.arange(min(ASKED, len(sample)))
+    if n < 2 * BLOCKS or not 0 < k < n:
+        return BLOCKS
+    place = np.stack([np.argsort(np.argsort(curves.keys(sample, c), kind="stable")) for c in range(CURVES)])
+    scores = sample[asked] @ sample.T
+    scores[asked, asked] = -np.inf
+    true = np.argpartition(scores, n - k, axis=1)[:, n - k :]
+    blocks = BLOCKS
+    while 2 * blocks * LEAST_BLOCK <= 8 * n:  # some rows of the sample in each range
+        block = place * (2 * blocks) // n
+        seen = (np.abs(block[:, asked][:, :, None] - block[:, true]) <= WINDOW).any(axis=0)
+        if seen.mean() < RECALL:
+            break
+        blocks *= 2
+    return blocks
+
+
 def nearest(table: DataFrame, every: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by `every`, the k nearest other rows found."""
     spark = table.sparkSession
@@ -96,7 +119,8 @@ def nearest(table: DataFrame, every: int, k: int, id_col: str = "vec_id", vector
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(curves.keys(x, c))], ["curve", "key"])
 
     n_groups = groups.count()
-    blocks = max(1, min(BLOCKS, n_groups // LEAST_BLOCK))
+    fitted = np.array([r["vector"] for r in sample], dtype=np.float64)
+    blocks = max(1, min(ranges_for(fitted, curves, -(-k * len(sample) // n_groups)), n_groups // LEAST_BLOCK))
     cuts = [i / blocks for i in range(1, blocks)] or [1.0]
     quantiles = groups.select("vector").mapInArrow(key_rows, "curve int, key long").groupBy("curve").agg(F.percentile_approx("key", cuts, 10_000).alias("bounds")).collect()
     bounds = {r["curve"]: np.array(r["bounds"][: blocks - 1], dtype=np.int64) for r in quantiles}
@@ -108,31 +132,30 @@ def nearest(table: DataFrame, every: int, k: int, id_col: str = "vec_id", vector
         for batch in batches:
             x = _matrix(batch.column("vector"))
             for c in range(CURVES):
-                yield pa.RecordBatch.from_arrays([pa.array((c * blocks + block_of(x, c)).astype(np.int32)), pa.array(np.asarray(batch.column("asks")).astype(np.int64))], ["block", "asks"])
+                yield pa.RecordBatch.from_arrays([pa.array((c * blocks + block_of(x, c)).astype(np.int32))], ["block"])
 
-    counts = groups.select("vector", "asks").mapInArrow(block_rows, "block int, asks long").groupBy("block").agg(F.count("*").alias("n"), F.sum("asks").alias("asks")).collect()
-    n_pieces, n_asks = np.ones(CURVES * blocks, np.int64), np.zeros(CURVES * blocks, np.int64)
+    counts = groups.select("vector").mapInArrow(block_rows, "block int").groupBy("block").agg(F.count("*").alias("n")).collect()
+    n_pieces = np.ones(CURVES * blocks, np.int64)
     for r in counts:
         n_pieces[r["block"]] = -(-r["n"] // PIECE)
-        n_asks[r["block"]] = r["asks"]
     first_cell = np.concatenate([[0], np.cumsum(n_pieces)])
-    stacks = max(1, -(-int(n_asks.max()) * (2 * WINDOW + 1) // STACK))  # a full look is for a few queries only
+    names = ["cell", "asks", "gid", "least", "floor", "vector"]
 
     def file(batches):
-        """Each group under its cell on every curve, once for each stack of queries."""
+        """Each group under its cell on every curve."""
         for batch in batches:
             x, gid = _matrix(batch.column("vector")), batch.column("gid").to_numpy()
             for c in range(CURVES):
                 block = c * blocks + block_of(x, c)
                 piece = (textkit.mix(gid.view(np.uint64)) % n_pieces[block].astype(np.uint64)).astype(np.int64)
-                for s in range(stacks):
-                    yield pa.RecordBatch.from_arrays([pa.array((first_cell[block] + piece) * stacks + s), batch.column("gid"), batch.column("least"), batch.column("vector")], ["cell", "gid", "least", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(first_cell[block] + piece), pa.array(np.zeros(len(x), bool)), batch.column("gid"), batch.column("least"), pa.array(np.zeros(len(x))), batch.column("vector")], names)
 
     def probe(steps, on):
+        """Each query under all cells of its windows."""
+
         def apply(batches):
             for batch in batches:
-                x, gid = _matrix(batch.column("vector")), batch.column("gid").to_numpy()
-                stack = (textkit.mix(gid.view(np.uint64) ^ np.uint64(77)) % np.uint64(stacks)).astype(np.int64)
+                x = _matrix(batch.column("vector"))
                 for c in on:
                     home = block_of(x, c)
                     for step in steps:
@@ -141,40 +164,54 @@ def nearest(table: DataFrame, every: int, k: int, id_col: str = "vec_id", vector
                         for p in range(int(n_pieces[block].max()) if len(some) else 0):
                             own = p < n_pieces[block]
                             at = pa.array(some[own])
-                            yield pa.RecordBatch.from_arrays([pa.array((first_cell[block[own]] + p) * stacks + stack[some[own]]), *(batch.column(n).take(at) for n in ("gid", "vector", "floor"))], ["cell", "query", "vector", "floor"])
+                            yield pa.RecordBatch.from_arrays([pa.array(first_cell[block[own]] + p), pa.array(np.ones(len(at), bool)), *(batch.column(n).take(at) for n in names[2:])], names)
 
         return apply
 
-    def answer(queries, candidates):
-        """The candidates of a cell that are among its `keep` best for a query and reach the query's floor."""
-        out = []
-        if queries.num_rows and candidates.num_rows:
-            q, x = _matrix(queries.column("vector")), _matrix(candidates.column("vector"))
-            query, floor = queries.column("query").to_numpy(), queries.column("floor").to_numpy()
-            gid, least = candidates.column("gid").to_numpy(), candidates.column("least").to_numpy()
-            step = max(1, 4_000_000 // len(x))
-            for a in range(0, len(q), step):
-                s = q[a : a + step] @ x.T
-                limit = floor[a : a + step] - SLACK
-                if len(x) > keep:
-                    limit = np.maximum(limit, np.partition(s, len(x) - keep, axis=1)[:, len(x) - keep] - SLACK)
-                i, j = np.nonzero(s >= limit[:, None])
-                exact = np.einsum("ij,ij->i", q[a + i], x[j])
-                # Ties within rounding of the last place may pass the number asked for; only the first `keep` stay.
-                order = np.lexsort((least[j], -exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                own = place < keep
-                out.append((query[a + i[own]], gid[j[own]], least[j[own]], exact[own]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
-        return pa.Table.from_arrays([pa.array(c) for c in columns], ["query", "gid", "least", "score"])
+    def compared(q, query, floor, x, gid, least):
+        """The candidates x of a cell that are among its `keep` best for a query and reach the query's floor."""
+        step = max(1, 2_000_000 // len(x))
+        for a in range(0, len(q), step):
+            s = q[a : a + step] @ x.T
+            limit = floor[a : a + step] - SLACK
+            if len(x) > keep:
+                limit = np.maximum(limit, np.partition(s, len(x) - keep, axis=1)[:, len(x) - keep] - SLACK)
+            i, j = np.nonzero(s >= limit[:, None])
+            exact = np.einsum("ij,ij->i", q[a + i], x[j])
+            # Ties within rounding of the last place may pass the number asked for; only the first `keep` stay.
+            order = np.lexsort((least[j], -exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            own = place < keep
+            yield pa.RecordBatch.from_arrays([pa.array(query[a + i[own]]), pa.array(gid[j[own]]), pa.array(least[j[own]]), pa.array(exact[own])], ["query", "gid", "least", "score"])
+
+    def answer(batches):
+        """Rows come cell by cell, a cell's candidates before its queries."""
+        cell, held, joined = None, [], None
+        for batch in batches:
+            cells, asks = batch.column("cell").to_numpy(), np.asarray(batch.column("asks"))
+            cuts = np.flatnonzero(np.concatenate([[True], (cells[1:] != cells[:-1]) | (asks[1:] != asks[:-1]), [True]])).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = batch.slice(a, b - a)
+                x, gid, least, floor = _matrix(own.column("vector")), *(own.column(n).to_numpy() for n in ("gid", "least", "floor"))
+                if cells[a] != cell:
+                    cell, held, joined = cells[a], [], None
+                if not asks[a]:
+                    held.append((x, gid, least))
+                elif held:
+                    if joined is None:
+                        joined = [np.concatenate(c) for c in zip(*held, strict=True)]
+                    yield from compared(x, gid, floor, *joined)
 
     kind = table.schema[vector_col].dataType.simpleString()
-    filed = groups.mapInArrow(file, f"cell long, gid long, least long, vector {kind}")
+    schema = f"cell long, asks boolean, gid long, least long, floor double, vector {kind}"
+    filed = groups.mapInArrow(file, schema)
+    parts = max(textkit.partitions(spark), CURVES * n_groups // PIECE)
 
     def search(queries, steps, on=range(CURVES)):
-        probes = queries.select("gid", "vector", "floor").mapInArrow(probe(steps, on), f"cell long, query long, vector {kind}, floor double")
-        return probes.groupBy("cell").cogroup(filed.groupBy("cell")).applyInArrow(answer, "query long, gid long, least long, score double")
+        probes = queries.select("gid", F.lit(0).cast("long").alias("least"), "floor", "vector").mapInArrow(probe(steps, on), schema)
+        ranged = filed.unionByName(probes).repartitionByRange(parts, "cell").sortWithinPartitions("cell", "asks")
+        return ranged.mapInArrow(answer, "query long, gid long, least long, score double")
 
     def best(found):
         order = Window.partitionBy("query").orderBy(F.desc("score"), "least", "gid")

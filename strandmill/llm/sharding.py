@@ -66,19 +66,21 @@ def place_large(units: list[tuple[int, int, int]], total: int, shards: int) -> t
     return homes, [max(level - load, 0.0) for load in loads]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every record."""
+def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every record; and a column of docs that numbers its rows, if named."""
+    own = [carry] if carry else []
     base = textkit.cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
             (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + ROW_OVERHEAD).alias("size"),
             F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
             F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"),
+            *own,
         )
     )
     total = base.agg(F.sum("size").alias("s")).first()["s"]
     if not total:
-        return base.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        return base.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *own)
     ranges = shards * RANGES_PER_SHARD
     most = total / ranges
     # At most shards * LARGE_PER_SHARD texts, copies together, can be so large, whatever the input's size.
@@ -118,10 +120,10 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     start = F.when(F.col("hot"), F.col("at")).otherwise(F.min("at").over(Window.partitionBy(*cell, "text_key")))
     ends = [sum(room[: i + 1]) for i in range(shards - 1)]  # a shard takes the rest up to its room
     placed = placed.withColumn("shard", F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends]), lambda e: e <= start))) if ends else placed.withColumn("shard", F.lit(0))
-    columns = ["doc_id", "size", "text_crc32", "text_key", *cell, "at", "shard"]
+    columns = ["doc_id", "size", "text_crc32", "text_key", *cell, "at", "shard", *own]
     placed = placed.select(*columns)
     if homes:
-        placed = placed.unionByName(alone.select("doc_id", "size", "text_crc32", "text_key", (-1 - F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(64))).cast("int").alias("range"), F.col("home").alias("part"), F.lit(0).cast("long").alias("at"), F.col("home").alias("shard")))
+        placed = placed.unionByName(alone.select("doc_id", "size", "text_crc32", "text_key", (-1 - F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(64))).cast("int").alias("range"), F.col("home").alias("part"), F.lit(0).cast("long").alias("at"), F.col("home").alias("shard"), *own))
     placed = textkit.cut(placed)
 
     # Slots: rows of the shard in the cells before, then the place within the cell.
@@ -129,11 +131,16 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     counts = placed.groupBy("shard", *cell).agg(F.count("*").alias("n")).select("shard", *cell, F.coalesce(F.sum("n").over(cell_in_shard), F.lit(0)).alias("ahead"))
     within = F.row_number().over(Window.partitionBy("shard", *cell).orderBy("at", "text_key", "doc_id"))
     return placed.withColumn("within", within).join(F.broadcast(counts), ["shard", *cell]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("ahead") + F.col("within") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("ahead") + F.col("within") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *own
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the documents under path/shard=N, one folder a shard; ids must be unique for this."""
-    placed = shard_by_bytes(docs, shards, id_col, text_col).select(F.col("doc_id").alias(id_col), "shard", "slot")
-    docs.join(placed, id_col).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """Writes the documents under path/shard=N, one folder a shard, in the order of slots. Rows are numbered and written first, so that each meets
+    its own place whatever its id."""
+    opened = tuple(dict.fromkeys((id_col, text_col)))
+    rows = textkit.cut(textkit.sealed(docs, opened, number=F.monotonically_increasing_id()))
+    placed = shard_by_bytes(rows, shards, id_col, text_col, "number").select("number", F.col("shard").alias("its_shard"), "slot")
+    ordered = rows.join(placed, "number").repartitionByRange("its_shard", "slot").sortWithinPartitions("its_shard", "slot")
+    named = textkit.unsealed(ordered, docs.columns, opened, F.col("its_shard").alias("shard"))
+    named.write.partitionBy("shard").parquet(path)

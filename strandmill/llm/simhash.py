@@ -18,6 +18,7 @@ gives an empty result; columns other than id and text are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 from itertools import combinations
 
@@ -36,6 +37,7 @@ CROWDED = 4_096  # bucket rows beyond which Spark files the bucket again, over t
 ROW_COST = 100.0  # of filing a fingerprint once, in comparisons of two
 MOST_PROBES = 300  # of one fingerprint in one partition
 DIRECT = 1_024  # bucket rows up to which a task compares directly
+CHUNK = 400_000  # filed rows that a task compares at once
 SEED = 42
 
 
@@ -279,21 +281,29 @@ def links(nodes: DataFrame, most: int) -> DataFrame:
 
     crowded = textkit.cut(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("key", F.lit(True).alias("crowded")))
     rows = filed
-    if not crowded.isEmpty():
-        marked = textkit.cut(filed.join(crowded, "key", "left"))
+    if not crowded.isEmpty():  # their keys are few: a key of n rows is counted, and its rows stay where they are
+        marked = filed.join(textkit.small(crowded), "key", "left")
         rows = marked.where("crowded is null").drop("crowded").union(marked.where("crowded").drop("crowded").mapInArrow(file_again, schema))
 
     def verify(batches):
-        got = [pa.Table.from_batches([b]) for b in batches]
-        if not got:
-            return
-        t = pa.concat_tables(got)
-        key, fp, free = (t.column(c).to_numpy().astype(np.int64).view(U64) for c in ("key", "fp", "free"))
-        a, b = _links(key, fp, t.column("probe").to_numpy(), most, free)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
-
-    return rows.repartition(textkit.partitions(nodes.sparkSession), "key").mapInArrow(verify, "u long, v long")
+        """Buckets come one after the other; whole ones are compared as soon as CHUNK rows are there."""
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                own = pa.Table.from_batches([batch])
+                held = own if held is None else pa.concat_tables([held, own])
+                if held.num_rows < CHUNK:
+                    continue
+            if held is None or not held.num_rows:
+                return
+            key, fp, free = (held.column(c).to_numpy().astype(np.int64).view(U64) for c in ("key", "fp", "free"))
+            whole = len(key) if batch is None else int(np.searchsorted(key.view(np.int64), key.view(np.int64)[-1]))
+            a, b = _links(key[:whole], fp[:whole], held.column("probe").to_numpy()[:whole], most, free[:whole])
+            held = held.slice(whole)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
+
+    return rows.repartition(textkit.partitions(nodes.sparkSession), "key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long")
 
 
 def group(docs: DataFrame, width: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

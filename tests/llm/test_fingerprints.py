@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import plain
 import pyarrow as pa
 
 from strandmill.llm import fingerprints, textkit
@@ -33,6 +34,15 @@ def test_peeling_recovers_the_difference():
         assert set(digest[(row == r) & (sign < 0)].tolist()) == shifted[r] - sets[r]
 
 
+def test_retries_until_it_peels(monkeypatch):
+    """From sketches of three cells up to any size: the digests themselves are never compared."""
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (5, 400, 60_000)]
+    sets, (digests, first) = digest_sets(texts)
+    others, (other, other_first) = digest_sets([t.replace("w1", "v1") for t in texts])
+    want = [len(a ^ b) for a, b in zip(sets, others, strict=True)]
+    assert fingerprints.differences((digests, first), (other, other_first), 3).tolist() == want and want[2] > 5_000
+
+
 def test_a_false_check_ends():
     """A digest in one of its three cells only: taking it out leaves it in the two others, again and again."""
     digest = np.array([12345], dtype=np.uint64)
@@ -43,6 +53,27 @@ def test_a_false_check_ends():
     assert done.tolist() == [False, True]
 
 
+def plain_paragraphs(text):
+    """The paragraphs of a text as (bytes, occurrence), cut by line and after words whose hash is 0 modulo CUT; nothing of the module is used."""
+    raw, out, seen = (text or "").encode(), set(), {}
+    found, begin = plain.words(text), None
+    for i, (start, end, word) in enumerate(found):
+        begin = start if begin is None else begin
+        if plain.byte_hash(word) % 4 == 0 or i + 1 == len(found) or b"\n" in raw[end : found[i + 1][0]]:
+            own = raw[begin:end]
+            out.add((own, seen.get(own, 0)))
+            seen[own] = seen.get(own, 0) + 1
+            begin = None
+    return out
+
+
+def test_digests_stand_for_plain_paragraphs():
+    texts = made()
+    sets, _ = digest_sets(texts)
+    assert [len(s) for s in sets] == [len(plain_paragraphs(t)) for t in texts]
+    assert [len(a & b) for a, b in zip(sets, sets[1:], strict=False)] == [len(plain_paragraphs(a) & plain_paragraphs(b)) for a, b in zip(texts, texts[1:], strict=False)]
+
+
 def brute(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     out = {}
@@ -50,7 +81,7 @@ def brute(rows):
         text, following = text or "", rows[(k + 1) % len(rows)][1] or ""
         n = len(text) // 4
         new = text[: len(text) - n] + following[:n]
-        (a, e, f), _ = digest_sets([text, new, following])
+        a, e, f = map(plain_paragraphs, (text, new, following))
         like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
         out[i] = (len(text), hashlib.sha256(new.encode()).hexdigest(), like(a, e), like(a, f))
     return out
@@ -75,6 +106,14 @@ def test_report_matches_brute_force(spark):
     assert len(same) == 3 and len({got[i]["fingerprint"] for i in same}) == 1
 
 
+def test_few_ranges_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "MOST_RANGES", 2)
+    monkeypatch.setattr(fingerprints, "CHUNK_BYTES", 200)
+    rows = [(i // 2, t) for i, t in enumerate(sorted({t for t in made() if len(t) < 4000}))]
+    got = fingerprints.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r["doc_id"], r["n_chars"]) for r in got) == sorted((i, len(t)) for i, t in rows)
+
+
 def test_whole_table_and_small_ones(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     compare(spark, docs, [(r["doc_id"], r["text"]) for r in docs.collect()])

@@ -62,14 +62,36 @@ def test_recall(spark):
     assert recall >= 0.9
 
 
-def test_pieces_and_stacks_change_nothing(spark, small, monkeypatch):
+def test_pieces_change_nothing(spark, small, monkeypatch):
     table = spark.read.parquet(f"{small}/embeddings.parquet")
     whole = results(neighbours.nearest(table, 20, 20))
     monkeypatch.setattr(neighbours, "PIECE", 7)
-    monkeypatch.setattr(neighbours, "STACK", 5)
     parts = results(neighbours.nearest(table, 20, 20))
     assert {q: [x[:2] for x in v] for q, v in whole.items()} == {q: [x[:2] for x in v] for q, v in parts.items()}
 
 
+def test_ranges_follow_the_vectors():
+    """Vectors along a line get narrow ranges; without structure the least number stays."""
+    rng = np.random.default_rng(5)
+    noise = rng.standard_normal((2000, 32))
+    line = np.outer(np.linspace(0, 1, 2000), rng.standard_normal(32)) * 40
+    line = (line + 0.01 * noise) / np.linalg.norm(line + 0.01 * noise + 1e-9, axis=1)[:, None]
+    curve = np.stack([np.cos(np.linspace(0, 3, 2000)), np.sin(np.linspace(0, 3, 2000))], axis=1) @ rng.standard_normal((2, 32)) + 0.001 * noise
+    for x, many in ((noise, False), (rng.permutation(curve), True)):
+        assert (neighbours.ranges_for(x, neighbours.Curves(x), 5) > neighbours.BLOCKS) == many
+
+
+def test_recall_with_narrow_ranges(spark):
+    """Vectors in two effective dimensions: more ranges than BLOCKS, and the recall holds against brute force."""
+    rng = np.random.default_rng(6)
+    angle = rng.uniform(0, 6.28, 6000)
+    x = np.stack([np.cos(angle), np.sin(angle)], axis=1) @ np.linalg.qr(rng.standard_normal((24, 2)))[0].T + 0.002 * rng.standard_normal((6000, 24))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    sample = x[:4096]
+    assert neighbours.ranges_for(sample, neighbours.Curves(sample), 14) > neighbours.BLOCKS
+    got, want = results(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 20)), brute(rows, 20, 20)
+    assert np.mean([len({i for _, i in want[q]} & {i for _, i, _ in got[q]}) / 20 for q in want]) >= 0.9
+
+
 def test_empty(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), 20, 20).collect() == []
