@@ -13,7 +13,7 @@ first ids of the ranges are one number a range, and there are at most MOST_RANGE
 
 Defined cases: a null text is empty; texts without words have equal, empty fingerprints and likeness 1; a null doc_id
 counts as the least; equal ids are ordered by their text; one document is its own next; an empty table gives an empty result;
-columns other than doc_id and text are not read.
+columns other than doc_id and text are not read; ids are integers, and an id that is none ends the job.
 """
 
 from __future__ import annotations
