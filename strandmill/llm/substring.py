@@ -128,7 +128,7 @@ def answers(blocked: DataFrame, size: int, width: int) -> DataFrame:
     def touch(table):
         block, h1, rows = table.column("block")[0].as_py(), Block(table, width).h1, []
         for row in range(ROWS):
-            cells = np.unique(sketch.cells(h1, row))
+            cells = textkit.distinct(sketch.cells(h1, row))
             edges = sketch.edges(cells)
             for s in np.flatnonzero(np.diff(edges)):
                 own = cells[edges[s] : edges[s + 1]] & U64((1 << sketch.slice_bits) - 1)
@@ -154,8 +154,10 @@ def answers(blocked: DataFrame, size: int, width: int) -> DataFrame:
         may = np.ones(len(own.h1), bool)
         for row in range(ROWS):
             cells = sketch.cells(own.h1, row)
-            distinct, times = np.unique(cells, return_counts=True)
-            edges, twice = sketch.edges(distinct), times > 1
+            ascending = np.sort(cells)
+            head = np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]])) if len(ascending) else np.zeros(0, np.int64)
+            distinct, twice = ascending[head], np.diff(np.append(head, len(ascending))) > 1
+            edges = sketch.edges(distinct)
             for s in np.flatnonzero(np.diff(edges)):
                 twice[edges[s] : edges[s + 1]] |= _bits(of[row * sketch.slices + int(s)], int(edges[s + 1] - edges[s]))
             left = np.flatnonzero(may)

@@ -25,9 +25,11 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
-# Arrays of over a quarter MB go back to the system when freed, so that workers that live through many stages stay small.
+# Arrays of over 8 MB, which a stretch of texts doesn't need, go back to the system when freed, so that workers that live through
+# many stages stay small; smaller ones are used again.
 with contextlib.suppress(OSError, AttributeError):
-    ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+    ctypes.CDLL("libc.so.6").mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+    ctypes.CDLL("libc.so.6").mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
 pa.set_memory_pool(pa.system_memory_pool())
 _BYTE_CODE = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -99,7 +101,7 @@ def spans(offsets: np.ndarray, most_bytes: int):
         a = b
 
 
-def pieces(column, most_bytes: int = 2_000_000):
+def pieces(column, most_bytes: int = 500_000):
     """(a, b, bytes, offsets) for stretches of rows of the column; the bytes and offsets are the stretch's own."""
     data, offsets = byte_view(column)
     for a, b in spans(offsets, most_bytes):
@@ -156,6 +158,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return range_hash(_BYTE_CODE[data], starts, ends)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending; by sorting, which is faster here than np.unique's table."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     """(bytes, begins, stops): the byte ranges one after the other with a space between, and where each lies."""
     size = ends - starts

@@ -81,7 +81,7 @@ def train(sample: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarr
             targets = batch.column("target").to_pylist()
             for lo, hi, data, offsets in textkit.pieces(batch.column("text")):
                 buckets, of, row, _, _ = sentences(data, offsets, bits)
-                key = np.unique(of * size + buckets)  # a feature counts once a sentence
+                key = textkit.distinct(of * size + buckets)  # a feature counts once a sentence
                 of, buckets = key // size, key % size
                 owner = row[of] if len(of) else of
                 cut = np.searchsorted(owner, np.arange(hi - lo + 1))
@@ -92,7 +92,7 @@ def train(sample: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarr
         # A feature of fewer than LEAST_DOCS training texts can only memorise them.
         seen = np.zeros(size, np.int64)
         for at, _, _ in docs:
-            seen[np.unique(at)] += 1
+            seen[textkit.distinct(at)] += 1
         common = seen >= LEAST_DOCS
         docs = [(at[kept], of[kept], y) for at, of, y in docs for kept in [common[at]]]
         # Follow-the-regularised-leader steps: the L1 term leaves a feature at 0 until its summed gradient exceeds it.
@@ -134,7 +134,7 @@ def _scored(data, offsets, w):
     """(row, begin, end, logit) of every sentence."""
     bits = int(len(w) - 1).bit_length() - 1
     buckets, of, row, begin, end = sentences(data, offsets, bits)
-    key = np.unique((of << bits) + buckets) if len(of) else of
+    key = textkit.distinct((of << bits) + buckets)
     sums = np.bincount(key >> bits, w[key & ((1 << bits) - 1)], minlength=len(row)) if len(row) else np.zeros(0)
     return row, begin, end, sums + w[-1]
 
