@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pytest
 
@@ -45,6 +47,32 @@ def test_targets_copies_and_cases(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def brute_draw(docs):
+    """(doc_id, size, copies) by a running sum in plain Python, over Spark's hashes of the rows."""
+    from pyspark.sql import functions as F
+
+    hashed = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text", "source").alias("key"), F.xxhash64("source", F.lit("offset")).alias("offset"))
+    rows = hashed.withColumn("luck", F.xxhash64("doc_id", "key", F.lit("order"))).collect()
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    sizes: dict = {}
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + size(r)
+    want, out = fill(sizes), []
+    for source in sizes:
+        own = sorted((r for r in rows if r["source"] == source), key=lambda r: (size(r), r["luck"]))
+        share = want[source] / sizes[source] if sizes[source] else 0.0
+        offset = own[0]["offset"] % (1 << 20) / (1 << 20)
+        out += [(r["doc_id"], size(r), math.floor(share * (k + 1) + offset) - math.floor(share * k + offset)) for k, r in enumerate(own)]
+    return out
+
+
+def test_draws_match_brute_force(spark, tiny):
+    rows = [(i, "bca"[i % 3], "w " * (i * 7 % 23)) for i in range(200)] + [(300, "b", "x y")] * 25 + [(301, None, None), (302, "only", ""), (None, "b", "q")]
+    for docs in (spark.read.parquet(f"{tiny}/documents.parquet"), spark.createDataFrame(rows, "doc_id long, source string, text string")):
+        got = [(r["doc_id"], r["size"], r["copies"]) for r in mixing.copies(docs).collect()]
+        assert sorted(got, key=str) == sorted(brute_draw(docs), key=str)
+
+
 def test_mix_emits_the_copies(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     words = {r["doc_id"]: r["taken"] for r in mixing.report(docs).collect()}
