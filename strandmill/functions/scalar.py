@@ -41,12 +41,18 @@ def is_header(line: Column) -> Column:
 
 def without_return(line: Column) -> Column:
     """The line without one carriage return at its end."""
-    return F.regexp_replace(line, "\r$", "")
+    return F.when(line.endswith("\r"), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+
+
+def all_digits(text: Column) -> Column:
+    """Whether the text is a decimal number below 2^31 of digits alone: it begins and ends with a digit, and as a whole it is an integer."""
+    digit = lambda c: (c >= "0") & (c < ":")
+    return digit(text) & digit(F.right(text, F.lit(1))) & text.try_cast("int").isNotNull()
 
 
 def unsigned(text: Column) -> Column:
     """Decimal digits as INT; null for anything else, a sign included, and for what doesn't fit."""
-    return F.when(text.rlike("^[0-9]+$"), text).try_cast("int")
+    return F.when(all_digits(text), text).try_cast("int")
 
 
 def int32_strict(text: Column) -> Column:

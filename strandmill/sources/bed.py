@@ -55,16 +55,18 @@ def split_header(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parsed3(data: DataFrame) -> DataFrame:
     """data with chrom, start, end, tail (with its leading separator); null positions where the line is malformed.
 
-    A name without white space, a separator (one tab or space), digits, a separator, digits; the tail is all that follows. One split by a
-    single character and one pattern over what follows the start, instead of a pattern over the line for each part.
+    A name without white space, a separator (one tab or space), digits, a separator, digits; the tail is all that follows. The fields are cut by
+    byte searches; a pattern looks only at a third field that isn't all digits.
     """
-    parts = F.split(F.translate("value", " ", "\t"), "\t", 3)
-    split = data.withColumn("__parts", parts)
-    chrom, start, rest = (F.coalesce(F.get("__parts", F.lit(i)), F.lit("")) for i in range(3))
-    named = split.withColumns({"chrom": chrom, "__start": start, "__end": F.regexp_extract(rest, "^[0-9]+", 0)})
+    line = F.when(F.contains("value", F.lit(" ")), F.translate("value", " ", "\t")).otherwise(F.col("value"))
+    cut = data.withColumn("__line", line).withColumn("chrom", F.substring_index("__line", "\t", 1))
+    cut = cut.withColumn("__start", F.substring_index(F.substring_index("__line", "\t", 2), "\t", -1))
+    cut = cut.withColumn("__rest", F.substring("__line", F.length("chrom") + F.length("__start") + 3, F.lit(1 << 30)))
+    third = F.substring_index("__rest", "\t", 1)
+    cut = cut.withColumn("__end", F.when(scalar.all_digits(third), third).otherwise(F.regexp_extract("__rest", "^[0-9]+", 0)))
     fine = (F.col("chrom") != "") & ~F.contains("chrom", F.lit("\r"))
     used = F.length("chrom") + F.length("__start") + F.length("__end") + 3
-    return named.withColumns({"start": F.when(fine, scalar.unsigned(F.col("__start"))), "end": F.col("__end").try_cast("int"), "tail": F.substring("value", used, F.lit(1 << 30))}).drop("__parts", "__start", "__end")
+    return cut.withColumns({"start": F.when(fine, scalar.unsigned(F.col("__start"))), "end": F.col("__end").try_cast("int"), "tail": F.substring("value", used, F.lit(1 << 30))}).drop("__line", "__start", "__rest", "__end")
 
 
 def is_well_formed() -> Column:
