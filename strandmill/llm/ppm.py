@@ -13,8 +13,8 @@ block ships its distinct strings of that length, with their training counts, by
 every longer context with its children and suffixes: it builds its share of the trie, scores its strings and sends the scores
 back to the blocks, which add them up by text. Strings of up to HEAD symbols are in every part: they are counted beforehand,
 collected and broadcast, at most 2^24 and as many as there are different runs of three bytes, which a larger corpus hardly adds to.
-Contexts of HEAD symbols that would fill much of a part are dealt by one symbol more; their children, at most 255 for each of at most
-HOT_SHARE contexts a part, are broadcast with the rest. The words of the baseline go the same way: a block ships its distinct words,
+Contexts of HEAD symbols that would fill much of a part are dealt by one symbol more; their children, at most 255 a context and one
+context for HOT_PARTS parts, are broadcast with the rest. The words of the baseline go the same way: a block ships its distinct words,
 parts add up their training counts and answer.
 
 Exclusion costs no sets: the symbols seen after a context are a subset of those after its suffix, so the excluded count
@@ -43,7 +43,7 @@ HEAD = 3
 BLOCK = 6_000_000  # bytes of text
 PART = 12_000_000  # bytes of text for each part of the trie
 LEAST_PARTS = 54
-HOT_SHARE = 2  # a context of 1 / HOT_SHARE of a part's mean share of the symbols is hot
+HOT_PARTS = 2.0  # a context of more symbols than so many parts have on average is hot
 LEAST = 3
 DISCOUNT = 0.6
 FLUSH = 24_000_000
@@ -67,12 +67,14 @@ def padded(data: np.ndarray, offsets: np.ndarray, order: int):
 
 def strings(symbols: np.ndarray, length: int) -> np.ndarray:
     """For each place, the last `length` symbols as an integer, the last one lowest; before the start they are START."""
-    key = symbols.astype(U64)
-    for j in range(1, length):
-        before = np.full(len(symbols), START, dtype=U64)
-        before[j:] = symbols[:-j]
-        key |= before << U64(8 * j)
-    return key
+    one = np.concatenate([np.full(length - 1, START, np.uint8), symbols]).astype(U64)
+    out, size, step, width = None, 0, one, 1
+    while True:  # strings of 1, 2, 4 ... symbols, put together as the length has bits
+        if length & width:
+            out, size = (step, width) if out is None else (out[width:] | (step[: len(step) - size] << U64(8 * size)), size + width)
+        if 2 * width > length:
+            return out
+        step, width = step[width:] | (step[:-width] << U64(8 * width)), 2 * width
 
 
 def suffix(keys: np.ndarray, length: int) -> np.ndarray:
@@ -406,7 +408,7 @@ def word_totals(texts: DataFrame, parts: int) -> tuple[int, int]:
     def add_up(table):
         words = np.zeros(0, U64)
         for blob in table.column("words").to_pylist():
-            words = np.union1d(words, _unpacked(blob))
+            words = textkit.distinct(np.concatenate([words, _unpacked(blob)]))
         return pa.table({"n": [sum(table.column("n").to_pylist())], "v": [len(words)]})
 
     dealt = texts.select("text").mapInArrow(count, "part int, words binary, n long")
@@ -424,7 +426,7 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     low, times = _short_counts(docs.where("learn"), HEAD)
     total = int(times.sum())
     # Contexts of HEAD symbols that fill much of a part are dealt by one symbol more; their children are counted beforehand too.
-    hot = low[times * (HOT_SHARE * parts) > total] if total else low
+    hot = low[times * parts > HOT_PARTS * total] if total else low
     deep, deep_times = _short_counts(docs.where("learn"), HEAD + 1, hot) if len(hot) else (low[:0], times[:0])
     empty = (np.zeros(1, U64), np.array([total]))
     head = spark.sparkContext.broadcast(
@@ -453,10 +455,10 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
         """The distinct keys of a block's stretches, and how often each occurs in rows to learn from."""
         every, own = [], []
         for rows, keys in stretches:
-            every.append(np.unique(keys))
-            own.append(tally(keys[learn[rows]]))
-        keys = np.unique(np.concatenate(every))
-        some, n = tally(*(np.concatenate(x) for x in zip(*own, strict=True)))
+            every.append(keys)
+            own.append(keys[learn[rows]])
+        keys = textkit.distinct(np.concatenate(every))
+        some, n = tally(np.concatenate(own))
         counts = np.zeros(len(keys), np.int32)
         counts[np.searchsorted(keys, some)] = n
         return keys, counts
@@ -494,25 +496,26 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def add_up(table, told):
         of, n = dict(zip(told.column("part").to_pylist(), told.column("told").to_pylist(), strict=True)), table.num_rows
-        keys = np.unique(np.concatenate([np.unique(k) for _, k in found(table)]))
+        stretches = list(found(table))
+        keys = textkit.distinct(np.concatenate([k for _, k in stretches]))
         values = np.zeros(len(keys), np.float32)
         for p, at in _parted(part_of(keys, head.value[2]), np.arange(len(keys))):
             values[at] = _floats_read(of[p], len(at))
         slots, score = _Slots(keys), np.zeros(n)
-        for rows, k in found(table):
+        for rows, k in stretches:
             score += np.bincount(rows, values[slots.find(k)], minlength=n)
-        del slots, values
-        keys = np.unique(np.concatenate([np.unique(k) for _, k in _word_rows(table.column("text"))]))
+        del slots, values, stretches
+        rows, words = (np.concatenate(x) for x in zip(*_word_rows(table.column("text")), strict=True))
+        order = np.argsort(words)
+        head_at = np.flatnonzero(np.concatenate([[True], words[order[1:]] != words[order[:-1]]]))
+        keys = words[order[head_at]]
         times = np.zeros(len(keys), np.int64)
         for p, at in _parted((keys % U64(word_parts)).astype(np.int32), np.arange(len(keys))):
             times[at] = np.frombuffer(zlib.decompress(of[parts + p]), np.int64)
-        tokens, known, base = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-        logs = np.log10(times + 0.5)
-        for rows, k in _word_rows(table.column("text")):
-            at = np.searchsorted(keys, k)
-            tokens += np.bincount(rows, minlength=n)
-            known += np.bincount(rows[times[at] > 0], minlength=n)
-            base += np.bincount(rows, logs[at], minlength=n)
+        each = np.zeros(len(words), np.int64)
+        each[order] = np.repeat(times, np.diff(np.append(head_at, len(words))))
+        tokens, known = np.bincount(rows, minlength=n), np.bincount(rows[each > 0], minlength=n)
+        base = np.bincount(rows, np.log10(each + 0.5), minlength=n)
         return pa.table({"doc_id": table.column("doc_id"), "score": score, "n_tokens": tokens, "n_known": known, "base": base})
 
     block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")

@@ -134,7 +134,7 @@ def test_hot_contexts_and_many_parts_change_nothing(spark, tiny, monkeypatch):
     """Nearly every context hot and dealt by four symbols, small blocks and parts: the same scores."""
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     want = {r["doc_id"]: r for r in ppm.report(docs).collect()}
-    for name, value in (("HOT_SHARE", 1e6), ("BLOCK", 40_000), ("PART", 30_000), ("WORD_PART", 50_000)):
+    for name, value in (("HOT_PARTS", 1e-6), ("BLOCK", 40_000), ("PART", 30_000), ("WORD_PART", 50_000)):
         monkeypatch.setattr(ppm, name, value)
     got = ppm.report(docs).collect()
     assert len(got) == len(want)
@@ -145,7 +145,7 @@ def test_hot_contexts_and_many_parts_change_nothing(spark, tiny, monkeypatch):
 
 
 def test_hot_contexts_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ppm, "HOT_SHARE", 50)
+    monkeypatch.setattr(ppm, "HOT_PARTS", 0.02)
     test_scores_and_baseline_match_brute_force(spark)
 
 
