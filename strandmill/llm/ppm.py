@@ -245,7 +245,8 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 def _parted(part: np.ndarray, *columns):
     """(part, columns) for each part, the rows in their order."""
-    order = np.argsort(part, kind="stable")
+    narrow = len(part) and int(part.max()) < 1 << 15
+    order = np.argsort(part.astype(np.int16) if narrow else part, kind="stable")  # 16 bits sort by radix
     part = part[order]
     edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -463,10 +464,17 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
         counts[np.searchsorted(keys, some)] = n
         return keys, counts
 
+    def distinct_strings(stretches, learn):
+        """The same for strings, which leave a bit free to sort the flag along with them."""
+        flagged = np.sort(np.concatenate([keys << U64(1) | learn[rows] for rows, keys in stretches]))
+        keys = flagged >> U64(1)
+        head_at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[head_at], np.add.reduceat(flagged & U64(1), head_at).astype(np.int32)
+
     def ship(table):
         """A block's distinct strings and words for each part, with their training counts."""
         learn, block = table.column("learn").to_numpy(), table.column("block")[0].as_py()
-        keys, counts = distinct(found(table), learn)
+        keys, counts = distinct_strings(found(table), learn)
         rows = [(block, p, _packed(k), zlib.compress(c.tobytes(), 1)) for p, k, c in _parted(part_of(keys, head.value[2]), keys, counts)]
         keys, counts = distinct(_word_rows(table.column("text")), learn)
         rows += [(block, parts + p, _packed(k), zlib.compress(c.tobytes(), 1)) for p, k, c in _parted((keys % U64(word_parts)).astype(np.int32), keys, counts)]
