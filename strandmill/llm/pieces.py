@@ -36,7 +36,7 @@ SPACE = "▁"
 _B = U64(0x9E3779B97F4A7C15)
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 BATCH_WORDS = 20_000
-CHUNK_BYTES = 2_000_000  # of text that a worker encodes at once
+CHUNK_BYTES = 1_000_000  # of text that a worker encodes at once
 MEMO_WORDS = 500_000  # distinct words whose ids a worker keeps
 LONG = 400  # characters of a word beyond which its stretches advance together
 STEP, OVERLAP = 240, 80

@@ -33,8 +33,8 @@ SLICE_BITS = 24  # a slice has at most 2**SLICE_BITS cells
 LEAST_SLICES_BITS = 5
 LEAST_BITS = 12  # of all cells; above, there is a cell in a sketch row for each byte of text or two, whatever the input
 CELLS_A_BYTE = 1.0
-BLOCK = 8_000_000  # bytes of text
-TARGET = 16_000_000  # bytes of text whose windows one target groups
+BLOCK = 4_000_000  # bytes of text
+TARGET = 8_000_000  # bytes of text whose windows one target groups
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 _SECOND = 0xD6E8FEB86659FD93
 
