@@ -53,5 +53,17 @@ def queries():
     return {f.__name__: f for f in (op1_ppm_trie, op2_systematic_mix, op3_iblt_fingerprints, op4_countmin_windows, op5_shifted_hilbert, op6_piece_viterbi, op7_quality_ftrl, op8_toxicity_noisy_or, op9_sampled_splitters, op10_simhash_pigeonhole)}
 
 
+# Windows by the digest of their words joined by one space, which no word holds; a word is removed if a repeated window covers it.
+WINDOWS_SQL = r"""with docs as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+ starts as (select r, words, unnest(range(1, len(words) - 33)) as i from docs where len(words) >= 35),
+ windows as (select r, i, md5(array_to_string(words[i:i + 34], ' ')) as digest from starts),
+ repeated as (select r, i from windows where digest in (select digest from windows group by digest having count(*) > 1)),
+ gone as (select distinct r, unnest(range(i, i + 35)) as i from repeated),
+ each_word as (select r, unnest(range(1, len(words) + 1)) as i, unnest(words) as word from docs where len(words) > 0),
+ kept as (select w.r, string_agg(w.word, ' ' order by w.i) as text, count(*) as n from each_word w anti join gone g on w.r = g.r and w.i = g.i group by w.r)
+ select doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(text, '')) as kept_sha256 from docs left join kept using (r)"""
+
+
 def oracle_sql():
-    return {}
+    """SQL over the whole tables, for what it can express."""
+    return {"op4_countmin_windows": WINDOWS_SQL}

@@ -101,3 +101,15 @@ def test_remove_keeps_the_rest(spark):
     got = {r["doc_id"]: (r["text"], r["source"], r["n_chars"]) for r in substring.remove(docs, 35).collect()}
     assert got == {1: ("one\ntwo  three", "a", 14), 2: ("tail", "b", 4), 3: ("  untouched  text\n", "c", 18), 4: ("", None, 0), 5: (None, "d", None)}
     assert substring.remove(docs.limit(0), 35).collect() == []
+
+
+def test_query_equals_its_sql(spark, tiny):
+    import duckdb
+
+    from strandmill.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tiny}/documents.parquet'")
+    want = con.execute(queries.oracle_sql()["op4_countmin_windows"]).fetchall()
+    got = queries.op4_countmin_windows(spark, tiny).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(r[2] for r in want)
