@@ -174,6 +174,16 @@ def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[byte
     return out.tobytes(), begins, begins + size
 
 
+def without(data: np.ndarray, offsets: np.ndarray, begin: np.ndarray, gone: np.ndarray) -> str:
+    """The text of a row, bytes offsets[0] to offsets[1], less the words marked, which begin at `begin`, and the white space after them."""
+    edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+    pieces, at = [], int(offsets[0])
+    for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        pieces.append(data[at : begin[i]].tobytes())
+        at = int(begin[j]) if j < len(begin) else int(offsets[1])
+    return b"".join([*pieces, data[at : offsets[1]].tobytes()]).decode("utf-8")
+
+
 def ascending_packed(values: np.ndarray, limit: int) -> bytes:
     """Ascending integers below limit: their low bytes as they are, the rest as one bit each at its value plus its index."""
     n = len(values)
