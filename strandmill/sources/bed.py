@@ -15,6 +15,7 @@ from strandmill import schema
 from strandmill.functions import scalar
 from strandmill.plans import storage
 from strandmill.schema import BedError
+from strandmill.sources import bgzf, ordered
 
 MOST_SCORE_BYTES = 255
 
@@ -22,9 +23,11 @@ MOST_SCORE_BYTES = 255
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """value, line_id: the lines of one file, a carriage return at their end removed. Ids ascend in the file's order.
 
-    Compression goes by suffix; a gzip stream is one split, so callers that sort lose nothing by it: the range exchange
-    deals its rows out again.
+    Compression goes by suffix. Blocked gzip is read by ranges of bytes; a plain gzip stream is one split, so callers that sort lose
+    nothing by it: the range exchange deals its rows out again.
     """
+    if path.endswith((".gz", ".bgz")) and ordered.first_bytes(spark, path, 18)[12:14] == b"BC" and ordered.arrow_opens(path):
+        return bgzf.read_lines(spark, path)
     raw = spark.read.text(path, lineSep="\n")
     return raw.select(scalar.without_return(F.col("value")).alias("value"), F.monotonically_increasing_id().alias("line_id"))
 

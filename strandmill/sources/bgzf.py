@@ -1,18 +1,23 @@
 """Blocked gzip (BGZF) text and the tabix index over it, both from their published specifications.
 
-Executors compress blocks of ordered lines; the driver concatenates them and folds each block's line places into the
-index, so it never sees a line.
+Reading: ranges of bytes are tasks, see blocks. Writing: every task compresses its lines to a part of the file and indexes it by places within the part;
+the parts' sizes move the places, and the indexes are joined. The driver holds an index, which is by its design as large as the
+genome is long and not as the file, and never a line.
 """
 
 from __future__ import annotations
 
+import gzip
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandmill.sources import ordered
+from strandmill.functions import scalar
+from strandmill.sources import blocks, ordered
 
 # Fixed values of the two formats.
 BLOCK = 65_280
@@ -65,6 +70,27 @@ class TabixIndex:
             if windows[w] < 0:
                 windows[w] = begin
 
+    def append(self, other: TabixIndex, shift: int) -> None:
+        """Takes over the index of the next part, whose places move by a number of bytes of the file."""
+        move = shift << 16
+        for name, bins, linear in zip(other.names, other.bins, other.linear, strict=True):
+            if not self.names or self.names[-1] != name:
+                self.names.append(name)
+                self.bins.append({})
+                self.linear.append([])
+            for number, chunks in bins.items():
+                have = self.bins[-1].setdefault(number, [])
+                for begin, end in chunks:
+                    if have and have[-1][1] == begin + move:
+                        have[-1][1] = end + move
+                    else:
+                        have.append([begin + move, end + move])
+            windows = self.linear[-1]
+            windows.extend([-1] * (len(linear) - len(windows)))
+            for w, at in enumerate(linear):
+                if at >= 0 and windows[w] < 0:
+                    windows[w] = at + move
+
     def to_bytes(self) -> bytes:
         names = b"".join(n.encode() + b"\0" for n in self.names)
         out = [b"TBI\1", struct.pack("<8i", len(self.names), TABIX_BED, 1, 2, 3, ord("#"), 0, len(names)), names]
@@ -80,94 +106,133 @@ class TabixIndex:
         return b"".join(out)
 
 
-def _blocks(lines: list[str], chroms, lows, highs):
-    """(block, its lines' chrom, low, high, begin, end) with offsets inside the uncompressed block; a line stays in one block unless it is longer."""
-    data, places = bytearray(), []
-    for line, chrom, low, high in zip(lines, chroms, lows, highs, strict=True):
-        raw = line.encode() + b"\n"
-        if data and len(data) + len(raw) > BLOCK:
-            yield bytes(data), places
-            data, places = bytearray(), []
+class BlockWriter:
+    """Compresses lines to blocks of a part as they come; a line stays in one block unless it is longer."""
+
+    def __init__(self, out, index: TabixIndex | None = None):
+        self.out, self.index, self.data, self.places = out, index, bytearray(), []
+
+    def add(self, raw: bytes, *place) -> None:
+        if self.data and len(self.data) + len(raw) > BLOCK:
+            self.flush()
         if len(raw) <= BLOCK:
-            places.append((chrom, low, high, len(data), len(data) + len(raw)))
-            data += raw
+            self.places.append((*place, len(self.data), len(self.data) + len(raw)))
+            self.data += raw
         else:
+            at = self.out.tell()
             for i in range(0, len(raw), BLOCK):
-                yield raw[i : i + BLOCK], [(chrom, low, high, 0, min(BLOCK, len(raw) - i))]
-    if data:
-        yield bytes(data), places
+                self.out.write(block(raw[i : i + BLOCK]))
+            if self.index is not None:
+                self.index.add(*place, at << 16, self.out.tell() << 16)
+
+    def flush(self) -> None:
+        if not self.data:
+            return
+        at, size = self.out.tell(), len(self.data)
+        self.out.write(block(bytes(self.data)))
+        if self.index is not None:
+            for chrom, low, high, begin, end in self.places:
+                self.index.add(chrom, low, high, at << 16 | begin, self.out.tell() << 16 if end == size else at << 16 | end)
+        self.data, self.places = bytearray(), []
+
+
+def blocked(raw: bytes) -> bytes:
+    return b"".join(block(raw[i : i + BLOCK]) for i in range(0, len(raw), BLOCK))
 
 
 def write(records: DataFrame, path: str, header: list[str] = (), tabix: bool = False) -> None:
-    """Ordered records (value, chrom, start, end) as path, and path + .tbi."""
+    """Ordered records (value, chrom, start, end) as path, and path + .tbi. Every task writes and indexes its part."""
 
-    def pack(batches):
+    def pack(batches, out):
+        index = TabixIndex() if tabix else None
+        writer = BlockWriter(out, index)
         for batch in batches:
-            rows = [batch.column(c).to_pylist() for c in ("value", "chrom", "start", "end")]
-            for data, places in _blocks(*rows):
-                columns = list(zip(*places, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([block(data)], pa.binary()), *(pa.array([list(c)], pa.list_(k)) for c, k in zip(columns, [pa.string(), *[pa.int64()] * 4], strict=True))], ["block", "chrom", "low", "high", "begin", "end"])
-
-    packed = records.select("value", "chrom", "start", "end").mapInArrow(pack, "block binary, chrom array<string>, low array<bigint>, high array<bigint>, begin array<bigint>, end array<bigint>")
-    index, at = TabixIndex(), 0
-    with ordered.atomic(path) as out:
-        if header:
-            for data, _ in _blocks(list(header), header, header, header):
-                at += out.write(block(data))
-        for row in packed.toLocalIterator(prefetchPartitions=True):
-            size = len(row["block"])
-            if tabix:
-                last = row["end"][-1]
-                for chrom, low, high, begin, end in zip(*(row[c] for c in ("chrom", "low", "high", "begin", "end")), strict=True):
-                    index.add(chrom, low, high, at << 16 | begin, (at + size) << 16 if end == last else at << 16 | end)
-            at += out.write(row["block"])
-        out.write(END_OF_FILE)
+            for line, *place in zip(*(batch.column(c).to_pylist() for c in ("value", "chrom", "start", "end")), strict=True):
+                writer.add(line.encode() + b"\n", *place)
+        writer.flush()
+        return index and (index.names, index.bins, index.linear)
+
+    parts = ordered.written_parts(records.select("value", "chrom", "start", "end"), pack)
+    head = blocked("".join(f"{h}\n" for h in header).encode())
+    ordered.assemble(records.sparkSession, parts, head, END_OF_FILE, path)
     if tabix:
+        index = TabixIndex()
+        for (_, _, told), begin in zip(parts, ordered.places(parts, head), strict=True):
+            own = TabixIndex()
+            own.names, own.bins, own.linear = told
+            index.append(own, begin)
         with ordered.atomic(f"{path}.tbi") as out:
-            raw = index.to_bytes()
-            for i in range(0, len(raw), BLOCK):
-                out.write(block(raw[i : i + BLOCK]))
-            out.write(END_OF_FILE)
+            out.write(blocked(index.to_bytes()) + END_OF_FILE)
+
+
+def _lines(spark: SparkSession, path: str, n: int, of) -> DataFrame:
+    """line_id (the place), value: the lines that of(file, k) gives, for k from 0 to n - 1, a task each."""
+
+    def work(batches):
+        with blocks.BlockFile(path) as file:
+            for batch in batches:
+                for k in batch.column("id").to_pylist():
+                    for places, lines in of(file, k):
+                        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(lines, pa.binary()).cast(pa.string())], ["line_id", "value"])
+
+    return spark.range(0, n, 1, n).mapInArrow(work, "line_id long, value string")
+
 
+def read_lines(spark: SparkSession, path: str, split: int = blocks.SPLIT) -> DataFrame:
+    """value, line_id: the lines of a blocked file by ranges of bytes, a carriage return at their end removed. Ids ascend in the file's order."""
+    bounds = blocks.ranges(path, split)
+    read = _lines(spark, path, len(bounds) - 1, lambda file, k: blocks.range_lines(file, bounds[k], bounds[k + 1]))
+    return read.select(scalar.without_return(F.col("value")).alias("value"), "line_id")
 
-def fetch(path: str, chrom: str, low: int, high: int) -> list[str]:
-    """The lines of a tabix-indexed file that overlap the region, by the index."""
-    import gzip
 
-    raw = gzip.open(f"{path}.tbi").read()
+def index_chunks(path: str, chrom: str, low: int, high: int) -> list[tuple[int, int]]:
+    """Stretches of places, apart and in order, that hold all lines of a region, by the .tbi beside the file."""
+    store, at = ordered.arrow_path(f"{path}.tbi")
+    with store.open_input_stream(at, compression=None) as stream:
+        raw = gzip.decompress(stream.read())
     n, _, _, _, _, _, _, size = struct.unpack_from("<8i", raw, 4)
     names = raw[36 : 36 + size].split(b"\0")[:n]
-    at, found = 36 + size, []
-    wanted = {0} | {b for shift, first in BIN_LEVELS for b in range(first + (low >> shift), first + ((high - 1) >> shift) + 1)}
+    at = 36 + size
+    levels = [range(first + (low >> shift), first + ((high - 1) >> shift) + 1) for shift, first in BIN_LEVELS]
     for name in names:
         (n_bins,) = struct.unpack_from("<i", raw, at)
         at += 4
         chunks = []
         for _ in range(n_bins):
             number, count = struct.unpack_from("<Ii", raw, at)
-            own = struct.unpack_from(f"<{2 * count}Q", raw, at + 8)
+            if number == 0 or any(number in level for level in levels):
+                chunks += np.frombuffer(raw, "<u8", 2 * count, at + 8).reshape(-1, 2).tolist()
             at += 8 + 16 * count
-            if number in wanted:
-                chunks += list(zip(own[::2], own[1::2], strict=True))
         (n_windows,) = struct.unpack_from("<i", raw, at)
-        windows = struct.unpack_from(f"<{n_windows}Q", raw, at + 4)
+        windows = np.frombuffer(raw, "<u8", n_windows, at + 4)
         at += 4 + 8 * n_windows
-        if name.decode() == chrom and chunks:
-            floor = windows[min(low >> LINEAR_SHIFT, n_windows - 1)] if windows else 0
-            found = [(max(a, floor), b) for a, b in sorted(chunks) if b > floor]
-    out, seen = [], set()
-    with open(path, "rb") as file:
-        for begin, end in found:
-            file.seek(begin >> 16)
-            data, first = b"", begin & 0xFFFF
-            while file.tell() < (end >> 16) or (file.tell() == end >> 16 and end & 0xFFFF):
-                head = file.read(18)
-                if len(head) < 18:
-                    break
-                body = file.read(struct.unpack("<H", head[16:18])[0] + 1 - 18)
-                data += zlib.decompress(body[:-8], -15)
-            for line in data[first:].decode().split("\n")[:-1]:
-                c, s, e = line.replace("\t", " ").split(" ")[:3]
-                if c == chrom and int(s) < high and int(e) > low and (begin, len(out), line) not in seen:
-                    out.append(line)
-    return out
+        if name.decode() == chrom:
+            floor = int(windows[min(low >> LINEAR_SHIFT, n_windows - 1)]) if n_windows else 0
+            found = []
+            for begin, end in sorted((max(a, floor), b) for a, b in chunks if b > floor):
+                if found and begin <= found[-1][1]:
+                    found[-1][1] = max(end, found[-1][1])
+                else:
+                    found.append([begin, end])
+            return [(a, b) for a, b in found]
+    return []
+
+
+def fetch(spark: SparkSession, path: str, chrom: str, low: int, high: int) -> DataFrame:
+    """value, line_id: the lines of a tabix-indexed file that overlap the region. Only the blocks that the index names are read, stretches of about a
+    split's bytes a task."""
+    tasks, size = [[]], 0
+    for begin, end in index_chunks(path, chrom, low, max(high, low + 1)):
+        if tasks[-1] and size > blocks.SPLIT:
+            tasks.append([])
+            size = 0
+        tasks[-1].append((begin, end))
+        size += (end >> 16) - (begin >> 16)
+
+    def of(file, k):
+        for begin, end in tasks[k]:
+            yield from blocks.line_batches(file, begin, end, False)
+
+    field = lambda i: F.get(F.split("value", "[\t ]", i + 3), F.lit(i))
+    near = (field(0) == chrom) & (field(1).cast("long") < high) & (field(2).cast("long") > low)
+    return _lines(spark, path, len(tasks), of).where(near)

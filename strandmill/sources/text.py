@@ -10,9 +10,14 @@ from strandmill.sources import ordered
 
 
 def write_file(lines: DataFrame, path: str, header: list[str] = ()) -> None:
-    """One file: header lines, then the ordered column value."""
-    with ordered.atomic(path) as out:
-        write_stream_to([lines], header, out)
+    """One file: header lines, then the ordered column value. Every task writes its part."""
+
+    def pack(batches, out):
+        for batch in batches:
+            out.write(("\n".join(batch.column("value").to_pylist()) + "\n").encode())
+
+    head = "".join(f"{h}\n" for h in header).encode()
+    ordered.assemble(lines.sparkSession, ordered.written_parts(lines.select("value"), pack), head, b"", path)
 
 
 def write_parts(lines: DataFrame, path: str) -> None:
