@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import scalar
+from strandmill.operators import ranges
 from strandmill.schema import BedError
 
 RECORD_OVERHEAD = 20  # bytes a record adds to a pass's budget besides its line
@@ -37,10 +38,10 @@ def chromosome_stats(loci: DataFrame, chrom="Chromosome", start="Start", end="En
     return stats.withColumn("row_offset", F.coalesce(F.sum("rows").over(before), F.lit(0)))
 
 
-def run_boundaries(placed: DataFrame, chrom="chrom") -> DataFrame:
-    """Rows with their place rn, with new_run: whether the row before is of another chromosome. Neighbours meet by place, so a run is no task."""
-    before = placed.select((F.col("rn") + 1).alias("rn"), F.col(chrom).alias("__before"))
-    return placed.join(before, "rn", "left").withColumn("new_run", F.col("__before").isNull() | (F.col("__before") != F.col(chrom))).drop("__before")
+def run_boundaries(rows: DataFrame, chrom="chrom") -> DataFrame:
+    """rows with rn, their place in the order in which they lie, and new_run: whether the row before is of another chromosome."""
+    met = ranges.neighbour(ranges.placed(rows), "__before", F.struct(F.col(chrom).alias("c")))
+    return ranges.numbered(met.withColumn("new_run", F.col("__before").isNull() | (F.col("__before.c") != F.col(chrom))).drop("__before"))
 
 
 def position_histogram(records: DataFrame, shift: int = scalar.BUCKET_SHIFT, chrom="chrom", start="start", line="value") -> DataFrame:

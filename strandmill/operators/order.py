@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import scalar
+from strandmill.operators import ranges
+from strandmill.operators.ranges import numbered
 from strandmill.plans import storage
 from strandmill.schema import BedError
 
@@ -47,30 +49,15 @@ def sort_records(records: DataFrame, mode: str = "s", natural: bool = False, tie
     return records.orderBy(*keys).drop(RANK)
 
 
-def numbered(rows: DataFrame, out: str = "rn") -> DataFrame:
-    """rows with the place of each in the order in which they lie, from 1.
-
-    The rows are written once with their partition and index; the partitions' counts, one row a partition, carry the places across.
-    """
-    placed = storage.cut(rows.withColumn("__id", F.monotonically_increasing_id()))
-    part, index = F.shiftrightunsigned("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = placed.groupBy(part).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("__part", before.alias("__before"))
-    return placed.withColumn("__part", part).join(F.broadcast(counts), "__part").withColumn(out, F.col("__before") + index + 1).drop("__part", "__before", "__id")
-
-
 def ranked(records: DataFrame, *by) -> DataFrame:
     """records with rn, the row's place in the order of the columns, from 1: sorted by range, so a task's size depends on the data alone."""
     return numbered(records.orderBy(*by))
 
 
-def inversions(placed: DataFrame, *by: str) -> DataFrame:
-    """inversions: the number of rows that come after a greater one, for rows with their place rn. Neighbours meet by place."""
-    now, then = F.struct(*by), F.struct(*[F.col(c) for c in by])
-    later = placed.select(F.col("rn").alias("at"), now.alias("now"))
-    earlier = placed.select((F.col("rn") + 1).alias("at"), then.alias("then"))
-    return later.join(earlier, "at").where("now < then").groupBy().agg(F.count("*").alias("inversions"))
+def inversions(rows: DataFrame, *by: str) -> DataFrame:
+    """inversions: the number of rows that come after a greater one, in the order in which rows lie."""
+    met = ranges.neighbour(ranges.placed(rows.select(*by)), "then", F.struct(*by))
+    return met.where(F.struct(*by) < F.col("then")).groupBy().agg(F.count("*").alias("inversions"))
 
 
 def bam_keys(tid: Column, pos: Column) -> list[Column]:

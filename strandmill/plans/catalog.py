@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions import scalar
-from strandmill.operators import collapse, derive, order, region
+from strandmill.operators import collapse, derive, intervals, order, region
 from strandmill.plans import storage, strategy
 from strandmill.sources import bed, locus_parquet, workload
 
@@ -324,7 +324,7 @@ def row_id(spark, sf_dir):
 def run_boundaries(spark, sf_dir):
     """Where a run of one chromosome begins, in two orders: by chromosome, with a run each, and by start, with many."""
     v = view_l(spark, sf_dir)
-    found = [derive.run_boundaries(order.ranked(v, *by)).where("new_run").select(F.lit(name).alias("stored"), "chrom", "start", "end", "name", "rn") for name, by in (("chrom", ("chrom", *TIES)), ("start", (*TIES, "chrom")))]
+    found = [derive.run_boundaries(v.orderBy(*by)).where("new_run").select(F.lit(name).alias("stored"), "chrom", "start", "end", "name", "rn") for name, by in (("chrom", ("chrom", *TIES)), ("start", (*TIES, "chrom")))]
     return _plain(found[0].unionByName(found[1]))
 
 
@@ -368,6 +368,42 @@ def union_runs(spark, sf_dir):
     return both.groupBy("chrom").agg(F.count("*").alias("records"))
 
 
+def _by_strand(spark, sf_dir, strand: str, *more: str):
+    return view_l(spark, sf_dir).where(F.col("strand") == strand).select(F.col("chrom").alias("Chromosome"), F.col("start").alias("Start"), F.col("end").alias("End"), *more)
+
+
+def _stretches(found: DataFrame) -> DataFrame:
+    return found.withColumnsRenamed({"Start": "Start_", "End": "End_"})
+
+
+def merge_records(spark, sf_dir):
+    """Islands of records at most 3 apart."""
+    return _stretches(intervals.merged(_loci(view_l(spark, sf_dir)), 3))
+
+
+def coverage_depth(spark, sf_dir):
+    return _stretches(intervals.coverage(_loci(view_e(spark, sf_dir))))
+
+
+def subtract_records(spark, sf_dir):
+    """What forward records cover and reverse ones don't."""
+    return _stretches(intervals.subtracted(_by_strand(spark, sf_dir, "+"), _by_strand(spark, sf_dir, "-")))
+
+
+def intersect_records(spark, sf_dir):
+    return _stretches(intervals.intersected(_by_strand(spark, sf_dir, "+"), _by_strand(spark, sf_dir, "-")))
+
+
+def complement_records(spark, sf_dir):
+    """What no record covers, up to the end of each chromosome."""
+    return _stretches(intervals.complement(_loci(view_l(spark, sf_dir)), _sizes(spark, sf_dir)))
+
+
+def closest_record(spark, sf_dir):
+    """For each forward record the nearest reverse one."""
+    return intervals.closest(_by_strand(spark, sf_dir, "+", "name"), _by_strand(spark, sf_dir, "-", "name")).withColumnsRenamed({"Start": "Start_", "End": "End_"})
+
+
 def latency_summary(spark, sf_dir):
     """Count, total, median and 99th percentile by kind: the benchmark's summary, over events."""
     t = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.col("user_id").cast("double").alias("x"))
@@ -380,7 +416,7 @@ def order_check(spark, sf_dir):
     plans = {"default": order.sort_records(v), "per_chromosome": strategy.per_chromosome(v), "external": strategy.external(v, 1_000_000), "by_name": v.orderBy("name", "value")}
     out = None
     for name, rows in plans.items():
-        own = order.inversions(order.numbered(rows), "chrom", "start", "value").select(F.lit(name).alias("plan"), "inversions")
+        own = order.inversions(rows, "chrom", "start", "value").select(F.lit(name).alias("plan"), "inversions")
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -390,7 +426,7 @@ def queries():
         scan_bed, header_split, empty_scan, parse_bed3, parse_bed6, parse_uint, parse_int32_strict, validate_rows, tail_field_count, tail_split, flavor_detect, flavor_bed6, flavor_bed12,
         render_bed, collapse_render, collapse_locus, locus_parquet_rows, read_locus, max_end_so_far, manifest_chrom_stats, interval_index, index_lookup, region_overlap, region_overlap_batch,
         region_overlap_binned, workload_scan, workload_drawn, workload_buckets, position_histogram, bucket_filter, chrom_rank_join, row_count, distinct_chroms, row_id, run_boundaries, sort_per_chrom, sort_external, sort_multipass, sort_bam_key, union_runs,
-        latency_summary, order_check,
+        latency_summary, order_check, merge_records, coverage_depth, subtract_records, intersect_records, complement_records, closest_record,
     ]
     found = {f.__name__: f for f in named}
     return found | {"collapse": collapse_query, "sort_start": _rank("s"), "sort_start_end": _rank("b"), "sort_five_prime": _rank("5"), "sort_natural": _rank("s", natural=True)}
@@ -420,8 +456,24 @@ def _drawn_sql() -> str:
  (values {kinds}) k(size, first_, n) join (select chrom as name, max(end_) as length from ({L_SQL}) group by chrom) on length > size group by size) using (size))"""
 
 
+def _depths_sql(**tables: str) -> str:
+    """chrom, pos, a count of open intervals for each table, and next_: where the next change is."""
+    events = " union all ".join(f"select chrom, {pos} as pos, {', '.join(f'{d if n == name else 0} as {n}' for n in tables)} from ({t})" for name, t in tables.items() for pos, d in (("start_", 1), ("end_", -1)))
+    changes = f"select chrom, pos, {', '.join(f'sum({n}) as {n}' for n in tables)} from ({events}) group by chrom, pos having {' or '.join(f'sum({n}) <> 0' for n in tables)}"
+    return f"select chrom, pos, {', '.join(f'sum({n}) over w as {n}' for n in tables)}, lead(pos) over w as next_ from ({changes}) window w as (partition by chrom order by pos)"
+
+
+def _combined_sql(keep: str, **tables: str) -> str:
+    """The longest stretches in which keep holds."""
+    marked = f"select *, ({keep}) as kept, lag({keep}) over (partition by chrom order by pos) as was from ({_depths_sql(**tables)})"
+    turns = f"select chrom, pos, kept, lead(pos) over (partition by chrom order by pos) as until from ({marked}) where kept <> coalesce(was, false)"
+    return f'select chrom as "Chromosome", cast(pos as bigint) as "Start_", cast(until as bigint) as "End_" from ({turns}) where kept'
+
+
 def oracle_sql():
     line = _LINE_SQL
+    strand = lambda s: f"select * from ({L_SQL}) where strand = '{s}'"
+    whole = f"select chrom, 0 as start_, max(end_) as end_ from ({L_SQL}) group by chrom"
     tail = "concat(chr(9), name, chr(9), cast(score as varchar), chr(9), strand)"
     number = "case when regexp_full_match(text, '{p}') then try_cast(text as integer) end"
     regions = ", ".join(f"('{c}', {s}, {e})" for c, s, e in REGIONS)
@@ -486,6 +538,18 @@ def oracle_sql():
         "sort_bam_key": """select tid, pos, l_orderkey, l_linenumber, row_number() over (order by tid < 0, tid, pos < 0, pos, l_orderkey, l_linenumber, l_extendedprice) as rn from (select case when l_linenumber = 7 then -1 else
  cast(l_suppkey % 24 as integer) end as tid, case when l_quantity = 50 then -1 else cast(l_partkey * 50 as integer) end as pos, l_orderkey, l_linenumber, l_extendedprice from lineitem)""",
         "union_runs": f"select chrom, count(*) as records from (select chrom from ({L_SQL}) union all select chrom from ({E_SQL})) group by chrom",
+        "merge_records": f"""select chrom as "Chromosome", cast(min(start_) as bigint) as "Start_", cast(max(end_) as bigint) as "End_", count(*) as records from
+ (select *, sum(apart) over (partition by chrom order by start_, end_, name) as island from
+ (select *, case when start_ <= max(end_) over (partition by chrom order by start_, end_, name rows between unbounded preceding and 1 preceding) + 3 then 0 else 1 end as apart from ({L_SQL}) where end_ > start_)) group by chrom, island""",
+        "coverage_depth": f"""select chrom as "Chromosome", cast(pos as bigint) as "Start_", cast(next_ as bigint) as "End_", cast(n as bigint) as depth from ({_depths_sql(n=E_SQL)}) where n > 0""",
+        "subtract_records": _combined_sql("a > 0 and b = 0", a=strand("+"), b=strand("-")),
+        "intersect_records": _combined_sql("a > 0 and b > 0", a=strand("+"), b=strand("-")),
+        "complement_records": _combined_sql("a > 0 and b = 0", a=whole, b=L_SQL),
+        "closest_record": f"""select "Chromosome", "Start_", "End_", name, cast(b_start as bigint) as "near_Start", cast(b_end as bigint) as "near_End", b_name as near_name, cast(distance as bigint) as distance from
+ (select *, row_number() over (partition by "Chromosome", "Start_", "End_", name order by distance, later, case later when 0 then -b_end else b_start end, case later when 0 then -b_start else b_end end,
+ case later when 0 then -names else names end) as nth from (select a.chrom as "Chromosome", a.start_ as "Start_", a.end_ as "End_", a.name, b.start_ as b_start, b.end_ as b_end, b.name as b_name, b.names,
+ case when b.start_ < a.end_ then 0 else 1 end as later, case when b.start_ < a.end_ then greatest(a.start_ - b.end_, 0) else b.start_ - a.end_ end as distance
+ from ({strand("+")}) a left join (select *, row_number() over (order by name) as names from ({strand("-")})) b on a.chrom = b.chrom)) where nth = 1""",
         "latency_summary": "select event_type, count(*) as n, sum(cast(user_id as double)) as total, quantile_cont(cast(user_id as double), 0.5) as median, quantile_cont(cast(user_id as double), 0.99) as p99 from events group by event_type",
         "order_check": f"""select unnest(['default', 'per_chromosome', 'external']) as plan, cast(0 as bigint) as inversions union all select 'by_name', count(*) from
  (select row(chrom, start_, value) as now_, lag(row(chrom, start_, value)) over (order by name, value) as then_ from (select *, {line} as value from ({L_SQL}))) where now_ < then_""",

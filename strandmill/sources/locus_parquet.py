@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from strandmill import __version__, schema
 from strandmill.functions import scalar
-from strandmill.operators import derive, order
+from strandmill.operators import derive, order, ranges
 from strandmill.plans import storage
 from strandmill.schema import BedError, Manifest
 from strandmill.sources import ordered
@@ -202,15 +202,15 @@ def verify(spark: SparkSession, path: str) -> list[str]:
     if {c["name"] for c in manifest["schema_columns"]} != set(rows.columns):
         problems.append("schema_columns and the columns differ")
     rank = {c["name"]: i for i, c in enumerate(manifest["chromosomes"])}
-    # One file read in order: places ascend with the rows. What a row must be follows from the row before, which is met by place.
+    # One file read in order: what a row must be follows from the row before.
     ranks = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]) if rank else F.create_map().cast("map<string,int>")
-    placed = order.numbered(rows.select(*schema.LOCUS, schema.DERIVED, F.try_element_at(ranks, F.col("Chromosome")).alias("rank")))
-    if placed.where("End <= Start").limit(1).count():
+    ordered_rows = ranges.placed(rows.select(*schema.LOCUS, schema.DERIVED, F.try_element_at(ranks, F.col("Chromosome")).alias("rank")))
+    if ordered_rows.where("End <= Start").limit(1).count():
         problems.append("a row with End <= Start")
-    if placed.where("rank is null").limit(1).count():
+    if ordered_rows.where("rank is null").limit(1).count():
         problems.append("a chromosome that the manifest lacks")
-    before = placed.select((F.col("rn") + 1).alias("rn"), F.col("Chromosome").alias("c0"), F.col("Start").alias("s0"), F.col("End").alias("e0"), F.col(schema.DERIVED).alias("m0"), F.col("rank").alias("r0"))
-    both = placed.join(before, "rn", "left")
+    before = F.struct(F.col("Chromosome").alias("c0"), F.col("Start").alias("s0"), F.col("End").alias("e0"), F.col(schema.DERIVED).alias("m0"), F.col("rank").alias("r0"))
+    both = ranges.neighbour(ordered_rows, "before", before).select("*", "before.*")
     inside = both.where("Chromosome = c0")
     if inside.where("Start < s0 or (Start = s0 and End < e0)").limit(1).count():
         problems.append("rows out of order within a chromosome")
