@@ -1,0 +1,98 @@
+import hashlib
+import random
+
+import duckdb
+import pytest
+
+from strandmill.llm import linededup, queries, textkit
+
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def key(line):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(SPACE))
+
+
+def brute(rows, least_chars=20, least_docs=3):
+    """(id, n_lines, n_dropped, digest); a null id is below all others."""
+    low = lambda i: (i is not None, i or 0)
+    holders = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if len(k := key(line)) >= least_chars:
+                holders.setdefault(k, set()).add(low(i))
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        keep = [x for x in lines if len(h := holders.get(key(x), ())) < least_docs or max(h) == low(i)]
+        out.append((i, len(lines), len(lines) - len(keep), hashlib.sha256("\n".join(keep).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def made(n=150):
+    rng = random.Random(7)
+    common = [f"Common LINE number {i} É{'x' * i}" for i in range(8)] + ["short", "exactly nineteen ch", "exactly twenty char.", "漢字" * 10]
+    rows = []
+    for i in range(n):
+        lines = [rng.choice(common) if rng.random() < 0.6 else f"own line {i} {rng.random()} of some length" for _ in range(rng.choice([1, 2, 6, 30]))]
+        lines = [rng.choice(["", "  ", "\t\r", "\x0b\x0c"]) + (x.upper() if rng.random() < 0.2 else x) + rng.choice(["", " ", "\r"]) for x in lines]
+        lines += [lines[0]] * rng.randrange(3) + [""] * rng.randrange(3)
+        rows.append((i, "\n".join(lines)))
+    long = "\n".join(rng.choice(common) for _ in range(20_000))
+    return [*rows, (n, None), (n + 1, ""), (n + 2, "\n\n"), (None, rows[2][1]), (None, rows[3][1]), (5, rows[5][1]), (5, rows[5][1]), (6, rows[9][1]), (-4, rows[4][1]), (n + 3, long), (n + 4, " " + common[0])]
+
+
+def mine(docs):
+    return sorted((tuple(r) for r in linededup.report(docs).collect()), key=str)
+
+
+@pytest.mark.parametrize("hot", [8, 10**9, 0])
+def test_report_equals_brute_force(spark, monkeypatch, hot):
+    """With the usual bound for crowded keys, with all keys crowded, and with none."""
+    monkeypatch.setattr(linededup, "HOT", hot)
+    rows = made()
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, key string, place int").repartition(6)
+    assert mine(docs) == brute(rows)
+    assert mine(docs.limit(0)) == []
+
+
+def test_query_equals_its_sql(spark, tiny):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tiny}/documents.parquet'")
+    want = sorted(con.execute(queries.oracle_sql()["op12_line_bitmaps"]).fetchall())
+    got = sorted(tuple(r) for r in queries.op12_line_bitmaps(spark, tiny).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect())
+    assert got == want and sum(r[2] for r in want) > 100
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()
+    assert sorted(got, key=str) == brute([tuple(r) for r in docs])
+
+
+def test_sql_equals_brute_force():
+    rows = made()
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert sorted(con.execute(queries.oracle_sql()["op12_line_bitmaps"]).fetchall(), key=str) == brute(rows)
+
+
+def test_bitmaps_are_runs_and_the_order_is_streamed(spark):
+    line = "this line is in all of the documents"
+    docs = spark.createDataFrame([(i, "\n".join([line, "a", "b", line, "c"])) for i in range(5)], "doc_id long, text string")
+    maps = linededup.keep_bitmaps(docs)
+    assert [[tuple(s) for s in r["keep"]] for r in maps.collect()] == [[(1, 2), (4, 1)]] * 4
+    rows = textkit.cut(linededup.line_rows(docs))
+    plan = linededup.dropped_lines(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+CLASHING = ["row", "c0", "row_key", "row_key2", "keep", "kept", "lines", "key", "key2", "doc", "place", "n_lines", "line"]
+
+
+def test_dedupe_keeps_the_rest(spark):
+    line = "This line is in all of the documents"
+    rows = [(1, f"{line}\none", 0), (2, f"two\n  {line.upper()}", 0), (3, f"{line}\n{line}", 73), (4, None, None), (5, "alone\n", 6)]
+    docs = spark.createDataFrame([(*r, *[f"{c}{r[0]}" for c in CLASHING]) for r in rows], "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING))
+    out = linededup.dedupe(docs)
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert {i: (r["text"], r["n_chars"]) for i, r in got.items()} == {1: ("one", 3), 2: ("two", 3), 3: (f"{line}\n{line}", 73), 4: (None, None), 5: ("alone\n", 6)}
+    assert all(r[c] == f"{c}{i}" for i, r in got.items() for c in CLASHING)
