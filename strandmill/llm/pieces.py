@@ -7,8 +7,8 @@ maximum) is stored as its backpointer.
 
 Scores: for a unigram model the sum of piece scores. A BPE model's result is defined by merge order, not by a sum; there a
 step scores 0 if the piece and the one before it are what merging their joined string gives, and minus infinity
-otherwise, which leaves the one path that merging would take. Words of over LONG characters advance as many equal stretches at
-once, joined where two neighbours' tables agree. In a run of spaces whose pieces all rank alike and after all others, only the last
+otherwise, which leaves the one path that merging would take. Words of over LONG characters advance as many stretches at
+once, joined where two neighbours' tables agree; those that don't agree are done again as one. In a run of spaces whose pieces all rank alike and after all others, only the last
 space goes with the word; the run before it has one result for its length. Characters outside the vocabulary become byte pieces (or the unknown piece without them).
 
 The model file is read on the driver, a parameter; nothing is trained. Supported: the identity normaliser.
@@ -279,32 +279,69 @@ class Model:
             done = end
         return np.concatenate([*out, ids[done:]])
 
-    def path(self, codes: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ends) of a long word's code points: its stretches of `step` characters and an overlap advance together, as words of one length.
+    def path(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of a long word's code points: its stretches of up to STEP characters and an overlap advance together, as words of one length.
 
         Each stretch's table holds what merging makes of all its prefixes. The path goes back from the word's end; within an overlap it passes to the
         stretch before at a place where both tables end in the same piece. Every two neighbours on it then stand in one table or the
-        other, and only one path does. Where no place is found, the word is done again in stretches of twice the step.
+        other, and only one path does. Stretches begin by a change of character, where there is one: within a run of one, tables that begin at
+        different places of it don't meet. Of two beginnings within a run, one character apart, that one counts which agrees more often with the stretch before, as runs of
+        pairs leave one character over or none. Stretches that still don't meet become one, and the path goes on from the stretch behind them.
         """
-        n, width = len(codes), step + OVERLAP
-        begins = np.arange(0, max(1, n - OVERLAP), step)
-        rows = np.zeros((len(begins), min(width, n)), codes.dtype)  # a table's prefix does not depend on what follows it
-        for i, a in enumerate(begins.tolist()):
-            rows[i, : min(width, n - a)] = codes[a : a + width]
+        n, (begins, ends) = len(codes), self._cuts(codes)
+        tries = [(k, x) for k, b in enumerate(begins) for x in ((b, b + 1) if k and codes[b] == codes[b + 1] else (b,))]
+        rows = np.zeros((len(tries), max(ends[k] - x for k, x in tries)), codes.dtype)  # a table's prefix does not depend on what follows it
+        for i, (k, x) in enumerate(tries):
+            rows[i, : ends[k] - x] = codes[x : ends[k]]
         parts = [self.tables(rows[a : a + LONG_ROWS]) for a in range(0, len(rows), LONG_ROWS)]
         back, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-        out, ends, k, at = [], [], len(begins) - 1, n - int(begins[-1])
-        while k or at:
-            if k and 0 < at <= OVERLAP and last[k, at] == last[k - 1, at + step]:
-                k, at = k - 1, at + step
-                continue
-            if not at:
-                return self.path(codes, 2 * step)
-            piece, start = int(last[k, at]), int(back[k, at])
-            out.append(-10 - int(rows[k, start]) if piece == self.size else piece)
-            ends.append(k * step + at)
-            at = start
-        return np.array(out[::-1], np.int64), np.array(ends[::-1], np.int64)
+        stretches = []  # begin, end, back, last, and where the path came in
+        for i, (k, x) in enumerate(tries):
+            own = [x, ends[k], back[i], last[i], None]
+            if len(stretches) == k:
+                stretches.append(own)
+            elif self._agree(stretches[k - 1], own) > self._agree(stretches[k - 1], stretches[k]):
+                stretches[k] = own
+        stretches[-1][4] = (0, n)
+        out, found, k, x = [], [], len(begins) - 1, n
+        while k or x:
+            begin, end, back, last, _ = stretches[k]
+            at = x - begin
+            if k and at and x <= stretches[k - 1][1] and last[at] == stretches[k - 1][3][x - stretches[k - 1][0]]:
+                k -= 1
+                stretches[k][4] = (len(out), x)
+            elif at:
+                start = int(back[at])
+                out.append(-10 - int(codes[begin + start]) if last[at] == self.size else int(last[at]))
+                found.append(x)
+                x = begin + start
+            else:
+                low = k - 1
+                while low and end - stretches[low][0] < 2 * (end - begin):  # at least twice as long, so that few tries reach any place
+                    low -= 1
+                first = stretches[low][0]
+                back, last = self.tables(codes[None, first:end])
+                stretches[low : k + 1] = [[first, end, back[0], last[0], (0, n)]]
+                k = min(low + 1, len(stretches) - 1)  # the stretch behind, or this one if there is none
+                done, x = stretches[k][4]
+                del out[done:], found[done:]
+        return np.array(out[::-1], np.int64), np.array(found[::-1], np.int64)
+
+    @staticmethod
+    def _agree(one: list, other: list) -> int:
+        """In how many places of their overlap the tables of two stretches end in the same piece."""
+        begin, end = other[0] + 1, one[1] + 1
+        return int((one[3][begin - one[0] : end - one[0]] == other[3][begin - other[0] : end - other[0]]).sum())
+
+    def _cuts(self, codes: np.ndarray) -> tuple[list[int], list[int]]:
+        """(begins, ends) of stretches: each begins a piece's length before the last change of character within STEP characters, unless that is
+        hardly on, so that what merges across the change is there to put the run behind it in step."""
+        n, changes, begins = len(codes), np.flatnonzero(codes[1:] != codes[:-1]) + 1, [0]
+        while n - begins[-1] > STEP + OVERLAP:
+            i = int(np.searchsorted(changes, begins[-1] + STEP + self.longest, side="right")) - 1
+            at = int(changes[i]) - self.longest if i >= 0 else 0
+            begins.append(at if at > begins[-1] + STEP // 8 else begins[-1] + STEP)
+        return begins, [*(min(b + OVERLAP, n) for b in begins[1:]), n]
 
     def space_run(self, n: int) -> list[int]:
         """The ids of n spaces that merge after all else: the same as the first pieces of a longer run, again and again."""

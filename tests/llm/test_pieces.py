@@ -88,8 +88,32 @@ def test_stretches_in_small_steps_equal_the_library(monkeypatch, tiny):
 
     texts = ["".join(t.split()) for t in pq.read_table(f"{tiny}/documents.parquet")["text"].to_pylist()[:40]]
     monkeypatch.setattr(pieces, "LONG", 20)
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    for step, overlap in ((16, 80), (40, 6)):
+        monkeypatch.setattr(pieces, "STEP", step)
+        monkeypatch.setattr(pieces, "OVERLAP", overlap)
+        assert encoded(pieces.load(), texts)[0] == library.encode(texts)
+
+
+def alternating(rng, chars, least, most, n):
+    out = ""
+    while len(out) < n:
+        out += chars[0] * rng.randint(least, most)
+        chars = chars[1:] + chars[0]
+    return out[:n]
+
+
+def test_runs_in_turn_equal_the_library_and_are_fast():
+    """Runs of a few hundred equal characters, whose stretches meet only where pairs leave one character over alike."""
+    rng = random.Random(4)
     library, model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.load()
-    model.path = lambda codes, step=16, path=model.path: path(codes, step)
+    long = [alternating(rng, "=-", 200, 700, 20_000), alternating(rng, "ab", 300, 300, 34_800), alternating(rng, "=-_#*.x", 1, 400, 20_000)]
+    for text in long:
+        began = time.process_time()
+        own, _ = encoded(model, [text])
+        assert time.process_time() - began < 6
+        assert own[0] == library.encode(text)
+    texts = [alternating(rng, chars, 1, rng.choice([2, 20, 90, 330, 800]), rng.randint(401, 4000)) for chars in ("=-", "ab", "*/", "aA8", "漢é=", "thean ") for _ in range(4)]
     assert encoded(model, texts)[0] == library.encode(texts)
 
 
