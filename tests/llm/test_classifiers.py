@@ -203,3 +203,19 @@ def test_scores_match_brute_force(spark, module, target, n, left_out, brute):
     got = {r["doc_id"]: r["score"] for r in module.classify(docs, labels).collect()}
     assert [got[r["doc_id"]] for r in rows] == pytest.approx(want, abs=2e-4)
     assert max(want) - min(want) > 0.05
+
+
+def test_the_sample_is_bounded_after_the_join(spark):
+    """An id that many rows share, equal rows, and very long texts."""
+    from strandmill.llm.features import labelled_sample
+
+    rows = [(1, f"text {i} of one id") for i in range(5000)] + [(2, "twice")] * 2 + [(i, f"short {i}") for i in range(3, 60)] + [(60, "w " * 10_000_000), (61, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 62)], "doc_id long, quality int")
+    whole = labelled_sample(docs, labels, "quality", 4, 2, 10**6).collect()
+    assert len(whole) > 5000 and sum(r["text"] == "twice" for r in whole) <= 1 and max(len(r["text"] or "") for r in whole) < 100
+    for most in (1, 10, 300):
+        few = labelled_sample(docs, labels, "quality", 4, 2, most).collect()
+        assert 0 < len(few) <= most
+        assert sorted(few) == sorted(labelled_sample(docs.repartition(3), labels, "quality", 4, 2, most).collect())
+    assert sum(len(r["text"]) for r in labelled_sample(docs, labels, "quality", 4, 2, 10**6, most_bytes=2000).collect()) <= 2000
