@@ -81,6 +81,17 @@ def test_repeats_within_a_text_do_not_hide_its_set(spark):
     assert sorted(r["doc_id"] for r in neardedup.dedupe(docs).collect()) == list(range(0, 20, 2))
 
 
+def test_unlike_documents_in_one_group_settle_in_few_rounds(spark, monkeypatch):
+    """Documents that are linked, as pairs of similarity 1/2 often share a key, but all stay; a round settles as many as a task takes."""
+    rounds, settle = [], neardedup.textkit.small
+    monkeypatch.setattr(neardedup.textkit, "small", lambda t: rounds.append("shares" in t.columns) or settle(t))
+    monkeypatch.setattr(neardedup, "TASK_BYTES", 400 * 300 * 8)
+    docs = spark.createDataFrame([(i, " ".join([*(f"u{i}_{j}" for j in range(100)), *(f"w{j}" for j in range(200))])) for i in range(1000)], "doc_id long, text string").repartition(8)
+    again = docs.where("doc_id % 100 = 3").withColumn("doc_id", docs["doc_id"] + 5000)
+    assert {r["doc_id"] for r in neardedup.dedupe(docs.unionByName(again)).collect()} == set(range(1000))
+    assert 1 <= sum(rounds) <= 3
+
+
 def test_large_groups_settle_in_rounds(spark, monkeypatch):
     rows = families(9, 5)
     docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
