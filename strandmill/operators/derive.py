@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import scalar
 from strandmill.operators import ranges
+from strandmill.plans.storage import BROADCAST_ROWS
 from strandmill.schema import BedError
 
+INDEX_BLOCK = 16_384  # rows of a block of the interval index
 RECORD_OVERHEAD = 20  # bytes a record adds to a pass's budget besides its line
 
 
@@ -88,6 +90,41 @@ def interval_index(loci: DataFrame, chrom="Chromosome", start="Start", end="End"
     )
 
 
+def quantiles(rows: DataFrame, key: str, value: str, at: list[float], accuracy: int = 10_000) -> DataFrame:
+    """key, n, quantiles (a list): by sketches of bounded size, one a task and key, which are merged; an exact percentile holds every distinct value of a
+    key in one place. The rank of each answer is off by at most n / accuracy."""
+    return rows.groupBy(key).agg(F.count(value).alias("n"), F.percentile_approx(value, at, accuracy).alias("quantiles"))
+
+
+def quantile_errors(rows: DataFrame, key: str, value: str, at: list[float], accuracy: int = 10_000) -> DataFrame:
+    """key, n, and for each quantile off_i: by how many rows its answer misses the wanted rank."""
+    found = quantiles(rows, key, value, at, accuracy)
+    met = rows.where(F.col(value).isNotNull()).join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, key)
+    below = [F.sum((F.col(value) < F.col("quantiles")[i]).cast("long")).alias(f"below{i}") for i in range(len(at))]
+    upto = [F.sum((F.col(value) <= F.col("quantiles")[i]).cast("long")).alias(f"upto{i}") for i in range(len(at))]
+    ranks = met.groupBy(key, "n").agg(*below, *upto)
+    rank = lambda q: F.ceil(F.col("n") * q)
+    off = [F.greatest(F.col(f"below{i}") + 1 - rank(q), rank(q) - F.col(f"upto{i}"), F.lit(0)).alias(f"off{i}") for i, q in enumerate(at)]
+    return ranks.select(key, "n", *off)
+
+
+def blocked_index(loci: DataFrame, chrom="Chromosome", start="Start", end="End", block_rows: int = INDEX_BLOCK, chrom_keys=None) -> DataFrame:
+    """The interval index in blocks: chromosome, block, first_start, last_start, most_end (the running maximum at its last row), first_row, rows,
+    and the lists starts, ends, max_end_running, row_id of at most block_rows rows in storage order.
+
+    Rows are sorted once by range; places and running maxima carry over from range to range, and a block is a group of bounded size, so no task
+    holds a chromosome. A reader finds its blocks by the scalar columns, which are the directory, without the lists.
+    """
+    rows = loci.select(F.col(chrom).alias("chromosome"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
+    rows = ranges.in_order(rows, *(chrom_keys or [F.col("chromosome")]), "s", "e")
+    rows = ranges.numbered(ranges.running(rows, F.max, inclusive=True, top=F.struct("chromosome", "e")), "place")
+    rows = rows.select("chromosome", F.floor((F.col("place") - 1) / block_rows).alias("block"), F.struct((F.col("place") - 1).alias("i"), "s", "e", F.col("top.e").alias("m")).alias("r"))
+    lists = rows.groupBy("chromosome", "block").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    first, last = F.get("rows", F.lit(0)), F.element_at("rows", -1)
+    scalars = [first["s"].alias("first_start"), last["s"].alias("last_start"), last["m"].alias("most_end"), first["i"].alias("first_row"), F.size("rows").alias("rows")]
+    return lists.select("chromosome", "block", *scalars, *[F.col(f"rows.{c}").alias(n) for c, n in (("s", "starts"), ("e", "ends"), ("m", "max_end_running"), ("i", "row_id"))])
+
+
 def first_above(ascending: Column, bound) -> Column:
     """The number of elements of an ascending array that are at most the bound, by halving: 40 looks at the array, whatever its length."""
     look = lambda s, _: F.when(s["low"] >= s["high"], s).otherwise(halved(s))

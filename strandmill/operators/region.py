@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandmill.operators import derive
 
 MOST_BROADCAST_REGIONS = 1_000_000  # of about 40 bytes; more regions meet the loci in bins
+LEVELS = (10, 14, 18, 22, 26, 32)  # powers of two: the sizes of bins
 
 
 def overlaps(chrom: str, low: int, high: int) -> Column:
@@ -21,25 +22,67 @@ def region(loci: DataFrame, chrom: str, low: int, high: int) -> DataFrame:
     return loci.where(overlaps(chrom, low, high))
 
 
-def region_batch(loci: DataFrame, regions: DataFrame, bin_shift: int = 14) -> DataFrame:
+def region_batch(loci: DataFrame, regions: DataFrame) -> DataFrame:
     """loci joined to the regions (q_chrom, q_start, q_end) that they overlap.
 
-    A counted, small set of regions is broadcast; a larger one joins on (chromosome, bin), where a pair counts only in the
-    first bin that both have, so repeated rows stay repeated and no pair comes twice.
+    A counted, small set of regions is broadcast; a larger one meets the loci in bins of several sizes.
     """
     near = (F.col("Start") < F.col("q_end")) & (F.col("End") > F.col("q_start"))
     if regions.count() <= MOST_BROADCAST_REGIONS:
         return loci.join(F.broadcast(regions), (F.col("Chromosome") == F.col("q_chrom")) & near)
-    return binned_join(loci, regions, bin_shift)
+    return overlap_join(loci, regions)
 
 
-def binned_join(loci: DataFrame, regions: DataFrame, bin_shift: int) -> DataFrame:
-    bins = lambda a, b: F.sequence(F.shiftright(a, bin_shift), F.shiftright(F.greatest(a, b - 1), bin_shift))
-    left = loci.withColumn("__bin", F.explode(bins(F.col("Start"), F.col("End"))))
-    right = regions.withColumn("__q_bin", F.explode(bins(F.col("q_start"), F.col("q_end"))))
-    first = F.greatest(F.shiftright("Start", bin_shift), F.shiftright("q_start", bin_shift))
+def any_of(regions: list[tuple[str, int, int]]) -> Column:
+    """Whether a stored locus overlaps one of a few regions, as one condition that reaches the Parquet scan."""
+    found = F.lit(False)
+    for chrom, low, high in regions:
+        found = found | overlaps(chrom, low, high)
+    return found
+
+
+def _level(low: Column, high: Column) -> Column:
+    """The smallest bin size, as a power of two, that the interval is not longer than: it lies in two such bins at most."""
+    level = F.lit(LEVELS[-1])
+    for shift in reversed(LEVELS[:-1]):
+        level = F.when(high - low <= (1 << shift), F.lit(shift)).otherwise(level)
+    return level
+
+
+def _binned(rows: DataFrame, low: str, high: str, levels: list[int], own: str, name: str) -> DataFrame:
+    """rows, for each of the levels at or above their own, once for each bin there; own: their own level."""
+    rows = rows.withColumn(own, _level(F.col(low).cast("long"), F.col(high).cast("long")))
+    rows = rows.withColumn("__level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col(own))))
+    first, last = F.col(low).cast("long"), F.greatest(F.col(low), F.col(high) - 1).cast("long")
+    size = F.expr("shiftleft(1L, __level)")
+    return rows.withColumn(name, F.floor(first / size)).withColumn("__bin", F.explode(F.sequence(F.col(name), F.floor(last / size))))
+
+
+def overlap_join(loci: DataFrame, regions: DataFrame) -> DataFrame:
+    """loci joined to the regions (q_chrom, q_start, q_end) that they overlap, for two sides of any size.
+
+    There are bins of several sizes. An interval lies in two bins at most of the size that fits it and of each larger one, so
+    a chromosome-long one is a row or two. A pair meets at the size that fits the longer of the two, in the first bin that both
+    have, once. Only sizes that some interval of either side needs take part. Empty intervals overlap what they lie in.
+    """
+    kinds = [t.select(_level(F.col(a).cast("long"), F.col(b).cast("long")).alias("l")) for t, a, b in ((loci, "Start", "End"), (regions, "q_start", "q_end"))]
+    levels = sorted(r["l"] for r in kinds[0].union(kinds[1]).distinct().collect() if r["l"] is not None)  # len(LEVELS) at most
+    if not levels:
+        levels = [LEVELS[0]]
+    left = _binned(loci, "Start", "End", levels, "__own", "__first")
+    right = _binned(regions, "q_start", "q_end", levels, "__q_own", "__q_first").withColumnsRenamed({"__level": "__q_level", "__bin": "__q_bin"})
+    met = (F.col("Chromosome") == F.col("q_chrom")) & (F.col("__level") == F.col("__q_level")) & (F.col("__bin") == F.col("__q_bin"))
+    once = (F.greatest("__own", "__q_own") == F.col("__level")) & (F.greatest("__first", "__q_first") == F.col("__bin"))
     near = (F.col("Start") < F.col("q_end")) & (F.col("End") > F.col("q_start"))
-    return left.join(right, (F.col("Chromosome") == F.col("q_chrom")) & (F.col("__bin") == F.col("__q_bin")) & near & (F.col("__bin") == first)).drop("__bin", "__q_bin")
+    return left.join(right, met & once & near).drop("__level", "__bin", "__own", "__first", "__q_level", "__q_bin", "__q_own", "__q_first")
+
+
+def blocked_lookup(index: DataFrame, chrom: str, low: int, high: int) -> DataFrame:
+    """row_id, start_, end_ of the rows of a blocked index (see derive.blocked_index) that overlap the region. The directory's columns reach the scan
+    of a stored index, so only blocks from the first whose running maximum passes the region's start to the last that begins before its end
+    are read; within them as in index_lookup."""
+    blocks = index.where((F.col("chromosome") == chrom) & (F.col("first_start") < high) & (F.col("most_end") > low))
+    return index_lookup(blocks, chrom, low, high)
 
 
 def index_lookup(index: DataFrame, chrom: str, low: int, high: int) -> DataFrame:

@@ -16,6 +16,7 @@ from strandmill.sources import bed, locus_parquet, workload
 
 SHIFT = 12  # the views' coordinates are small
 PASS_BUDGET = 3_000_000
+INDEX_ROWS = 1_000  # of a block of the index; the views are small
 WORKLOAD = ((100, 333), (1_000, 333), (10_000, 334))  # regions of sizes that fit the views
 REGION = ("chr2", 4_000, 5_000)
 E_REGION = ("click", 2_000, 4_000)
@@ -91,8 +92,11 @@ def _once(spark, sf_dir: str, name: str, write) -> str:
 
 def _dataset(spark, sf_dir, view=view_l):
     """A stored dataset of the view, in ordered parts, as its reader sees it."""
-    folder = _once(spark, sf_dir, view.__name__, lambda f: locus_parquet.write_locus_parts(_loci(view(spark, sf_dir)), f))
-    return locus_parquet.read_locus(spark, folder)
+    return locus_parquet.read_locus(spark, _dataset_folder(spark, sf_dir, view))
+
+
+def _dataset_folder(spark, sf_dir, view=view_l) -> str:
+    return _once(spark, sf_dir, view.__name__, lambda f: locus_parquet.write_locus_parts(_loci(view(spark, sf_dir)), f))
 
 
 def _lines_file(spark, sf_dir) -> str:
@@ -245,7 +249,26 @@ def interval_index(spark, sf_dir):
 
 
 def index_lookup(spark, sf_dir):
-    return region.index_lookup(derive.interval_index(_dataset(spark, sf_dir, view_e)), *E_REGION)
+    """Rows of a region by a stored index in blocks; only the blocks that the directory names are read."""
+
+    def write(folder):
+        derive.blocked_index(_dataset(spark, sf_dir, view_e), block_rows=INDEX_ROWS).write.parquet(folder)
+
+    return region.blocked_lookup(spark.read.parquet(_once(spark, sf_dir, "index", write)), *E_REGION)
+
+
+def index_directory(spark, sf_dir):
+    """The directory of the index in blocks."""
+    index = derive.blocked_index(_loci(view_l(spark, sf_dir)), block_rows=INDEX_ROWS)
+    return index.select("chromosome", "block", "first_start", "last_start", "most_end", "first_row", "rows")
+
+
+def overlap_join(spark, sf_dir):
+    """Forward records and longer stretches that they overlap, neither side broadcast."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 7")
+    low = (F.col("l_partkey") * 50).cast("int")
+    regions = t.select(F.concat(F.lit("chr"), (F.col("l_suppkey") % 24 + 1).cast("string")).alias("q_chrom"), low.alias("q_start"), (low + F.col("l_orderkey") % 20_000).cast("int").alias("q_end"))
+    return _stretches(region.overlap_join(_by_strand(spark, sf_dir, "+", "name"), regions))
 
 
 def region_overlap(spark, sf_dir):
@@ -259,13 +282,13 @@ def _overlaps(joined: DataFrame) -> DataFrame:
 
 def region_overlap_batch(spark, sf_dir):
     regions = spark.createDataFrame(REGIONS, "q_chrom string, q_start int, q_end int")
-    return _overlaps(region.region_batch(_dataset(spark, sf_dir), regions))
+    return _overlaps(locus_parquet.read_regions(spark, _dataset_folder(spark, sf_dir), regions))
 
 
 def region_overlap_binned(spark, sf_dir):
     """The same join as a large set of regions takes it: by bins."""
     regions = spark.createDataFrame(REGIONS, "q_chrom string, q_start int, q_end int")
-    return _overlaps(region.binned_join(_dataset(spark, sf_dir), regions, SHIFT))
+    return _overlaps(region.overlap_join(_dataset(spark, sf_dir), regions))
 
 
 def _sizes(spark, sf_dir):
@@ -288,7 +311,7 @@ def workload_drawn(spark, sf_dir):
 def workload_buckets(spark, sf_dir):
     """Regions and overlapping records by size of region, against a stored dataset."""
     regions = workload.drawn(_sizes(spark, sf_dir), 42, WORKLOAD).select("q_chrom", "q_start", "q_end")
-    return workload.summary(regions, region.region_batch(_dataset(spark, sf_dir), regions))
+    return workload.summary(regions, locus_parquet.read_regions(spark, _dataset_folder(spark, sf_dir), regions))
 
 
 def position_histogram(spark, sf_dir):
@@ -410,6 +433,13 @@ def latency_summary(spark, sf_dir):
     return t.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("x").alias("total"), F.percentile("x", 0.5).alias("median"), F.percentile("x", 0.99).alias("p99"))
 
 
+def latency_sketch(spark, sf_dir):
+    """The same quantiles by merged sketches: whether their ranks keep to the bound of one in a thousand."""
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.col("user_id").cast("double").alias("x"))
+    off = derive.quantile_errors(t, "event_type", "x", [0.5, 0.99], 1000)
+    return off.select("event_type", "n", (F.col("off0") <= F.col("n") / 1000 + 1).alias("median_within"), (F.col("off1") <= F.col("n") / 1000 + 1).alias("p99_within"))
+
+
 def order_check(spark, sf_dir):
     """How often a record comes after a greater one: never in the plans' results, often in the order of names."""
     v = view_l(spark, sf_dir)
@@ -426,7 +456,7 @@ def queries():
         scan_bed, header_split, empty_scan, parse_bed3, parse_bed6, parse_uint, parse_int32_strict, validate_rows, tail_field_count, tail_split, flavor_detect, flavor_bed6, flavor_bed12,
         render_bed, collapse_render, collapse_locus, locus_parquet_rows, read_locus, max_end_so_far, manifest_chrom_stats, interval_index, index_lookup, region_overlap, region_overlap_batch,
         region_overlap_binned, workload_scan, workload_drawn, workload_buckets, position_histogram, bucket_filter, chrom_rank_join, row_count, distinct_chroms, row_id, run_boundaries, sort_per_chrom, sort_external, sort_multipass, sort_bam_key, union_runs,
-        latency_summary, order_check, merge_records, coverage_depth, subtract_records, intersect_records, complement_records, closest_record,
+        latency_summary, order_check, merge_records, coverage_depth, subtract_records, intersect_records, complement_records, closest_record, overlap_join, index_directory, latency_sketch,
     ]
     found = {f.__name__: f for f in named}
     return found | {"collapse": collapse_query, "sort_start": _rank("s"), "sort_start_end": _rank("b"), "sort_five_prime": _rank("5"), "sort_natural": _rank("s", natural=True)}
@@ -550,7 +580,14 @@ def oracle_sql():
  case later when 0 then -names else names end) as nth from (select a.chrom as "Chromosome", a.start_ as "Start_", a.end_ as "End_", a.name, b.start_ as b_start, b.end_ as b_end, b.name as b_name, b.names,
  case when b.start_ < a.end_ then 0 else 1 end as later, case when b.start_ < a.end_ then greatest(a.start_ - b.end_, 0) else b.start_ - a.end_ end as distance
  from ({strand("+")}) a left join (select *, row_number() over (order by name) as names from ({strand("-")})) b on a.chrom = b.chrom)) where nth = 1""",
+        "overlap_join": f"""select chrom as "Chromosome", start_ as "Start_", end_ as "End_", name, q_chrom, q_start, q_end from ({strand("+")}) join
+ (select 'chr' || cast(l_suppkey % 24 + 1 as varchar) as q_chrom, cast(l_partkey * 50 as integer) as q_start, cast(l_partkey * 50 + l_orderkey % 20000 as integer) as q_end from lineitem where l_linenumber = 7)
+ on chrom = q_chrom and start_ < q_end and end_ > q_start""",
+        "index_directory": f"""select chrom as chromosome, cast(row_id // {INDEX_ROWS} as bigint) as block, cast(min(start_) as bigint) as first_start, cast(max(start_) as bigint) as last_start, cast(max(most) as bigint) as most_end,
+ min(row_id) as first_row, cast(count(*) as integer) as rows from (select chrom, start_, row_number() over (order by chrom, start_, end_) - 1 as row_id, max(end_) over (partition by chrom order by start_, end_ rows between unbounded preceding and current row) as most
+ from ({L_SQL})) group by chrom, row_id // {INDEX_ROWS}""",
         "latency_summary": "select event_type, count(*) as n, sum(cast(user_id as double)) as total, quantile_cont(cast(user_id as double), 0.5) as median, quantile_cont(cast(user_id as double), 0.99) as p99 from events group by event_type",
+        "latency_sketch": "select event_type, count(*) as n, true as median_within, true as p99_within from events group by event_type",
         "order_check": f"""select unnest(['default', 'per_chromosome', 'external']) as plan, cast(0 as bigint) as inversions union all select 'by_name', count(*) from
  (select row(chrom, start_, value) as now_, lag(row(chrom, start_, value)) over (order by name, value) as then_ from (select *, {line} as value from ({L_SQL}))) where now_ < then_""",
     }

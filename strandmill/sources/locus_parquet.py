@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 
 from strandmill import __version__, schema
 from strandmill.functions import scalar
-from strandmill.operators import derive, order, ranges
+from strandmill.operators import derive, order, ranges, region
 from strandmill.plans import storage
 from strandmill.schema import BedError, Manifest
 from strandmill.sources import ordered
 
 KEY_PREFIX = "locus"  # of the footer keys; give another tool's prefix to write files for it
 ZSTD_MAGIC = bytes.fromhex("28b52ffd")  # fixed value of the format
+FOOTERS = 64  # parts whose footers a task reads
+FEW_REGIONS = 64  # as many go to the scan as one condition
 PART_BLOCK = 4 << 20  # bytes of a row group of a part, so that statistics prune within parts
 
 
@@ -151,6 +153,76 @@ def read_locus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("parquet").load(path)
 
 
+def row_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """file, group, rows, first_chrom, last_chrom, min_start, max_end: the row groups of a dataset in parts by their footers' statistics, a task for
+    each FOOTERS parts; max_end is the greatest running maximum."""
+    files = part_files(spark, folder)
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for k in batch.column("id").to_pylist():
+                store, at = ordered.arrow_path(files[k])
+                own = pq.read_metadata(at, filesystem=store)
+                place = {own.schema.column(i).path: i for i in range(own.num_columns)}
+                for g in range(own.num_row_groups):
+                    group = own.row_group(g)
+                    chrom, start, most = (group.column(place[c]).statistics for c in ("Chromosome", "Start", schema.DERIVED))
+                    known = group.num_rows and all(x is not None and x.has_min_max for x in (chrom, start, most))
+                    out.append((files[k], g, group.num_rows, *((chrom.min, chrom.max, int(start.min), int(most.max)) if known else (None,) * 4)))
+            yield pa.RecordBatch.from_pylist([dict(zip(_GROUP.names, r, strict=True)) for r in out], _GROUP)
+
+    n = len(files)
+    tasks = max(1, -(-n // FOOTERS))
+    return spark.range(0, n, 1, tasks).mapInArrow(work, "file string, group int, rows long, first_chrom string, last_chrom string, min_start long, max_end long")
+
+
+_GROUP = pa.schema([("file", pa.string()), ("group", pa.int32()), ("rows", pa.int64()), ("first_chrom", pa.string()), ("last_chrom", pa.string()), ("min_start", pa.int64()), ("max_end", pa.int64())])
+
+
+def part_files(spark: SparkSession, folder: str) -> list[str]:
+    """The parts of a dataset, in order."""
+    fs, at = ordered.file_system(spark, folder)
+    return sorted(str(f.getPath().toString()) for f in fs.listStatus(at) if str(f.getPath().getName()).startswith("part-"))
+
+
+def touched(groups: DataFrame, regions: DataFrame) -> DataFrame:
+    """Those of row_groups in which something may overlap one of the regions (q_chrom, q_start, q_end). Groups of one chromosome meet regions by
+    it; the few that hold several, and any without statistics, are taken for each chromosome between."""
+    near = (F.col("first_chrom") == F.col("q_chrom")) & (F.col("min_start") < F.col("q_end")) & (F.col("max_end") > F.col("q_start"))
+    one = groups.where("first_chrom = last_chrom").join(regions, near, "left_semi")
+    names = F.broadcast(regions.select("q_chrom").distinct())
+    several = groups.where("first_chrom < last_chrom").join(names, F.col("q_chrom").between(F.col("first_chrom"), F.col("last_chrom")), "left_semi")
+    return one.unionByName(several).unionByName(groups.where("first_chrom is null and rows > 0"))
+
+
+def read_groups(spark: SparkSession, folder: str, groups: DataFrame) -> DataFrame:
+    """The rows of some row groups of a dataset in parts."""
+    kind = read_locus(spark, folder).schema
+
+    def work(batches):
+        for batch in batches:
+            for file, group in zip(batch.column("file").to_pylist(), batch.column("group").to_pylist(), strict=True):
+                store, at = ordered.arrow_path(file)
+                with pq.ParquetFile(at, filesystem=store) as own:
+                    yield from own.read_row_group(group, columns=kind.names).select(kind.names).to_batches()
+
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return groups.select("file", "group").repartition(n, "file", "group").mapInArrow(work, kind)
+
+
+def read_regions(spark: SparkSession, folder: str, regions: DataFrame) -> DataFrame:
+    """The stored loci joined to the regions (q_chrom, q_start, q_end) that they overlap, of a dataset in parts. A few regions go to the scan as one
+    condition; for more, the row groups to be read are chosen by their footers' statistics first."""
+    few = regions.limit(FEW_REGIONS + 1).collect()
+    if len(few) <= FEW_REGIONS:
+        return region.region_batch(read_locus(spark, folder).where(region.any_of([(r["q_chrom"], r["q_start"], r["q_end"]) for r in few])), regions)
+    parts = part_files(spark, folder)
+    if not parts or not ordered.arrow_opens(parts[0]):  # a store that only Spark reads
+        return region.region_batch(read_locus(spark, folder), regions)
+    return region.region_batch(read_groups(spark, folder, touched(row_groups(spark, folder), regions)), regions)
+
+
 def _footer(path: str, ending: str) -> tuple[str, bytes] | None:
     own = pq.read_metadata(path).metadata or {}
     return next(((k.decode(), v) for k, v in own.items() if k.decode().endswith(ending)), None)
