@@ -6,6 +6,9 @@ chromosome or by how many records begin at one place.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,40 @@ def max_end_so_far(loci: DataFrame, chrom="Chromosome", start="Start", end="End"
     return joined.withColumn(out, F.greatest(end, "__prior")).drop("__c", "__s", "__prior")
 
 
+def max_end_in_order(rows: DataFrame, chrom="Chromosome", end="End", out: str = "MaxEndSoFar") -> DataFrame:
+    """rows that lie sorted, each chromosome in one run, with the running maximum of end within the chromosome, in the same order.
+
+    The rows are written once; a table of at most one row a range says what a range's first chromosome brings from the ranges before, and then each
+    range is one pass in Arrow batches. So there is no exchange besides the caller's sort.
+    """
+    own = ranges.placed(rows)
+    tops = own.groupBy(ranges.PART, F.col(chrom).alias("c")).agg(F.max(end).alias("top"))
+    before = Window.partitionBy("c").orderBy(ranges.PART).rowsBetween(Window.unboundedPreceding, -1)
+    # Only a chromosome that spans ranges has a carry, and only as the first of a range.
+    carried = tops.select(ranges.PART, "c", F.max("top").over(before).alias("carry")).where("carry is not null")
+    carry = {r[ranges.PART]: (r["c"], r["carry"]) for r in carried.collect()}
+
+    def work(batches):
+        name, most = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, ends = batch.column(chrom), batch.column(end).to_numpy(zero_copy_only=False)
+            if name is None:
+                name, most = carry.get(batch.column(ranges.PLACE)[0].as_py() >> 33, (None, None))
+            runs = pc.run_end_encode(names)
+            found, begin = np.empty(len(ends), ends.dtype), 0
+            for own_name, stop in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                top = np.maximum.accumulate(ends[begin:stop])
+                found[begin:stop] = np.maximum(top, most) if own_name == name else top
+                name, most, begin = own_name, found[stop - 1], stop
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found)], [*kept, out])
+
+    kept = [c for c in rows.columns if c != out]
+    schema = rows.select(*kept).schema.add(out, rows.schema[end].dataType, False)
+    return own.drop(ranges.PART).mapInArrow(work, schema)
+
+
 def chromosome_stats(loci: DataFrame, chrom="Chromosome", start="Start", end="End", chrom_keys=None) -> DataFrame:
     """name, rows, row_offset, min_start, max_start, max_end: a row a chromosome, offsets in storage order."""
     stats = loci.groupBy(F.col(chrom).alias("name")).agg(F.count("*").alias("rows"), F.min(start).alias("min_start"), F.max(start).alias("max_start"), F.max(end).alias("max_end"))

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from strandmill import __version__, schema
 from strandmill.functions import scalar
 from strandmill.operators import derive, order, ranges, region
-from strandmill.plans import storage
 from strandmill.schema import BedError, Manifest
 from strandmill.sources import ordered
 
@@ -29,13 +28,13 @@ PART_BLOCK = 4 << 20  # bytes of a row group of a part, so that statistics prune
 
 
 def table_rows(typed: DataFrame, natural: bool = False, coord_dtype: str = "int32") -> DataFrame:
-    """The dataset's rows, ordered, with the derived running maximum; a row with End <= Start ends the job."""
+    """The dataset's rows, ordered, with the derived running maximum; a row with End <= Start ends the job. One range exchange; the rows are written
+    in order, and passes over them start from there."""
     kind = schema.coordinate_type(coord_dtype)
     ok = F.when(F.col("End") > F.col("Start"), F.col("End")).otherwise(F.raise_error(F.concat(F.lit("End must be above Start: "), F.to_json(F.struct("Chromosome", "Start", "End")))).cast("int"))
     rows = typed.withColumns({"Start": F.col("Start").cast(kind), "End": ok.cast(kind)})
     payload = tuple(c for c in typed.columns if c not in schema.LOCUS)
-    rows = derive.max_end_so_far(rows).select(*typed.columns, schema.DERIVED)
-    return order.sort_records(rows, "b", natural, payload, chrom="Chromosome", start="Start", end="End")
+    return derive.max_end_in_order(order.sort_records(rows, "b", natural, payload, chrom="Chromosome", start="Start", end="End"))
 
 
 def arrow_schema(columns: DataFrame) -> pa.Schema:
@@ -101,7 +100,7 @@ def write_locus(typed: DataFrame, path: str, natural: bool = False, index: bool
 
     The rows are sorted and derived once and written to the shared folder; statistics, index and file read them from there.
     """
-    rows = storage.cut(table_rows(typed, natural, coord_dtype))
+    rows = table_rows(typed, natural, coord_dtype)
     layout = arrow_schema(rows)
     manifest = _manifest(rows, layout, natural, coord_dtype, headers, provenance)
     blob = index_blob(rows, key_prefix) if index else None

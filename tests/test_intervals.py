@@ -122,3 +122,20 @@ def test_running_and_neighbours_over_empty_ranges(many):
     assert [r["later"] for r in got] == [max((j % 3 for j in keep if j > i), default=None) for i in keep]
     assert [r["before"] and r["before"]["x"] for r in got] == [None, *keep[:-1]]
     assert [r["behind"] and r["behind"]["x"] for r in got] == [*keep[1:], None]
+
+
+def test_running_maximum_in_order_needs_one_exchange(many):
+    """Against the windows' version; a chromosome over all ranges, and many short ones."""
+    from strandmill.operators import derive, order
+    from strandmill.sources import locus_parquet
+
+    rng = random.Random(6)
+    rows = [("long", s := rng.randrange(5000), s + rng.choice([1, 9, 2000])) for _ in range(600)] + [(f"c{rng.randrange(90)}", s := rng.randrange(50), s + 5) for _ in range(300)]
+    loci = frame(many, rows)
+    sorted_rows = order.sort_records(loci, "b", False, (), chrom="Chromosome", start="Start", end="End")
+    got = [tuple(r) for r in derive.max_end_in_order(sorted_rows).collect()]
+    want = sorted(tuple(r) for r in derive.max_end_so_far(loci).select("Chromosome", "Start", "End", "MaxEndSoFar").collect())
+    assert got == want
+    plan = locus_parquet.table_rows(loci)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # the sort's one came before the written rows
+    assert derive.max_end_in_order(sorted_rows.limit(0)).collect() == []
