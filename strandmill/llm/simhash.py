@@ -24,7 +24,6 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +59,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int):
     at = np.concatenate([[0], np.cumsum(count)])
     begin = np.repeat(first[:-1], count) + np.arange(at[-1]) - np.repeat(at[:-1], count)
     end = np.minimum(begin + width, np.repeat(first[1:], count)) - 1
-    raw, digest = text.tobytes(), xxhash.xxh64_intdigest
-    return np.array([digest(raw[a:b], SEED) for a, b in zip(starts[begin].tolist(), ends[end].tolist(), strict=True)], dtype=U64), at
+    return textkit.xxh64(text, starts[begin], ends[end], SEED), at
 
 
 def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:

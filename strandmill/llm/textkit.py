@@ -158,6 +158,57 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return range_hash(_BYTE_CODE[data], starts, ends)
 
 
+_P = [U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]  # fixed values of XXH64
+
+
+def _turned(h: np.ndarray, by: int) -> np.ndarray:
+    return h << U64(by) | h >> U64(64 - by)
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of data[s:e] for each range, by its public specification: all ranges advance together, each as far as its length goes."""
+    p1, p2, p3, p4, p5 = _P
+    first = np.array([seed], U64)  # arrays wrap around in silence
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    four = np.ndarray((len(data) + 1,), "<u4", padded, strides=(1,))
+    step = lambda acc, at: _turned(acc + eight[at] * p2, 31) * p1
+    size, at = ends - starts, starts.astype(np.int64)
+    h = np.repeat(first + p5, len(starts))
+    rows = np.flatnonzero(size >= 32)
+    if len(rows):
+        n = len(rows)
+        lanes = [np.repeat(x, n) for x in (first + p1 + p2, first + p2, first, first - p1)]
+        live = np.arange(n)
+        while len(live):
+            own = rows[live]
+            for j, lane in enumerate(lanes):
+                lane[live] = step(lane[live], at[own] + 8 * j)
+            at[own] += 32
+            live = live[ends[own] - at[own] >= 32]
+        found = _turned(lanes[0], 1) + _turned(lanes[1], 7) + _turned(lanes[2], 12) + _turned(lanes[3], 18)
+        for lane in lanes:
+            found = (found ^ (_turned(lane * p2, 31) * p1)) * p1 + p4
+        h[rows] = found
+    h += size.astype(U64)
+    rows = np.flatnonzero(ends - at >= 8)
+    while len(rows):
+        h[rows] = _turned(h[rows] ^ (_turned(eight[at[rows]] * p2, 31) * p1), 27) * p1 + p4
+        at[rows] += 8
+        rows = rows[ends[rows] - at[rows] >= 8]
+    rows = np.flatnonzero(ends - at >= 4)
+    h[rows] = _turned(h[rows] ^ (four[at[rows]].astype(U64) * p1), 23) * p2 + p3
+    at[rows] += 4
+    rows = np.flatnonzero(ends > at)
+    while len(rows):
+        h[rows] = _turned(h[rows] ^ (data[at[rows]].astype(U64) * p5), 11) * p1
+        at[rows] += 1
+        rows = rows[ends[rows] > at[rows]]
+    h = (h ^ (h >> U64(33))) * p2
+    h = (h ^ (h >> U64(29))) * p3
+    return h ^ (h >> U64(32))
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """The distinct values, ascending; by sorting, which is faster here than np.unique's table."""
     values = np.sort(values)

@@ -95,3 +95,21 @@ def test_thresholds_cover(spark):
         plan = simhash.allocate(2000, bits.T @ bits, sample, most)
         assert sum(t + 1 for _, t in plan) == most + 1
         assert len({b for bits_, _ in plan for b in bits_}) == sum(len(bits_) for bits_, _ in plan)
+
+
+def test_xxh64_of_ranges_equals_the_library():
+    import random
+
+    import numpy as np
+    import xxhash
+
+    from strandmill.llm import textkit
+
+    rng = random.Random(1)
+    raw = bytes(rng.choices(range(256), k=4000))
+    spans = [(a, min(a + rng.choice([0, 1, 3, 4, 7, 8, 9, 31, 32, 33, 35, 63, 64, 65, 100, rng.randrange(900)]), 4000)) for a in rng.choices(range(4001), k=2000)]
+    starts, ends = (np.array(x) for x in zip(*spans, strict=True))
+    for seed in (42, 0, 2**63 + 5):
+        assert textkit.xxh64(np.frombuffer(raw, np.uint8), starts, ends, seed).tolist() == [xxhash.xxh64_intdigest(raw[a:b], seed) for a, b in spans]
+    none = np.zeros(0, np.int64)
+    assert textkit.xxh64(np.zeros(0, np.uint8), none, none, 42).tolist() == []
