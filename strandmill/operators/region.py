@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +95,8 @@ def index_lookup(index: DataFrame, chrom: str, low: int, high: int) -> DataFrame
 
 
 def lookup(entry: dict, low: int, high: int) -> list[int]:
-    """Row ids of one chromosome's index entry (plain lists): two binary searches and a walk between them."""
-    stop = bisect_left(entry["starts"], high)
-    begin = bisect_right(entry["max_end_running"], low)
-    return [entry["row_id"][i] for i in range(begin, stop) if entry["ends"][i] > low]
+    """Row ids of one chromosome's index entry (lists or arrays): two binary searches and a look between them."""
+    stop = int(np.searchsorted(entry["starts"], high))
+    begin = int(np.searchsorted(entry["max_end_running"], low, side="right"))
+    near = slice(begin, max(begin, stop))
+    return np.asarray(entry["row_id"][near])[np.asarray(entry["ends"][near]) > low].tolist()

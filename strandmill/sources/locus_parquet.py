@@ -237,20 +237,41 @@ def read_manifest(path: str) -> dict:
     return manifest
 
 
-def read_index(path: str) -> dict[str, dict] | None:
-    """Chromosome to its lists, or None where the file has no index that can be read: use the predicate then."""
+def _index_batches(path: str):
+    """The index a chromosome at a time, as Arrow batches; nothing where the file has no index that can be read."""
     found = _footer(path, "_interval_index")
     if found is None:
+        return
+    raw = found[1] if found[1][:4] == ZSTD_MAGIC else base64.b64decode(found[1], validate=True)  # version 1 came without base64
+    with zstandard.ZstdDecompressor().stream_reader(raw) as plain, pa.ipc.open_stream(plain) as stream:
+        version = {k.decode(): v.decode() for k, v in (stream.schema.metadata or {}).items()}
+        if {"1", schema.INDEX_VERSION} & set(version.values()):
+            yield from stream
+
+
+_UNREADABLE = (ValueError, pa.ArrowInvalid, zstandard.ZstdError, OSError)
+
+
+def index_entry(path: str, chrom: str) -> dict | None:
+    """One chromosome's lists as arrays, for region.lookup; None where the file has no index that can be read, or none of it: use the predicate then.
+    No other chromosome's lists are kept."""
+    try:
+        for batch in _index_batches(path):
+            at = pc.index(batch.column("chromosome"), pa.scalar(chrom)).as_py()
+            if at >= 0:
+                return {c: batch.column(c)[at].values.to_numpy() for c in batch.schema.names if c != "chromosome"}
+    except _UNREADABLE:
         return None
+    return None
+
+
+def read_index(path: str) -> dict[str, dict] | None:
+    """Chromosome to its lists, whole; None where the file has no index that can be read."""
     try:
-        raw = found[1] if found[1][:4] == ZSTD_MAGIC else base64.b64decode(found[1], validate=True)  # version 1 came without base64
-        with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(raw)) as stream:
-            version = {k.decode(): v.decode() for k, v in (stream.schema.metadata or {}).items()}
-            if not {"1", schema.INDEX_VERSION} & set(version.values()):
-                return None
-            return {r["chromosome"]: r for r in stream.read_all().to_pylist()}
-    except (ValueError, pa.ArrowInvalid, zstandard.ZstdError):
+        found = {r["chromosome"]: r for batch in _index_batches(path) for r in batch.to_pylist()}
+    except _UNREADABLE:
         return None
+    return found or None
 
 
 def verify(spark: SparkSession, path: str) -> list[str]:

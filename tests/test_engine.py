@@ -185,6 +185,8 @@ def test_regions_by_predicate_index_and_tabix(spark, tmp_path):
         want = [i for i, r in enumerate(table) if r["Chromosome"] == chrom and r["Start"] < high and r["End"] > low]
         assert region.region(loci, chrom, low, high).count() == len(want)
         assert (region.lookup(index[chrom], low, high) if chrom in index else []) == want
+        entry = locus_parquet.index_entry(path, chrom)
+        assert (region.lookup(entry, low, high) if entry else []) == want
         assert sorted(r["value"] for r in bgzf.fetch(spark, zipped, chrom, low, high).collect()) == sorted(x for x in lines if x.split("\t")[0] == chrom and int(x.split("\t")[1]) < high and int(x.split("\t")[2]) > low)
 
 
