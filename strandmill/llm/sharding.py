@@ -4,7 +4,8 @@ Order: records are ranged by key, the 64-bit hash of the text, so equal texts li
 size-weighted sample of the keys; they deal the records into fine ranges of about equal bytes. Texts of more than 1 /
 LARGE_PER_SHARD of a shard are placed first, largest to lightest: their number is bounded by that share. Copies of one text stay together up to half a
 shard; beyond, large ones are placed one by one, and small ones get a range of their own, which like every overfull range
-is subdivided by a hash of the id, so no range has to fit a hot group. Exact byte sums of the ranges, a table of bounded size, then place every record at
+is subdivided by a hash of the id, so no range has to fit a hot group. A range is overfull beyond CELL_BYTES too, so what a task sorts is bounded at
+any size of the input. Exact byte sums of the parts, a row for each, then place every record at
 its offset in the total, and the offset decides the shard: sizes come out equal up to 1 / LARGE_PER_SHARD or so.
 
 Defined cases: a null text has 0 bytes and crc32 0; a null id is an id; repeated rows are separate records with slots
@@ -23,6 +24,7 @@ from strandmill.llm import textkit
 from strandmill.llm.textkit import range_of
 
 RANGES_PER_SHARD = 8
+CELL_BYTES = 256_000_000  # of a range, beyond which it is subdivided, so that tasks don't grow with the input
 DRAWS_PER_RANGE = 40
 LARGE_PER_SHARD = 200
 ROW_OVERHEAD = 8
@@ -82,7 +84,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     if not total:
         return base.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *own)
     ranges = shards * RANGES_PER_SHARD
-    most = total / ranges
+    most = min(total / ranges, CELL_BYTES)
     # At most shards * LARGE_PER_SHARD texts, copies together, can be so large, whatever the input's size.
     large = base.groupBy("text_key").agg(F.sum("size").alias("s"), F.count("*").alias("n")).where(F.col("s") * (shards * LARGE_PER_SHARD) >= total).collect()
     shard = total / shards

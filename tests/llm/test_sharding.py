@@ -2,6 +2,8 @@ import bisect
 import random
 import zlib
 
+import pytest
+
 from strandmill.llm import queries, sharding
 
 
@@ -99,7 +101,7 @@ def brute(docs, shards):
     for r in rest:
         r["range"] = bisect.bisect_left(bounds, r["key"])
         sums[r["range"]] = sums.get(r["range"], 0) + r["size"]
-    most = sum(room) / ranges
+    most = min(sum(room) / ranges, sharding.CELL_BYTES)
     for r in rest:
         parts = int(sums[r["range"]] / most) + 1 if sums[r["range"]] > 1.5 * most else 1
         r["cell"] = (r["range"], (r["by_id"] if r["key"] in hot else r["by_key"]) % parts)
@@ -118,7 +120,10 @@ def brute(docs, shards):
     return out
 
 
-def test_placement_matches_brute_force(spark, tiny):
+@pytest.mark.parametrize("cell", [256_000_000, 500])
+def test_placement_matches_brute_force(spark, tiny, monkeypatch, cell):
+    """Also where every range is subdivided, as large inputs need."""
+    monkeypatch.setattr(sharding, "CELL_BYTES", cell)
     rng = random.Random(11)
     rows = [(i, "".join(rng.choices("abcdé ", k=rng.randint(0, 120)))) for i in range(1500)] + [(10_000 + i, "hot text " * 6) for i in range(900)] + [(20_000 + i, f"pair {i // 3}") for i in range(200)]
     rows += [(30_000 + i, "huge copies " * 400) for i in range(9)] + [(None, "no id"), (40_000, None), (40_001, "long " * 3000)]
