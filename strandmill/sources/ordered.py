@@ -165,9 +165,9 @@ def assemble(spark: SparkSession, parts: list[tuple[str, int, object]], head: by
                 out.write(chunk)
         out.seek(0, os.SEEK_END)
         out.write(tail)
-    for name, _, _ in todo:
-        store, at = arrow_path(name)
-        store.delete_file(at)
+    for folder in {name.rpartition("/")[0] for name, _, _ in todo}:  # with what tasks that ran again have left
+        store, at = arrow_path(folder)
+        store.delete_dir(at)
 
 
 def _chunks(name: str):

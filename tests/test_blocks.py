@@ -8,7 +8,7 @@ import struct
 import pytest
 
 from strandmill.operators import order
-from strandmill.sources import bam, bed, bgzf, blocks, text
+from strandmill.sources import bam, bed, bgzf, blocks, ordered, text
 
 
 def blocked(raw, rng, most=300, empty=0.1):
@@ -163,3 +163,23 @@ def test_text_file_from_parts(spark, tmp_path):
     text.write_file(lines.limit(0), path, ["# a"])
     assert open(path).read() == "# a\n"
     assert os.listdir(tmp_path) == ["x.txt"]
+
+
+def test_a_file_that_tasks_do_not_see_is_streamed(spark, tmp_path, monkeypatch):
+    """As where the driver's folder is not shared: the parts come through it one by one."""
+    seen = []
+    monkeypatch.setattr(ordered, "_copied", lambda spark, todo, target, mark: seen.append(len(todo)) or todo)
+    monkeypatch.setattr(ordered, "COPY", 100)
+    lines = spark.createDataFrame([(f"{i:06d}",) for i in range(3000)], "value string").repartitionByRange(4, "value").sortWithinPartitions("value")
+    path = str(tmp_path / "x.txt")
+    text.write_file(lines, path, ["# a"])
+    assert open(path).read().splitlines() == ["# a", *(f"{i:06d}" for i in range(3000))] and seen == [4]
+
+
+def test_a_write_that_fails_leaves_the_old_file(spark, tmp_path):
+    path = tmp_path / "x.txt"
+    path.write_text("old")
+    bad = spark.range(5).selectExpr("if(id = 3, raise_error('no'), cast(id as string)) as value")
+    with pytest.raises(Exception, match="no"):
+        text.write_file(bad, str(path))
+    assert path.read_text() == "old" and os.listdir(tmp_path) == ["x.txt"]
