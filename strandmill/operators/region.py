@@ -26,10 +26,13 @@ def region_batch(loci: DataFrame, regions: DataFrame) -> DataFrame:
 
     A counted, small set of regions is broadcast; a larger one meets the loci in bins of several sizes.
     """
+    return few_regions(loci, regions) if regions.count() <= MOST_BROADCAST_REGIONS else overlap_join(loci, regions)
+
+
+def few_regions(loci: DataFrame, regions: DataFrame) -> DataFrame:
+    """region_batch for a set that is known to be small."""
     near = (F.col("Start") < F.col("q_end")) & (F.col("End") > F.col("q_start"))
-    if regions.count() <= MOST_BROADCAST_REGIONS:
-        return loci.join(F.broadcast(regions), (F.col("Chromosome") == F.col("q_chrom")) & near)
-    return overlap_join(loci, regions)
+    return loci.join(F.broadcast(regions), (F.col("Chromosome") == F.col("q_chrom")) & near)
 
 
 def any_of(regions: list[tuple[str, int, int]]) -> Column:

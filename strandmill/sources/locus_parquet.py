@@ -215,7 +215,7 @@ def read_regions(spark: SparkSession, folder: str, regions: DataFrame) -> DataFr
     condition; for more, the row groups to be read are chosen by their footers' statistics first."""
     few = regions.limit(FEW_REGIONS + 1).collect()
     if len(few) <= FEW_REGIONS:
-        return region.region_batch(read_locus(spark, folder).where(region.any_of([(r["q_chrom"], r["q_start"], r["q_end"]) for r in few])), regions)
+        return region.few_regions(read_locus(spark, folder).where(region.any_of([(r["q_chrom"], r["q_start"], r["q_end"]) for r in few])), regions)
     parts = part_files(spark, folder)
     if not parts or not ordered.arrow_opens(parts[0]):  # a store that only Spark reads
         return region.region_batch(read_locus(spark, folder), regions)
