@@ -367,7 +367,7 @@ def sort_multipass(spark, sf_dir):
     """The places that the passes of a budget give, one pass after the other."""
     out, before = None, 0
     for piece in strategy.multi_pass(view_l(spark, sf_dir), PASS_BUDGET, SHIFT):
-        own = order.numbered(piece).select("chrom", "start", "end", "name", (F.col("rn") + before).alias("rn"))
+        own = order.numbered(piece.select("chrom", "start", "end", "name")).withColumn("rn", F.col("rn") + before)
         before += own.count()
         out = own if out is None else out.unionByName(own)
     return _plain(out)

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import scalar
 from strandmill.operators import derive, order
+from strandmill.plans import storage
 from strandmill.schema import BedError
 
 CODECS = {"raw": ("lz4", "false"), "lz4": ("lz4", "true"), "zstd": ("zstd", "true")}
 DEFAULT_BUDGET = 1 << 30
+MOST_PASSES = 4  # over the input, however small the budget is beside it
+MOST_BUCKETS = 100_000  # of a histogram that the driver plans passes from
 
 
 def spill_settings(codec: str, tmpdir: str | None = None) -> dict[str, str]:
@@ -47,13 +50,24 @@ def _in_ranges(records: DataFrame, n: int, mode: str, natural: bool) -> DataFram
 
 
 def multi_pass(records: DataFrame, budget: int = DEFAULT_BUDGET, shift: int = scalar.BUCKET_SHIFT) -> Iterator[DataFrame]:
-    """Ordered pieces of the default order, one pass over the input each: a histogram plans stretches of buckets within the budget, and each
-    pass reads the input with all tasks, keeps its stretch and sorts it by range, so that no exchange holds more than a stretch."""
-    histogram = [tuple(r) for r in derive.position_histogram(records, shift).orderBy("chrom", "bucket").collect()]
-    for a, b in derive.plan_passes(histogram, budget):
+    """Ordered pieces of the default order, one pass over the input each: a histogram plans stretches of buckets, and each pass reads the input with
+    all tasks, keeps its stretch and sorts it by range, so that no exchange holds more than a stretch.
+
+    A stretch fits the budget, or an equal share of MOST_PASSES where the budget would ask for more of them: else the work would grow with the
+    square of the input. What a task sorts of such a stretch keeps to the budget. The planner's buckets widen with the positions that they cover.
+    """
+    counts = storage.cut(derive.position_histogram(records, shift))
+    while counts.count() > MOST_BUCKETS and shift < 31:
+        shift += 4
+        counts = storage.cut(counts.groupBy("chrom", F.shiftright("bucket", 4).alias("bucket")).agg(F.sum("records").alias("records"), F.sum("bytes").alias("bytes")))
+    histogram = [tuple(r) for r in counts.orderBy("chrom", "bucket").collect()]
+    size = sum(r[3] + derive.RECORD_OVERHEAD * r[2] for r in histogram)
+    share = max(budget, -(-size // MOST_PASSES))
+    tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-share // budget))
+    for a, b in derive.plan_passes(histogram, share):
         low, high = histogram[a][:2], histogram[b][:2] if b < len(histogram) else None
-        inside = derive.in_bucket_range(F.col("chrom"), scalar.bucket(F.col("start"), shift), low, high)
-        yield order.sort_records(records.where(inside))
+        inside = records.where(derive.in_bucket_range(F.col("chrom"), scalar.bucket(F.col("start"), shift), low, high))
+        yield order.sort_records(inside) if share == budget else _in_ranges(inside, tasks, "s", False)
 
 
 def session(threads: int = 0, settings: dict[str, str] | None = None) -> SparkSession:
