@@ -13,6 +13,7 @@ from strandmill.functions import scalar
 from strandmill.operators import collapse, derive, intervals, order, region
 from strandmill.plans import storage, strategy
 from strandmill.sources import bed, locus_parquet, workload
+from strandmill.sources import text as bed_text
 
 SHIFT = 12  # the views' coordinates are small
 PASS_BUDGET = 3_000_000
@@ -100,14 +101,9 @@ def _dataset_folder(spark, sf_dir, view=view_l) -> str:
 
 
 def _lines_file(spark, sf_dir) -> str:
-    """One text file with the lines of L below three header lines."""
+    """One text file with the lines of L below three header lines; all tasks write it."""
     head = ["# made", "track name=l", "browser position chr1"]
-
-    def write(folder):
-        lines = view_l(spark, sf_dir).select("value")
-        spark.createDataFrame([(h,) for h in head], "value string").coalesce(1).union(lines).coalesce(1).write.text(folder)
-
-    return _once(spark, sf_dir, "lines", write)
+    return _once(spark, sf_dir, "lines", lambda path: bed_text.write_shared(view_l(spark, sf_dir), path, head))
 
 
 def _parsed_lines(spark, sf_dir):

@@ -20,6 +20,15 @@ def write_file(lines: DataFrame, path: str, header: list[str] = ()) -> None:
     ordered.assemble(lines.sparkSession, ordered.written_parts(lines.select("value"), pack), head, b"", path)
 
 
+def write_shared(lines: DataFrame, path: str, header: list[str] = ()) -> None:
+    """The same at a path that Spark can write. A store that isn't mounted takes no writes to places within a file, so there one task writes it."""
+    if "://" not in path or path.startswith("file:"):
+        write_file(lines, ordered.arrow_path(path)[1], header)
+    else:
+        spark = lines.sparkSession
+        spark.createDataFrame([(h,) for h in header], "value string").coalesce(1).union(lines.select("value")).coalesce(1).write.text(path)
+
+
 def write_parts(lines: DataFrame, path: str) -> None:
     """A folder whose parts, in name order, hold the ordered lines."""
     lines.select("value").write.text(path)

@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from strandmill.plans import catalog, strategy
+from strandmill.plans import strategy
+from strandmill.sources import bed, ordered, text
 
 
 def records(spark, n=3000):
@@ -23,3 +25,20 @@ def test_passes_do_not_grow_with_the_input(spark, monkeypatch):
         pieces = list(strategy.multi_pass(table, 1_500, 8))
         assert 2 <= len(pieces) <= strategy.MOST_PASSES + 2
         assert [r["value"] for p in pieces for r in p.collect()] == want
+
+
+def test_lines_are_written_by_all_tasks(spark, tmp_path):
+    """One file, header first, of which no task writes all."""
+    table = records(spark).repartition(6).select("value", F.spark_partition_id().alias("p")).cache()
+    written, parts = [], ordered.written_parts
+    try:
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(ordered, "written_parts", lambda rows, pack: written.append(parts(rows, pack)) or written[-1])
+            text.write_shared(table, f"file:{tmp_path}/lines", ["# a", "track b"])
+    finally:
+        table.unpersist()
+    got = (tmp_path / "lines").read_text().splitlines()
+    assert got[:2] == ["# a", "track b"] and sorted(got[2:]) == sorted(r["value"] for r in table.collect())
+    assert len(written[0]) == 6 and max(size for _, size, _ in written[0]) < sum(size for _, size, _ in written[0]) / 3
+    header, rows = bed.read_bed(spark, f"file:{tmp_path}/lines")
+    assert header == ["# a", "track b"] and rows.count() == 3000
