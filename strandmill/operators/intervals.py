@@ -24,7 +24,7 @@ def merged(loci: DataFrame, gap: int = 0) -> DataFrame:
     running sum, and sums by island combine before their exchange, so an island may hold all rows.
     """
     rows = _covering(loci).groupBy(*LOCUS).agg(F.count("*").alias("records"))
-    rows = ranges.running(ranges.in_order(rows, *LOCUS), F.max, before=F.struct("Chromosome", "End"))
+    rows = ranges.running(ranges.in_order(rows, *LOCUS, size=loci.count()), F.max, before=F.struct("Chromosome", "End"))
     apart = F.col("before").isNull() | (F.col("before.Chromosome") != F.col("Chromosome")) | (F.col("Start") > F.col("before.End") + gap)
     rows = ranges.kept(rows.withColumn("apart", apart.cast("long")).drop("before"))
     rows = ranges.running(rows, F.sum, inclusive=True, island=F.col("apart"))
@@ -40,22 +40,22 @@ def _events(loci: DataFrame, out: str) -> DataFrame:
 def coverage(loci: DataFrame) -> DataFrame:
     """Chromosome, Start, End, depth: the longest stretches of equal depth above 0. The depth is the running sum of the changes, back at 0 at
     each chromosome's end."""
-    rows = ranges.in_order(_events(loci, "change"), "Chromosome", "at")
+    rows = ranges.in_order(_events(loci, "change"), "Chromosome", "at", size=2 * loci.count())
     rows = ranges.running(rows, F.sum, inclusive=True, depth=F.col("change"))
-    rows = ranges.neighbour(rows, "behind", F.struct("at"), 1)
+    rows = ranges.neighbour(ranges.kept(rows), "behind", F.struct("at"), 1)
     return rows.where("depth > 0").select("Chromosome", F.col("at").alias("Start"), F.col("behind.at").alias("End"), "depth")
 
 
 def combined(left: DataFrame, right: DataFrame, keep: Column) -> DataFrame:
     """Chromosome, Start, End: the longest stretches in which keep holds, a condition on how many intervals of either side are open (left_open,
-    right_open), which must not hold where none is. One sweep carries both counts."""
+    right_open), which must not hold where none is. One sweep carries both counts; what they were before a place follows from its changes."""
     zero = F.lit(0).cast("long")
     changes = _events(left, "l").withColumn("r", zero).unionByName(_events(right, "r").withColumn("l", zero))
     changes = changes.groupBy("Chromosome", "at").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    rows = ranges.running(ranges.in_order(changes, "Chromosome", "at"), F.sum, inclusive=True, left_open=F.col("l"), right_open=F.col("r"))
-    rows = ranges.kept(rows.withColumn("kept", keep).select("Chromosome", "at", "kept", ranges.PLACE, ranges.PART))
-    turns = ranges.neighbour(rows, "before", F.struct("kept")).where(F.col("kept") != F.coalesce("before.kept", F.lit(False)))
-    turns = ranges.neighbour(turns.drop("before"), "behind", F.struct("at"), 1)
+    rows = ranges.in_order(changes, "Chromosome", "at", size=2 * (left.count() + right.count()))
+    rows = ranges.running(rows, F.sum, inclusive=True, left_open=F.col("l"), right_open=F.col("r")).withColumn("kept", keep)
+    rows = rows.withColumns({"left_open": F.col("left_open") - F.col("l"), "right_open": F.col("right_open") - F.col("r")}).where(F.col("kept") != keep)
+    turns = ranges.neighbour(ranges.kept(rows.select("Chromosome", "at", "kept", ranges.PLACE, ranges.PART)), "behind", F.struct("at"), 1)
     return turns.where("kept").select("Chromosome", F.col("at").alias("Start"), F.col("behind.at").alias("End"))
 
 
@@ -87,9 +87,9 @@ def closest(left: DataFrame, right: DataFrame) -> DataFrame:
     queries = left.select("Chromosome", F.col("End").cast("long").alias("at"), F.lit(0).alias("kind"), F.struct(*own).alias("row"), F.col("Start").cast("long").alias("low"), F.lit(None).cast("long").alias("reach"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"m{i}") for i, c in enumerate(more)])
     targets = right.where("Chromosome is not null and Start is not null and End is not null").select("Chromosome", F.col("Start").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(queries.schema["row"].dataType).alias("row"), F.lit(None).cast("long").alias("low"), F.col("End").cast("long").alias("reach"), *[F.col(c).alias(f"m{i}") for i, c in enumerate(more)])
     rest = [f"m{i}" for i in range(len(more))]
-    rows = ranges.in_order(queries.unionByName(targets), "Chromosome", "at", "kind", "reach", *rest)
+    rows = ranges.in_order(queries.unionByName(targets), "Chromosome", "at", "kind", "reach", *rest, size=queries.count() + targets.count())
     seen = F.col("kind") == 1
-    rows = ranges.running(rows, F.max, back=F.when(seen, F.struct("Chromosome", "reach", "at", *rest)))
+    rows = ranges.kept(ranges.running(rows, F.max, back=F.when(seen, F.struct("Chromosome", "reach", "at", *rest))))
     rows = ranges.running(rows, F.min, reverse=True, forth=F.when(seen, F.struct("Chromosome", "at", "reach", *rest)))
     here = lambda c: (F.col(f"{c}.Chromosome") == F.col("Chromosome")) & F.col("low").isNotNull() & F.col("at").isNotNull()
     rows = rows.where("kind = 0").withColumn("d_back", F.when(here("back"), F.greatest(F.col("low") - F.col("back.reach"), F.lit(0)))).withColumn("d_forth", F.when(here("forth"), F.col("forth.at") - F.col("at")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -46,6 +47,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def shuffles(spark: SparkSession, n: int):
+    """While the block writes something: at least n partitions in every exchange, none joined, where n is more than the session has."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        if n > int(before[names[0]]):
+            spark.conf.set(names[0], str(n))
+            spark.conf.set(names[1], "false")
+        yield
+    finally:
+        for k, v in before.items():
+            if spark.conf.get(k) != v:
+                spark.conf.set(k, v)
+
+
 def small(table: DataFrame) -> DataFrame:
     """table, marked for broadcast where its counted rows allow it."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandmill.operators import ranges
 from strandmill.plans import strategy
 from strandmill.sources import bed, ordered, text
 
@@ -42,3 +43,12 @@ def test_lines_are_written_by_all_tasks(spark, tmp_path):
     assert len(written[0]) == 6 and max(size for _, size, _ in written[0]) < sum(size for _, size, _ in written[0]) / 3
     header, rows = bed.read_bed(spark, f"file:{tmp_path}/lines")
     assert header == ["# a", "track b"] and rows.count() == 3000
+
+
+def test_ranges_grow_with_the_rows_and_passes_need_no_exchange(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 100)
+    rows = ranges.in_order(spark.range(0, 3000, 1, 3).select((F.col("id") * 7919 % 3000).alias("x")), "x", size=3000)
+    assert rows.rdd.getNumPartitions() == 30 and spark.conf.get("spark.sql.shuffle.partitions") == "8"
+    out = ranges.neighbour(ranges.running(rows, F.sum, inclusive=True, up=F.col("x")), "before", F.struct("x"))
+    assert [(r["up"], r["before"] and r["before"]["x"]) for r in out.orderBy("x").collect()] == [(i * (i + 1) // 2, i - 1 if i else None) for i in range(3000)]
+    assert "hashpartitioning(__part" not in out._jdf.queryExecution().executedPlan().toString()
