@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandmill.functions import scalar
-from strandmill.operators import ranges
 from strandmill.operators.ranges import numbered
 from strandmill.plans import storage
 from strandmill.schema import BedError
@@ -54,10 +57,39 @@ def ranked(records: DataFrame, *by) -> DataFrame:
     return numbered(records.orderBy(*by))
 
 
+def _falls(table: pa.RecordBatch) -> int:
+    """How many rows come after a greater one, by the columns in turn, nulls first."""
+    falls, same = False, True
+    for column in table.columns:
+        now, then = column.slice(1), column.slice(0, len(column) - 1)
+        no_now, no_then = now.is_null(), then.is_null()
+        less = pc.or_(pc.fill_null(pc.less(now, then), False), pc.and_(no_now, pc.invert(no_then)))
+        falls = pc.or_(falls, pc.and_(same, less))
+        same = pc.and_(same, pc.or_(pc.fill_null(pc.equal(now, then), False), pc.and_(no_now, no_then)))
+    return pc.sum(falls).as_py() or 0
+
+
 def inversions(rows: DataFrame, *by: str) -> DataFrame:
-    """inversions: the number of rows that come after a greater one, in the order in which rows lie."""
-    met = ranges.neighbour(ranges.placed(rows.select(*by)), "then", F.struct(*by))
-    return met.where(F.struct(*by) < F.col("then")).groupBy().agg(F.count("*").alias("inversions"))
+    """inversions: the number of rows that come after a greater one, in the order in which rows lie. One pass, in which a task leaves its first and last
+    row and its count; nothing is written, and no row moves."""
+    own = rows.select(*by)
+
+    def work(batches):
+        first, last, found = None, None, 0
+        for batch in batches:
+            if batch.num_rows:
+                first = batch.slice(0, 1) if first is None else first
+                both = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+                found, last = found + _falls(both), batch.slice(batch.num_rows - 1)
+        if first is not None:
+            columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.StructArray.from_arrays(e.columns, names=list(by)) for e in (first, last)), pa.array([found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "first", "last", "found"])
+
+    row = T.StructType([T.StructField(f.name, f.dataType) for f in own.schema])
+    ends = own.mapInArrow(work, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("first", row), T.StructField("last", row), T.StructField("found", T.LongType())]))
+    over = F.col("first") < F.lag("last").over(Window.orderBy("part"))  # one row a range
+    counted = ends.select((F.col("found") + F.coalesce(over.cast("long"), F.lit(0))).alias("found"))
+    return counted.groupBy().agg(F.coalesce(F.sum("found"), F.lit(0)).alias("inversions"))
 
 
 def bam_keys(tid: Column, pos: Column) -> list[Column]:
