@@ -218,7 +218,9 @@ def collapse_render(spark, sf_dir):
 
 
 def collapse_locus(spark, sf_dir):
-    return derive.max_end_so_far(collapse.as_locus(_collapsed(spark, sf_dir)), shift=SHIFT).withColumnsRenamed({"Start": "Start_", "End": "End_"})
+    """Collapsed records with the running maximum, sorted once: one pass over the ranges finds it."""
+    rows = collapse.as_locus(_collapsed(spark, sf_dir))
+    return derive.max_end_in_order(rows.orderBy("Chromosome", "Start", "End")).withColumnsRenamed({"Start": "Start_", "End": "End_"})
 
 
 def locus_parquet_rows(spark, sf_dir):
