@@ -357,8 +357,8 @@ def sort_per_chrom(spark, sf_dir):
 
 def sort_external(spark, sf_dir):
     """The places that runs of at most 1 MB give, sorted by start and end."""
-    out = order.numbered(strategy.external(view_l(spark, sf_dir), 1_000_000, "b"))
-    return _plain(out.select("chrom", "start", "end", "name", "rn"))
+    out = strategy.external(view_l(spark, sf_dir), 1_000_000, "b")
+    return _plain(order.numbered(out.select("chrom", "start", "end", "name")))
 
 
 def sort_multipass(spark, sf_dir):

@@ -16,6 +16,7 @@ from strandmill.schema import BedError
 CODECS = {"raw": ("lz4", "false"), "lz4": ("lz4", "true"), "zstd": ("zstd", "true")}
 DEFAULT_BUDGET = 1 << 30
 MOST_PASSES = 4  # over the input, however small the budget is beside it
+MOST_RUNS = 1_000  # ranges beyond the session's own; the driver gets a sample of each to choose their bounds
 MOST_BUCKETS = 100_000  # of a histogram that the driver plans passes from
 
 
@@ -38,10 +39,11 @@ def per_chromosome(records: DataFrame, mode: str = "s", natural: bool = False) -
 
 def external(records: DataFrame, budget: int = DEFAULT_BUDGET, mode: str = "s", natural: bool = False) -> DataFrame:
     """Sorted runs of at most about the budget each: as many ranges as the lines and their overheads need. A range that outgrows the memory
-    a task gets all the same spills under the codec of spill_settings and is merged from disk."""
+    a task gets all the same spills under the codec of spill_settings and is merged from disk. Beyond MOST_RUNS the runs grow instead of their number, as the
+    driver gets a sample of each."""
     spark = records.sparkSession
     size = records.agg(F.sum(F.octet_length("value") + 1 + derive.RECORD_OVERHEAD)).first()[0] or 0
-    return _in_ranges(records, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // budget)), mode, natural)
+    return _in_ranges(records, max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // budget), MOST_RUNS)), mode, natural)
 
 
 def _in_ranges(records: DataFrame, n: int, mode: str, natural: bool) -> DataFrame:
@@ -63,7 +65,7 @@ def multi_pass(records: DataFrame, budget: int = DEFAULT_BUDGET, shift: int = sc
     histogram = [tuple(r) for r in counts.orderBy("chrom", "bucket").collect()]
     size = sum(r[3] + derive.RECORD_OVERHEAD * r[2] for r in histogram)
     share = max(budget, -(-size // MOST_PASSES))
-    tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-share // budget))
+    tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-share // budget), MOST_RUNS))
     for a, b in derive.plan_passes(histogram, share):
         low, high = histogram[a][:2], histogram[b][:2] if b < len(histogram) else None
         inside = records.where(derive.in_bucket_range(F.col("chrom"), scalar.bucket(F.col("start"), shift), low, high))
