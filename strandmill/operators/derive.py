@@ -79,8 +79,9 @@ def chromosome_stats(loci: DataFrame, chrom="Chromosome", start="Start", end="En
 
 def run_boundaries(rows: DataFrame, chrom="chrom") -> DataFrame:
     """rows with rn, their place in the order in which they lie, and new_run: whether the row before is of another chromosome."""
-    met = ranges.neighbour(ranges.placed(rows), "__before", F.struct(F.col(chrom).alias("c")))
-    return ranges.numbered(met.withColumn("new_run", F.col("__before").isNull() | (F.col("__before.c") != F.col(chrom))).drop("__before"))
+    own = ranges.placed(rows)
+    met = ranges.neighbour(ranges.numbered(own, keep=True), "__before", F.struct(F.col(chrom).alias("c")))
+    return ranges.released(met.withColumn("new_run", F.col("__before").isNull() | (F.col("__before.c") != F.col(chrom))).drop("__before"))
 
 
 def position_histogram(records: DataFrame, shift: int = scalar.BUCKET_SHIFT, chrom="chrom", start="start", line="value") -> DataFrame:

@@ -344,7 +344,7 @@ def row_id(spark, sf_dir):
 
 def run_boundaries(spark, sf_dir):
     """Where a run of one chromosome begins, in two orders: by chromosome, with a run each, and by start, with many."""
-    v = view_l(spark, sf_dir)
+    v = view_l(spark, sf_dir).select("chrom", *TIES)
     found = [derive.run_boundaries(v.orderBy(*by)).where("new_run").select(F.lit(name).alias("stored"), "chrom", "start", "end", "name", "rn") for name, by in (("chrom", ("chrom", *TIES)), ("start", (*TIES, "chrom")))]
     return _plain(found[0].unionByName(found[1]))
 

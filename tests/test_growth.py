@@ -1,12 +1,13 @@
 """Plans whose work must not outgrow their input."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandmill.operators import ranges
-from strandmill.plans import strategy
+from strandmill.operators import derive, order, ranges
+from strandmill.plans import catalog, strategy
 from strandmill.sources import bed, ordered, text
 
 
@@ -52,3 +53,36 @@ def test_ranges_grow_with_the_rows_and_passes_need_no_exchange(spark, monkeypatc
     out = ranges.neighbour(ranges.running(rows, F.sum, inclusive=True, up=F.col("x")), "before", F.struct("x"))
     assert [(r["up"], r["before"] and r["before"]["x"]) for r in out.orderBy("x").collect()] == [(i * (i + 1) // 2, i - 1 if i else None) for i in range(3000)]
     assert "hashpartitioning(__part" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_inversions_write_nothing(spark, monkeypatch):
+    """Counted in one pass, also over range boundaries and with nulls."""
+    monkeypatch.setattr(ranges.storage, "cut", lambda df: 1 / 0)
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([1, 2, None])) for i in range(500)]
+    table = spark.createDataFrame(rows, "i int, c string, x int").repartition(7)
+    key = lambda r: ((r[1] is not None, r[1] or ""), (r[2] is not None, r[2] or 0))
+    assert order.inversions(table.orderBy("i"), "c", "x").first()[0] == sum(key(b) < key(a) for a, b in zip(rows, rows[1:], strict=False))
+    assert order.inversions(table.where("i < 0"), "c", "x").first()[0] == 0
+
+
+def test_collapse_locus_sorts_once(spark, tiny):
+    assert "Join" not in catalog.collapse_locus(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_of_the_external_plan_are_bounded_in_number(spark, monkeypatch):
+    """The driver gets a sample of every run."""
+    monkeypatch.setattr(strategy, "MOST_RUNS", 10)
+    table = records(spark)
+    out = strategy.external(table, 1_000)
+    assert out.rdd.getNumPartitions() <= 10
+    assert [r["value"] for r in out.collect()] == [r["value"] for r in table.orderBy("chrom", "start", "value").collect()]
+
+
+def test_run_boundaries_move_rows_once(spark):
+    out = derive.run_boundaries(records(spark).orderBy("start", "value"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Sort \[__part[^\]]*__id", plan)  # only counts and edges, a row a range, are dealt
+    rows = sorted((r["rn"], r["chrom"], r["new_run"]) for r in out.collect())
+    assert [n for n, _, _ in rows] == list(range(1, 3001))
+    assert [new for _, _, new in rows] == [i == 0 or rows[i - 1][1] != c for i, (_, c, _) in enumerate(rows)]
